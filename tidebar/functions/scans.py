@@ -6,7 +6,7 @@ one summary row per block, and hand each block the state that precedes it:
 
 * :func:`running`      sum / count / max / min / last / previous row / first row, unbounded frame
 * :func:`with_halo`    rows near a block border are copied to the neighbour, for frames of known length
-* :func:`affine_scan`  y[t] = a * y[t-1] + b[t], the core of exponential and Wilder averages
+* :func:`series_scan`  y[t] = a * y[t-1] + b[t], the core of exponential and Wilder averages
 """
 
 from __future__ import annotations
@@ -42,6 +42,21 @@ class Run:
     default: float | None = None
 
 
+def _shared(rows: DataFrame, parts: Sequence[str]) -> tuple[DataFrame, Column]:
+    """Shuffle once by ``parts`` for two readers.
+
+    A scan reads its rows twice, for the block summaries and for the result. Spark reuses one shuffle for
+    both readers when they need the same columns, so the summary also touches every column through the
+    returned aggregate (filter the summary on it being non-null).
+    """
+    present = F.lit(True)
+    for c in parts:
+        present = present & F.col(c).isNotNull()
+    placed = rows.where(present).repartition(*parts)
+    hashable = [f.name for f in placed.schema.fields if "map<" not in f.dataType.simpleString()]
+    return placed, F.max(F.xxhash64(*hashable)).alias("_touch")
+
+
 def running(
     df: DataFrame,
     keys: Sequence[str],
@@ -49,91 +64,57 @@ def running(
     block: Column,
     runs: Sequence[Run],
 ) -> DataFrame:
-    """Unbounded running aggregates in two levels. ``block`` must not decrease along ``order``."""
+    """Unbounded running aggregates in two levels. ``block`` must not decrease along ``order``.
+
+    Rows without a key or block are dropped.
+    """
     keys = list(keys)
     rows = df.withColumn("_blk", block)
     for i, run in enumerate(runs):
         if run.value is not None:
             rows = rows.withColumn(f"_v{i}", F.struct(run.value.alias("x")) if run.kind in ("prev", "first") else run.value)
     ordering = F.col(order[0]) if len(order) == 1 else F.struct(*[F.col(c) for c in order])
-
-    totals = []
-    for i, run in enumerate(runs):
-        v = F.col(f"_v{i}")
-        totals.append(
-            {
-                "sum": lambda: F.sum(v),
-                "count": lambda: F.count(F.lit(1)),
-                "max": lambda: F.max(v),
-                "min": lambda: F.min(v),
-                "last": lambda: F.max_by(v, F.when(v.isNotNull(), ordering)),
-                "prev": lambda: F.max_by(v, ordering),
-                "first": lambda: F.min_by(v, ordering),
-            }[run.kind]().alias(f"_t{i}")
-        )
-    summary = rows.groupBy(*keys, "_blk").agg(*totals)
-    before = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    carries = []
-    for i, run in enumerate(runs):
-        t = F.col(f"_t{i}")
-        carries.append(
-            {
-                "sum": lambda: F.sum(t),
-                "count": lambda: F.sum(t),
-                "max": lambda: F.max(t),
-                "min": lambda: F.min(t),
-                "last": lambda: F.last(t, ignorenulls=True),
-                "prev": lambda: F.last(t),
-                "first": lambda: F.first(t),
-            }[run.kind]().over(before).alias(f"_c{i}")
-        )
-    carry = summary.select(*keys, "_blk", *carries)
+    rows, touch = _shared(rows, [*keys, "_blk"])
 
     inside = Window.partitionBy(*keys, "_blk").orderBy(*order)
     upto = inside.rowsBetween(Window.unboundedPreceding, 0)
-    local = []
-    for i, run in enumerate(runs):
-        v = F.col(f"_v{i}")
-        local.append(
-            {
-                "sum": lambda: F.sum(v).over(upto),
-                "count": lambda: F.row_number().over(inside).cast("long"),
-                "max": lambda: F.max(v).over(upto),
-                "min": lambda: F.min(v).over(upto),
-                "last": lambda: F.last(v, ignorenulls=True).over(upto),
-                "prev": lambda: F.lag(v, 1).over(inside),
-                "first": lambda: F.first(v).over(upto),
-            }[run.kind]().alias(f"_l{i}")
-        )
-    rows = rows.select("*", *local)
-
-    pairs = [rows[k].eqNullSafe(carry[k]) for k in keys]
-    condition = rows["_blk"] == carry["_blk"]
-    for p in pairs:
-        condition = condition & p
-    joined = rows.join(carry, condition, "left").select(
-        *[rows[c] for c in df.columns],
-        *[rows[f"_l{i}"] for i in range(len(runs))],
-        *[carry[f"_c{i}"] for i in range(len(runs))],
-    )
-    outs = []
+    before = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    totals, carries, local, outs = [], [], [], []
     for i, run in enumerate(runs):
-        l, c = F.col(f"_l{i}"), F.col(f"_c{i}")
-        value = {
-            "sum": lambda: F.when(l.isNull() & c.isNull(), F.lit(None)).otherwise(
-                F.coalesce(l, F.lit(0)) + F.coalesce(c, F.lit(0))
-            ),
-            "count": lambda: l + F.coalesce(c, F.lit(0)),
-            "max": lambda: F.greatest(l, c),
-            "min": lambda: F.least(l, c),
-            "last": lambda: F.coalesce(l, c),
-            "prev": lambda: F.coalesce(l, c)["x"],
-            "first": lambda: F.coalesce(c, l)["x"],
-        }[run.kind]()
+        v, t, l, c = F.col(f"_v{i}"), F.col(f"_t{i}"), F.col(f"_l{i}"), F.col(f"_c{i}")
+        if run.kind == "sum":
+            parts = F.sum(v), F.sum(t), F.sum(v).over(upto)
+            value = F.when(l.isNull(), c).when(c.isNull(), l).otherwise(l + c)
+        elif run.kind == "count":
+            parts = F.count(F.lit(1)), F.sum(t), F.row_number().over(inside).cast("long")
+            value = l + F.coalesce(c, F.lit(0))
+        elif run.kind == "max":
+            parts = F.max(v), F.max(t), F.max(v).over(upto)
+            value = F.greatest(l, c)
+        elif run.kind == "min":
+            parts = F.min(v), F.min(t), F.min(v).over(upto)
+            value = F.least(l, c)
+        elif run.kind == "last":
+            parts = F.max_by(v, F.when(v.isNotNull(), ordering)), F.last(t, ignorenulls=True), F.last(v, ignorenulls=True).over(upto)
+            value = F.coalesce(l, c)
+        elif run.kind == "prev":
+            parts = F.max_by(v, ordering), F.last(t), F.lag(v, 1).over(inside)
+            value = F.coalesce(l, c)["x"]
+        elif run.kind == "first":
+            parts = F.min_by(v, ordering), F.first(t), F.first(v).over(upto)
+            value = F.coalesce(c, l)["x"]
+        else:
+            raise ValueError(run.kind)
+        totals.append(parts[0].alias(f"_t{i}"))
+        carries.append(parts[1].over(before).alias(f"_c{i}"))
+        local.append(parts[2].alias(f"_l{i}"))
         if run.default is not None:
             value = F.coalesce(value, F.lit(run.default))
         outs.append(value.alias(run.out))
-    return joined.select(*df.columns, *outs)
+
+    summary = rows.groupBy(*keys, "_blk").agg(*totals, touch).where(F.col("_touch").isNotNull())
+    carry = summary.select(*keys, "_blk", *carries)
+    return rows.select("*", *local).join(carry, [*keys, "_blk"]).select(*df.columns, *outs)
 
 
 def number_rows(
@@ -177,84 +158,106 @@ class Affine:
     b: Column
 
 
-def affine_scan(df: DataFrame, keys: Sequence[str], idx: str, scans: Sequence[Affine]) -> DataFrame:
-    """Linear recurrences by a three-level associative scan.
+@dataclass(frozen=True)
+class Latest:
+    """Latest non-null value up to and including the current row."""
 
-    Runs of 256 rows use a scaled cumulative sum (a plain window aggregate); run summaries are composed
-    inside groups of 256 runs and then across groups, so no task sees more than a bounded slice of rows.
+    out: str
+    value: Column
+
+
+def series_scan(
+    df: DataFrame, keys: Sequence[str], idx: str, scans: Sequence[Affine], latest: Sequence[Latest] = ()
+) -> DataFrame:
+    """Linear recurrences (and latest values) by a three-level associative scan over an indexed series.
+
+    Runs of 256 rows use a scaled cumulative sum, a plain window aggregate. Run summaries are composed
+    inside groups of 256 runs and then across groups; the per-series step sees one entry per 65,536 rows.
     """
     keys = list(keys)
-    run_ids = F.floor(F.col(idx) / F.lit(SCAN_RUN)).cast("long")
-    rows = df.withColumn("_run", run_ids).withColumn("_k", F.pmod(F.col(idx), F.lit(SCAN_RUN)).cast("int"))
-    for i, s in enumerate(scans):
-        rows = rows.withColumn(f"_b{i}", s.b.cast("double"))
+    n = len(scans)
+    rows = df.withColumn("_run", F.floor(F.col(idx) / F.lit(SCAN_RUN)).cast("long"))
+    rows = rows.withColumn("_k", F.pmod(F.col(idx), F.lit(SCAN_RUN)).cast("int"))
+    rows = rows.withColumns({f"_b{i}": s.b.cast("double") for i, s in enumerate(scans)})
+    rows = rows.withColumns({f"_v{j}": x.value for j, x in enumerate(latest)})
+    rows, touch = _shared(rows, [*keys, "_run"])
     inside = Window.partitionBy(*keys, "_run").orderBy(idx).rowsBetween(Window.unboundedPreceding, 0)
     k = F.col("_k").cast("double")
-    locals_ = []
+    local = []
     for i, s in enumerate(scans):
-        if s.a == 0.0:
-            locals_.append(F.col(f"_b{i}").alias(f"_y{i}"))
-            continue
-        if s.a ** -SCAN_RUN > 1e300:
+        if s.a and s.a ** -SCAN_RUN > 1e300:
             raise ValueError(f"factor {s.a} is too small for runs of {SCAN_RUN} rows")
-        scaled = F.sum(F.col(f"_b{i}") * F.pow(F.lit(s.a), -k)).over(inside)
-        locals_.append((scaled * F.pow(F.lit(s.a), k)).alias(f"_y{i}"))
-    rows = rows.select("*", *locals_)
-
-    # One row per run: factor of the whole run and its end value when started from zero.
-    ys = F.array(*[F.col(f"_y{i}") for i in range(len(scans))])
-    runs = rows.groupBy(*keys, "_run").agg(F.max("_k").alias("_len"), F.max_by(ys, F.col("_k")).alias("_end"))
+        scaled = F.sum(F.col(f"_b{i}") * F.pow(F.lit(s.a), -k)).over(inside) * F.pow(F.lit(s.a), k)
+        local.append((scaled if s.a else F.col(f"_b{i}")).alias(f"_y{i}"))
+    for j, _ in enumerate(latest):
+        local.append(F.last(f"_v{j}", ignorenulls=True).over(inside).alias(f"_l{j}"))
+    done = rows.select("*", *local)
+
+    # End value of a run started from zero: weighted sum of its inputs, no window needed.
+    top = F.max("_k").alias("_len")
+    sums = [F.sum(F.col(f"_b{i}") * (F.pow(F.lit(s.a), -k) if s.a else F.when(F.col("_k") >= 0, 1.0))).alias(f"_s{i}")
+            for i, s in enumerate(scans)]
+    last_in = [F.max_by(F.col(f"_b{i}"), F.col("_k")).alias(f"_e{i}") for i, s in enumerate(scans) if not s.a]
+    seen = [F.max_by(F.col(f"_v{j}"), F.when(F.col(f"_v{j}").isNotNull(), F.col("_k"))).alias(f"_t{j}") for j, _ in enumerate(latest)]
+    runs = rows.groupBy(*keys, "_run").agg(top, *sums, *last_in, *seen, touch).where(F.col("_touch").isNotNull())
+    power = F.col("_len").cast("double")
+    ends = [F.col(f"_s{i}") * F.pow(F.lit(s.a), power) if s.a else F.col(f"_e{i}") for i, s in enumerate(scans)]
+    earlier = Window.partitionBy(*keys).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
     runs = runs.select(
-        *keys,
-        "_run",
-        F.floor(F.col("_run") / SCAN_GROUP).cast("long").alias("_grp"),
-        F.array(*[F.pow(F.lit(s.a), (F.col("_len") + 1).cast("double")) for s in scans]).alias("_fac"),
-        "_end",
+        *keys, "_run", F.floor(F.col("_run") / SCAN_GROUP).cast("long").alias("_grp"),
+        F.array(*[F.pow(F.lit(s.a), power + 1.0) for s in scans]).cast("array<double>").alias("_fac"),
+        F.array(*ends).cast("array<double>").alias("_end"),
+        F.struct(
+            F.lit(True).alias("x"),
+            *[F.last(f"_t{j}", ignorenulls=True).over(earlier).alias(f"c{j}") for j, _ in enumerate(latest)],
+        ).alias("_seen"),
     )
+    if n == 0:
+        entry = runs.select(*keys, "_run", "_seen", F.array().cast("array<double>").alias("_in"))
+    else:
+        entry = _entry_states(runs, keys, n)
+    joined = done.join(entry, [*keys, "_run"])
+    outs = [
+        (F.col(f"_y{i}") + F.pow(F.lit(s.a), k + 1.0) * F.col("_in")[i]).alias(s.out) if s.a else F.col(f"_y{i}").alias(s.out)
+        for i, s in enumerate(scans)
+    ]
+    outs += [F.coalesce(F.col(f"_l{j}"), F.col(f"_seen.c{j}")).alias(x.out) for j, x in enumerate(latest)]
+    return joined.select(*df.columns, *outs)
 
-    def compose(items: Column, label: str) -> Column:
-        """Exclusive prefixes of (factor, value) pairs, in order."""
-        one = F.array_repeat(F.lit(1.0), len(scans))
-        zero = F.array_repeat(F.lit(0.0), len(scans))
-        empty = F.expr(f"array() :: array<struct<{label}: bigint, pf: array<double>, pv: array<double>>>")
-        start = F.struct(one.alias("f"), zero.alias("v"), empty.alias("out"))
-
-        def step(acc: Column, x: Column) -> Column:
-            factor = F.zip_with(acc["f"], x["_fac"], lambda a, b: a * b)
-            carried = F.zip_with(x["_fac"], acc["v"], lambda a, v: a * v)
-            value = F.zip_with(carried, x["_end"], lambda a, b: a + b)
-            item = F.struct(x[label].alias(label), acc["f"].alias("pf"), acc["v"].alias("pv"))
-            return F.struct(factor.alias("f"), value.alias("v"), F.concat(acc["out"], F.array(item)).alias("out"))
 
-        return F.aggregate(items, start, step)
+def _entry_states(runs: DataFrame, keys: Sequence[str], n: int) -> DataFrame:
+    """State before each run, from run factors ``_fac`` and zero-start ends ``_end``."""
+    one, zero = F.array_repeat(F.lit(1.0), n), F.array_repeat(F.lit(0.0), n)
+    times = lambda a, b: F.zip_with(a, b, lambda x, y: x * y)
+    plus = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
+    seen_type = runs.schema["_seen"].dataType.simpleString()
+    nothing = F.array().cast(f"array<struct<_run:bigint,pf:array<double>,pv:array<double>,_seen:{seen_type}>>")
+
+    def step(acc: Column, x: Column) -> Column:
+        item = F.struct(x["_run"].alias("_run"), acc["f"].alias("pf"), acc["v"].alias("pv"), x["_seen"].alias("_seen"))
+        return F.struct(
+            times(acc["f"], x["_fac"]).alias("f"),
+            plus(times(x["_fac"], acc["v"]), x["_end"]).alias("v"),
+            F.concat(acc["out"], F.array(item)).alias("out"),
+        )
 
     packed = runs.groupBy(*keys, "_grp").agg(
-        F.array_sort(F.collect_list(F.struct("_run", "_fac", "_end"))).alias("_items")
-    )
-    composed = packed.select(*keys, "_grp", compose(F.col("_items"), "_run").alias("_acc"))
-    groups = composed.select(*keys, "_grp", F.col("_acc.f").alias("_fac"), F.col("_acc.v").alias("_end"))
-    group_lists = groups.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct("_grp", "_fac", "_end"))).alias("_items")
+        F.sort_array(F.collect_list(F.struct("_run", "_fac", "_end", "_seen"))).alias("_items")
     )
-    group_in = (
-        group_lists.select(*keys, F.explode(compose(F.col("_items"), "_grp")["out"]).alias("_o"))
-        .select(*keys, F.col("_o._grp").alias("_grp"), F.col("_o.pv").alias("_gin"))
+    composed = packed.select(
+        *keys, "_grp",
+        F.aggregate("_items", F.struct(one.alias("f"), zero.alias("v"), nothing.alias("out")), step).alias("_acc"),
     )
-    run_in = (
-        composed.join(group_in, [*keys, "_grp"])
-        .select(*keys, F.col("_gin"), F.explode("_acc.out").alias("_o"))
-        .select(
+    prior = Window.partitionBy(*keys).orderBy("_grp").rowsBetween(Window.unboundedPreceding, -1)
+    groups = composed.withColumn("_prior", F.collect_list(F.struct("_acc.f", "_acc.v")).over(prior))
+    return (
+        groups.select(
             *keys,
-            F.col("_o._run").alias("_run"),
-            F.zip_with(
-                F.zip_with(F.col("_o.pf"), F.col("_gin"), lambda a, g: a * g), F.col("_o.pv"), lambda a, b: a + b
-            ).alias("_in"),
+            F.aggregate("_prior", zero, lambda acc, x: plus(times(x["f"], acc), x["v"])).alias("_gin"),
+            F.explode("_acc.out").alias("_o"),
+        )
+        .select(
+            *keys, F.col("_o._run").alias("_run"), F.col("_o._seen").alias("_seen"),
+            plus(times(F.col("_o.pf"), F.col("_gin")), F.col("_o.pv")).alias("_in"),
         )
     )
-    joined = rows.join(run_in, [*keys, "_run"], "left")
-    outs = [
-        (F.col(f"_y{i}") + F.pow(F.lit(s.a), k + 1.0) * F.col("_in")[i]).alias(s.out) if s.a > 0.0
-        else F.col(f"_y{i}").alias(s.out)
-        for i, s in enumerate(scans)
-    ]
-    return joined.select(*df.columns, *outs)

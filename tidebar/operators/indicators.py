@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tidebar.functions.columns import is_true
-from tidebar.functions.scans import BLOCK_ROWS, Affine, Run, affine_scan, drop_halo, running, with_halo
+from tidebar.functions.scans import Affine, Latest, drop_halo, series_scan, with_halo
 from tidebar.operators.bars import SERIES
 
 Feature = Callable[[WindowSpec], Column]
@@ -30,10 +30,6 @@ def over_bars(
     return drop_halo(out)
 
 
-def series_block() -> Column:
-    return F.floor(F.col("bar_idx") / F.lit(BLOCK_ROWS)).cast("long")
-
-
 def lag1(column: str) -> Feature:
     return lambda w: F.lag(column, 1).over(w)
 
@@ -84,14 +80,17 @@ def ema_factor(span: int) -> float:
     return (span - 1.0) / (span + 1.0)
 
 
-def ema(df: DataFrame, spans: Iterable[int], keys: Sequence[str] = SERIES, column: str = "close", prefix: str = "ema_") -> DataFrame:
+def ema_scans(spans: Iterable[int], column: str = "close", prefix: str = "ema_") -> list[Affine]:
     """Exponential averages started at the first value, one column per span."""
     x = F.col(column)
-    scans = [
+    return [
         Affine(f"{prefix}{n}", ema_factor(n), F.when(F.col("bar_idx") == 0, x).otherwise(x * F.lit(2.0 / (n + 1.0))))
         for n in sorted(set(spans))
     ]
-    return affine_scan(df, keys, "bar_idx", scans)
+
+
+def ema(df: DataFrame, spans: Iterable[int], keys: Sequence[str] = SERIES, column: str = "close", prefix: str = "ema_") -> DataFrame:
+    return series_scan(df, keys, "bar_idx", ema_scans(spans, column, prefix))
 
 
 def atr(df: DataFrame, periods: Iterable[int], keys: Sequence[str] = SERIES) -> DataFrame:
@@ -128,51 +127,79 @@ def adx_simple(df: DataFrame, periods: Iterable[int], keys: Sequence[str] = SERI
     return out.select(*df.columns, *[f"adx_{n}" for n in ns])
 
 
-def adx_wilder(df: DataFrame, pairs: Iterable[tuple[int, int]], keys: Sequence[str] = SERIES) -> DataFrame:
-    """Wilder directional index for (period, smoothing) pairs, column ``wadx_<period>_<smoothing>``.
+def trend_features(
+    df: DataFrame,
+    keys: Sequence[str] = SERIES,
+    spans: Iterable[int] = (),
+    hilo_periods: Iterable[int] = (),
+    adx_pairs: Iterable[tuple[int, int]] = (),
+) -> DataFrame:
+    """EMA (``ema_<n>``), HiLo line (``hilo_<n>``) and Wilder ADX (``wadx_<period>_<smoothing>``) together.
+
+    All first-level recurrences share one halo pass and one scan; the ADX smoothing is a second scan.
+
+    ADX: Wilder sums are seeded at row ``period`` with rows 1..period and decay by 1/period; the index is
+    seeded at row period+smoothing with the mean of the DX values after the first seed. A DX that is
+    undefined later stays undefined for the rest of the series, hence NaN and not null inside the scan.
 
-    Sums are seeded at row ``period`` with rows 1..period and decay by 1/period. The index is seeded at row
-    period+smoothing with the mean of the DX values after the first seed. A DX that is undefined later
-    stays undefined for the rest of the series, hence NaN and not null inside the scan.
+    HiLo: the line follows the mean low in an up phase and the mean high in a down phase. The phase turns
+    when the close crosses the previous opposite mean, so the phase is the latest turn.
     """
-    pairs = sorted(set(pairs))
+    spans, hilos, pairs = sorted(set(spans)), sorted(set(hilo_periods)), sorted(set(adx_pairs))
     ns = sorted({p for p, _ in pairs})
-    names = ("_tr", "_pdm", "_mdm")
-    nan = F.lit(float("nan"))
+    moves = ("_tr", "_pdm", "_mdm")
+    nan, idx = F.lit(float("nan")), F.col("bar_idx")
 
     def window_sum(column: str, n: int) -> Feature:
         return lambda w: F.sum(column).over(w.rowsBetween(-n + 1, 0))
 
-    base = over_bars(
-        df, keys, max(ns) + 1,
-        [
-            {"_tr": true_range, "_pdm": plus_dm, "_mdm": minus_dm},
-            {f"{c}_s{n}": window_sum(c, n) for n in ns for c in names},
-        ],
-    )
-    idx = F.col("bar_idx")
-    scans = [
+    def turn(n: int) -> Feature:
+        def make(w: WindowSpec) -> Column:
+            close, above, below = F.col("close"), F.lag(f"_hm{n}", 1).over(w), F.lag(f"_lm{n}", 1).over(w)
+            return (
+                F.when(idx == n - 1, F.when(close >= F.col(f"_lm{n}"), 1).otherwise(-1))
+                .when(close > above, 1)
+                .when(close < below, -1)
+            )
+
+        return make
+
+    first: dict[str, Feature] = {"_tr": true_range, "_pdm": plus_dm, "_mdm": minus_dm} if ns else {}
+    for n in hilos:
+        first[f"_hm{n}"] = rolling_mean("high", n)
+        first[f"_lm{n}"] = rolling_mean("low", n)
+    second: dict[str, Feature] = {f"{c}_s{n}": window_sum(c, n) for n in ns for c in moves}
+    second.update({f"_turn{n}": turn(n) for n in hilos})
+    base = over_bars(df, keys, max([*ns, *hilos]) + 1, [first, second]) if ns or hilos else df
+    scans = ema_scans(spans) + [
         Affine(f"{c}_y{n}", 1.0 - 1.0 / n, F.when(idx == n, F.col(f"{c}_s{n}")).when(idx > n, F.col(c)).otherwise(F.lit(0.0)))
-        for n in ns for c in names
+        for n in ns for c in moves
     ]
-    smoothed = affine_scan(base, keys, "bar_idx", scans)
-    dx = {}
-    for n in ns:
-        base_sum = F.col(f"_tr_y{n}")
-        up, down = F.try_divide(100.0 * F.col(f"_pdm_y{n}"), base_sum), F.try_divide(100.0 * F.col(f"_mdm_y{n}"), base_sum)
-        value = F.try_divide(100.0 * F.abs(up - down), up + down)
-        dx[f"_dx{n}"] = F.when(idx >= n, F.coalesce(value, nan))
-    with_dx = smoothed.select(*df.columns, *[c.alias(n) for n, c in dx.items()])
+    scanned = series_scan(base, keys, "bar_idx", scans, [Latest(f"_phase{n}", F.col(f"_turn{n}")) for n in hilos])
+
+    def dx(n: int) -> Column:
+        total = F.col(f"_tr_y{n}")
+        up, down = F.try_divide(100.0 * F.col(f"_pdm_y{n}"), total), F.try_divide(100.0 * F.col(f"_mdm_y{n}"), total)
+        return F.when(idx >= n, F.coalesce(F.try_divide(100.0 * F.abs(up - down), up + down), nan))
+
+    hilo_line = lambda n: F.when(F.col(f"_phase{n}") > 0, F.col(f"_lm{n}")).otherwise(F.col(f"_hm{n}"))
+    out = scanned.select(
+        *df.columns, *[f"ema_{n}" for n in spans], *[hilo_line(n).alias(f"hilo_{n}") for n in hilos],
+        *[dx(n).alias(f"_dx{n}") for n in ns],
+    )
+    if not pairs:
+        return out
+    kept = [c for c in out.columns if not c.startswith("_dx")]
 
     def seed(n: int, s: int) -> Feature:
         def make(w: WindowSpec) -> Column:
-            seen = F.when((F.col("bar_idx") > n) & ~F.isnan(f"_dx{n}"), F.col(f"_dx{n}"))
+            seen = F.when((idx > n) & ~F.isnan(f"_dx{n}"), F.col(f"_dx{n}"))
             return F.coalesce(F.avg(seen).over(w.rowsBetween(-s + 1, 0)), nan)
 
         return make
 
-    seeded = over_bars(with_dx, keys, max(s for _, s in pairs) + 1, [{f"_seed{n}_{s}": seed(n, s) for n, s in pairs}])
-    final = affine_scan(
+    seeded = over_bars(out, keys, max(s for _, s in pairs) + 1, [{f"_seed{n}_{s}": seed(n, s) for n, s in pairs}])
+    final = series_scan(
         seeded, keys, "bar_idx",
         [
             Affine(
@@ -183,39 +210,14 @@ def adx_wilder(df: DataFrame, pairs: Iterable[tuple[int, int]], keys: Sequence[s
         ],
     )
     return final.select(
-        *df.columns,
+        *kept,
         *[F.when((idx >= n + s) & ~F.isnan(f"_adx{n}_{s}"), F.col(f"_adx{n}_{s}")).alias(f"wadx_{n}_{s}") for n, s in pairs],
     )
 
 
-def hilo_activator(df: DataFrame, periods: Iterable[int], keys: Sequence[str] = SERIES) -> DataFrame:
-    """Line that follows the mean low in an up phase and the mean high in a down phase, ``hilo_<n>``.
-
-    The phase turns when the close crosses the previous opposite mean, so the phase is the latest turn.
-    """
-    ns = sorted(set(periods))
-
-    def turn(n: int) -> Feature:
-        def make(w: WindowSpec) -> Column:
-            close, above, below = F.col("close"), F.lag(f"_hm{n}", 1).over(w), F.lag(f"_lm{n}", 1).over(w)
-            first = F.col("bar_idx") == n - 1
-            return (
-                F.when(first, F.when(close >= F.col(f"_lm{n}"), 1).otherwise(-1))
-                .when(close > above, 1)
-                .when(close < below, -1)
-            )
+def adx_wilder(df: DataFrame, pairs: Iterable[tuple[int, int]], keys: Sequence[str] = SERIES) -> DataFrame:
+    return trend_features(df, keys, adx_pairs=pairs)
 
-        return make
 
-    means: dict[str, Feature] = {}
-    for n in ns:
-        means[f"_hm{n}"] = rolling_mean("high", n)
-        means[f"_lm{n}"] = rolling_mean("low", n)
-    local = over_bars(df, keys, max(ns) + 1, [means, {f"_turn{n}": turn(n) for n in ns}])
-    phased = running(
-        local, keys, ["bar_idx"], series_block(), [Run(f"_phase{n}", "last", F.col(f"_turn{n}")) for n in ns]
-    )
-    return phased.select(
-        *df.columns,
-        *[F.when(F.col(f"_phase{n}") > 0, F.col(f"_lm{n}")).otherwise(F.col(f"_hm{n}")).alias(f"hilo_{n}") for n in ns],
-    )
+def hilo_activator(df: DataFrame, periods: Iterable[int], keys: Sequence[str] = SERIES) -> DataFrame:
+    return trend_features(df, keys, hilo_periods=periods)
