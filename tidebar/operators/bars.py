@@ -86,7 +86,9 @@ def ticks_to_bars(ticks: DataFrame, timeframe: str) -> DataFrame:
             F.max_by("price", "_pos").alias("close"),
             F.sum("volume").alias("volume"),
         )
-        .select("symbol", F.lit(label).alias("timeframe"), "datetime", "open", "high", "low", "close", "volume")
+        # explode keeps the label a real column: a literal key would be folded out of later window keys
+        .withColumn("timeframe", F.explode(F.array(F.lit(label))))
+        .select("symbol", "timeframe", "datetime", "open", "high", "low", "close", "volume")
     )
 
 
