@@ -16,9 +16,14 @@ PARTS = {
   round(value - 50.0, 2) AS pnl_net, props FROM events)""",
     "equity": """equity AS (SELECT strategy, exit_time AS datetime, trade_id AS seq,
   100000.0 + sum(pnl_net) OVER (PARTITION BY strategy ORDER BY exit_time, trade_id ROWS UNBOUNDED PRECEDING) AS equity FROM trades)""",
+    "windows": """windows AS (SELECT event_type AS strategy, CAST(day(ts) AS INTEGER) AS window_id,
+  coalesce(avg(value) FILTER (event_id % 2 = 0), 0.0) AS best_train_score, coalesce(avg(value) FILTER (event_id % 2 = 1), 0.0) - 50.0 AS oos_score,
+  sum(round(value - 50.0, 2)) AS oos_net_profit, arg_max(props, event_id) AS best_train_params_json FROM events GROUP BY ALL)""",
+    "topk": """topk AS (SELECT event_type AS strategy, CAST(floor(epoch(ts) / 3600) AS BIGINT) AS window_id, event_id AS train_rank, value + 1.0 AS train_score,
+  round(value - 50.0, 2) AS test_score, round(value * 2 - 100.0, 2) AS test_net_profit, value AS test_max_drawdown, props AS params_json FROM events)""",
 }
 
-NEEDS = {"ticks": [], "bars": ["ticks"], "idx": ["bars"], "trades": [], "equity": ["trades"]}
+NEEDS = {"windows": [], "topk": [], "ticks": [], "bars": ["ticks"], "idx": ["bars"], "trades": [], "equity": ["trades"]}
 
 
 def closure(*names: str) -> list[str]:

@@ -99,6 +99,8 @@ class PathIndex:
             leaves.withColumn("b2", F.floor(F.col("b1") / FANOUT).cast("long")), self.keys, "b2", ("b1", *EXTREMES)
         )
         self.mids = mids.select(*self.keys, "b2", F.col("items").alias("mids"))
+        # With at most FANOUT leaf rows per series one middle row covers the series and the top is not needed.
+        self.deep = not leaves.where(F.col("b1") >= FANOUT).isEmpty()
         self.tops = mids.groupBy(*self.keys).agg(F.sort_array(F.collect_list(F.struct("b2", *EXTREMES))).alias("tops"))
 
     def points(self) -> DataFrame:
@@ -130,6 +132,10 @@ class PathIndex:
         q = q.join(self.mids, [*self.keys, "b2"], "left").withColumn(
             "_m1", hit(F.col("mids"), lambda m: (m["b1"] > home) & is_true(matches(m)))["b1"]
         ).drop("mids")
+        if not self.deep:
+            q = q.drop("b1", "b2").withColumn("b1", F.coalesce("_m1", spread)).join(self.leaves, [*self.keys, "b1"], "left")
+            found = F.coalesce("_h1", hit(F.col("items"), lambda p: is_true(matches(p))))
+            return q.select(*names, found.alias(out))
         searching = (F.col("b2") >= 0) & F.col("_m1").isNull()
         q = q.join(self.tops, self.keys, "left").withColumn(
             "_t1", F.when(searching, hit(F.col("tops"), lambda t: (t["b2"] > F.col("b2")) & is_true(matches(t)))["b2"])

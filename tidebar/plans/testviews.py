@@ -69,3 +69,30 @@ def equity(spark: SparkSession, sf_dir: str, capital: float = INITIAL_CAPITAL) -
         "strategy", F.col("exit_time").alias("datetime"), F.col("trade_id").alias("seq"),
         (F.lit(capital) + F.col("_net")).alias("equity"), (F.lit(capital) + F.col("_net")).alias("cash"),
     )
+
+
+def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Walk-forward window results: one row per strategy and day of ``events``."""
+    day = F.dayofmonth("ts").cast("int").alias("window_id")
+    value, odd = F.col("value"), F.col("event_id") % 2 == 1
+    rows = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("strategy"), day)
+    return rows.agg(
+        F.coalesce(F.avg(F.when(~odd, value)), F.lit(0.0)).alias("best_train_score"),
+        (F.coalesce(F.avg(F.when(odd, value)), F.lit(0.0)) - 50.0).alias("oos_score"),
+        F.sum(F.round(value - 50.0, 2)).alias("oos_net_profit"),
+        F.max_by("props", "event_id").alias("best_train_params_json"),
+    )
+
+
+def topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Top-k test results: every event is one tested set, ranked by a hash-free rule within its hour."""
+    return table(spark, sf_dir, "events").select(
+        F.col("event_type").alias("strategy"),
+        F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 3600).cast("long").alias("window_id"),
+        F.col("event_id").alias("train_rank"),
+        (F.col("value") + 1.0).alias("train_score"),
+        F.round(F.col("value") - 50.0, 2).alias("test_score"),
+        F.round(F.col("value") * 2 - 100.0, 2).alias("test_net_profit"),
+        F.col("value").alias("test_max_drawdown"),
+        F.col("props").alias("params_json"),
+    )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,25 +27,27 @@ def get_session(app: str = "tidebar", master: str | None = None, **extra: str) -
     return builder.getOrCreate()
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared checkpoint folder of the cluster.
+def shared_folder(spark: SparkSession) -> str:
+    """Folder for intermediate tables: ``spark.checkpoint.dir`` of the cluster.
 
-    A folder of our own is set only in local mode, where driver and executors share one disk.
+    A folder of our own is made only in local mode, where driver and executors share one disk.
     """
-    context = spark.sparkContext
-    configured = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if configured:
-        if context.getCheckpointDir() is None:
-            context.setCheckpointDir(configured)
-        return
-    if context.getCheckpointDir() is not None:
-        return
-    if not context.master.startswith("local"):
+        return configured
+    if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors can reach")
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="tidebar-ckpt-", dir=os.environ.get("TMPDIR", "/tmp")))
+    own = tempfile.mkdtemp(prefix="tidebar-", dir=os.environ.get("TMPDIR", "/tmp"))
+    spark.conf.set("spark.checkpoint.dir", own)
+    return own
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint (survives lost executors)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut lineage by writing the rows once as a table in the shared folder.
+
+    The table outlives lost executors, is read with column pruning, and has a known size, so later joins
+    broadcast it only when it is small.
+    """
+    target = f"{shared_folder(df.sparkSession).rstrip('/')}/tidebar-{uuid.uuid4().hex}"
+    df.write.parquet(target)
+    return df.sparkSession.read.schema(df.schema).parquet(target)
