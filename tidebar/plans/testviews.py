@@ -96,3 +96,29 @@ def topk(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("value").alias("test_max_drawdown"),
         F.col("props").alias("params_json"),
     )
+
+
+def book(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    """A trade book of one event type; trade_id follows (exit_time, entry_time)."""
+    rows = trades(spark, sf_dir).where(F.col("strategy") == kind)
+    users = table(spark, sf_dir, "events").select(F.col("event_id").alias("_e"), "user_id")
+    numbered = running(rows, ["strategy"], ["exit_time", "entry_time", "trade_id"], time_block(F.col("exit_time")), [Run("_n", "count")])
+    joined = numbered.withColumnRenamed("trade_id", "_e").join(users, "_e")
+    return joined.select(
+        (F.col("_n") - 1).alias("trade_id"), "user_id", "entry_time", "exit_time",
+        F.when(F.col("_e") % 10 == 0, "unknown").otherwise(F.col("direction")).alias("direction"), F.lit(1.0).alias("qty"),
+        "entry_price", "exit_price", "pnl_net",
+    )
+
+
+def history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Run history over ``orders``."""
+    price = F.col("o_totalprice")
+    return table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("run_tag"), F.col("o_orderdate").cast("timestamp_ntz").alias("created_at"),
+        F.col("o_orderstatus").alias("symbol"), F.when(F.col("o_custkey") % 2 == 0, "5m").otherwise("60m").alias("timeframe"),
+        F.col("o_orderpriority").alias("strategy"), price.alias("score"), F.round(price - 150000.0, 2).alias("net_profit"),
+        (F.col("o_custkey") % 100).cast("double").alias("win_rate"), F.round(price / 10.0, 3).alias("max_drawdown"),
+        (F.col("o_custkey") % 40).cast("double").alias("trade_count"), (F.col("o_orderkey") % 6 + 1).alias("rank_in_run"),
+        F.concat(F.lit('{"b": '), (F.col("o_custkey") % 30).cast("string"), F.lit(', "a": 1}')).alias("params_json"),
+    )
