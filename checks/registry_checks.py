@@ -76,7 +76,12 @@ def _(spark, sf):
     return out.select("params_json", r6("test_score").alias("test_score"), "row_no")
 
 
-@query("u5_fingerprint")
+ROWD = "sha256(strftime(datetime, '%Y-%m-%dT%H:%M:%S') || ',' || concat_ws(',', open::VARCHAR, high::VARCHAR, low::VARCHAR, close::VARCHAR, volume::VARCHAR))"
+
+
+@query("u5_fingerprint", with_("bars", extra=f"""rd AS (SELECT symbol, timeframe, CAST(datetime AS DATE) AS day, {ROWD} AS d FROM bars),
+dg AS (SELECT symbol, timeframe, day, sha256(string_agg(d, chr(10) ORDER BY d)) AS d, count(*) AS n FROM rd GROUP BY ALL)""")
+       + "SELECT symbol, timeframe, sha256(string_agg(day::VARCHAR || ':' || d, chr(10) ORDER BY day::VARCHAR || ':' || d)) AS fingerprint, CAST(sum(n) AS BIGINT) AS rows FROM dg GROUP BY ALL")
 def _(spark, sf):
     return U.fingerprint(V.bars(spark, sf))
 

@@ -67,7 +67,9 @@ def _greedy(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame(out, columns=["_blk", "a_id", "b_id"])
 
 
-def match_trades(a: DataFrame, b: DataFrame, tolerance_sec: float = 300.0, by: Sequence[str] = ()) -> DataFrame:
+def match_trades(
+    a: DataFrame, b: DataFrame, tolerance_sec: float = 300.0, by: Sequence[str] = (), block_trades: int = BLOCK_TRADES
+) -> DataFrame:
     """(a_id, b_id, entry_gap, exit_gap) of the sequential greedy matching.
 
     Blocks of 4096 trades of A are folded in parallel under an assumption about the partners that earlier
@@ -75,7 +77,7 @@ def match_trades(a: DataFrame, b: DataFrame, tolerance_sec: float = 300.0, by: S
     sequential result. Trade ids of A must be numbers in processing order.
     """
     pairs = materialize(
-        candidate_pairs(a, b, tolerance_sec, by).withColumn("_blk", F.floor(F.col("a_id") / BLOCK_TRADES).cast("long"))
+        candidate_pairs(a, b, tolerance_sec, by).withColumn("_blk", F.floor(F.col("a_id") / F.lit(block_trades)).cast("long"))
     )
     reach = pairs.select("_blk", "b_id").distinct()
     edges = pairs.select("_blk", "a_id", "b_id", "score")

@@ -163,18 +163,24 @@ def performance(
     trades: DataFrame,
     equity: DataFrame,
     group: Sequence[str],
-    capital: float | Column,
+    capital: float | DataFrame,
     score: ScoreSettings = ScoreSettings(),
     trade_order: Sequence[str] = ("exit_time",),
     equity_order: Sequence[str] = ("datetime",),
 ) -> DataFrame:
-    """The full metric row of every group that has equity; groups without trades get zeros."""
-    start = capital if isinstance(capital, Column) else F.lit(float(capital))
+    """The full metric row of every group that has equity; groups without trades get zeros.
+
+    ``capital`` is one number or a table (group columns, capital).
+    """
     joined = (
         equity_stats(equity, group, equity_order)
         .join(trade_stats(trades, group), list(group), "left")
         .join(streaks(trades, group, trade_order), list(group), "left")
     )
+    if isinstance(capital, DataFrame):
+        joined, start = joined.join(capital, list(group)), F.col("capital")
+    else:
+        start = F.lit(float(capital))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     span = seconds_between("last_time", "first_time")
     net, dd, count = zero("net_profit"), F.col("max_drawdown"), zero("trade_count")

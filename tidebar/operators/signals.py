@@ -234,20 +234,20 @@ def strategy_signals(
     base: ExecutionSettings | None = None,
     only_entries: bool = False,
     params: DataFrame | None = None,
-    restrict: Column | None = None,
+    restrict: Sequence[str] | None = None,
 ) -> DataFrame:
     """Signal in {-1, 0, 1} per (series, parameter set, bar).
 
     ``base`` adds the execution settings of each set to its rows, ``only_entries`` drops zero signals before
     anything is shuffled. ``params`` replaces the parameter table (for instance one row per window and
-    rank); ``restrict`` is a condition between its columns and the bar columns.
+    rank); ``restrict`` then names the columns that tie its rows to a series, an ordinary equi-join.
     """
     rule = STRATEGIES[strategy] if isinstance(strategy, str) else strategy
     ready = rule.prepare(indexed, sets, keys)
     table = params if params is not None else params_frame(indexed.sparkSession, sets)
     if base is not None:
         table = with_settings(table, base)
-    crossed = ready.bars.crossJoin(F.broadcast(table)) if restrict is None else ready.bars.join(F.broadcast(table), restrict)
+    crossed = ready.bars.crossJoin(F.broadcast(table)) if restrict is None else ready.bars.join(table, list(restrict))
     allowed = hour_window() & validity_window()
     if rule.minute_window:
         allowed = allowed & minute_window(rule.minute_window)

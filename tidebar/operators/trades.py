@@ -54,7 +54,7 @@ def labelled_candidates(
     path: DataFrame | None = None,
     by_tick: bool = False,
     params: DataFrame | None = None,
-    restrict: Column | None = None,
+    restrict: Sequence[str] | None = None,
 ) -> DataFrame:
     """Every tradable signal with its own exit and P&L."""
     framed = with_next_bar(indexed, keys)
@@ -77,7 +77,7 @@ def run_trades(
     path: DataFrame | None = None,
     by_tick: bool = False,
     params: DataFrame | None = None,
-    restrict: Column | None = None,
+    restrict: Sequence[str] | None = None,
     block_days: int = BLOCK_DAYS,
 ) -> DataFrame:
     """Signals to trades for all series and parameter sets in one plan."""
@@ -125,17 +125,17 @@ def equity_curve(
     keys: Sequence[str] = SERIES,
     group: Sequence[str] | None = None,
     dense: bool = True,
-    capital: Column | None = None,
+    restrict: Sequence[str] | None = None,
 ) -> DataFrame:
     """Cash and equity at each bar close for every group (series x parameter set).
 
-    ``groups`` lists the parameter rows (columns of ``group`` beyond ``keys``, plus join keys); it is
-    broadcast. ``dense=False`` keeps the first bar and the bars that hold or close a position: between those
+    ``groups`` lists the parameter rows; with ``restrict`` they belong to certain series and are joined on
+    those columns, otherwise every series meets every (broadcast) row. ``dense=False`` keeps the first bar and the bars that hold or close a position: between those
     equity is flat, so drawdown and returns lose nothing while a sweep avoids bars x sets rows.
     """
     keys = list(keys)
     group = list(group) if group else [*keys, "param_id"]
-    start = capital if capital is not None else F.lit(base.initial_capital)
+    start = F.lit(base.initial_capital)
     scale = F.lit(base.point_value) * F.lit(base.contracts)
     side = F.when(F.col("direction") == "long", 1.0).otherwise(-1.0)
     chunk = F.floor(F.col("bar_idx") / F.lit(BLOCK_ROWS)).cast("long")
@@ -156,10 +156,9 @@ def equity_curve(
     events = open_rows.unionByName(closed).groupBy(*group, "bar_idx").agg(
         F.sum("floating").alias("floating"), F.sum("net").alias("net")
     )
-    shared = [c for c in groups.columns if c in indexed.columns]
     skeleton = indexed if dense else indexed.where(F.col("bar_idx") == 0)
-    lines = skeleton.select(*dict.fromkeys([*keys, *shared, "bar_idx", "datetime"]))
-    lines = lines.join(F.broadcast(groups), shared) if shared else lines.crossJoin(F.broadcast(groups))
+    lines = skeleton.select(*keys, "bar_idx", "datetime")
+    lines = lines.join(groups, list(restrict)) if restrict else lines.crossJoin(F.broadcast(groups))
     if dense:
         rows = lines.select(*group, "bar_idx", "datetime", F.lit(None).cast("double").alias("floating"), F.lit(0.0).alias("net"), F.lit(1).alias("_bar"))
         steps = events.select(*group, "bar_idx", F.lit(None).cast("timestamp_ntz").alias("datetime"), "floating", "net", F.lit(0).alias("_bar"))
