@@ -103,8 +103,8 @@ ex AS (SELECT *, (exit_price - entry_price) * side AS pnl_points, (exit_price -
         return text
     return text + f""",
 num AS (SELECT *, row_number() OVER (PARTITION BY {pk}, param_id ORDER BY sig_idx) AS rn FROM ex),
-walk AS (SELECT {pk}, param_id, rn, exit_idx AS ox, exit_day AS od, pnl_net AS op, sig_day AS dy, 0 AS stk, 0.0::DOUBLE AS real, false AS ss, false AS ls, true AS taken FROM num WHERE rn = 1
- UNION ALL SELECT {', '.join('q.' + c.strip() for c in part.split(','))}, q.param_id, q.rn, CASE WHEN q.adm THEN q.exit_idx WHEN q.closed THEN NULL ELSE q.ox END, CASE WHEN q.adm THEN q.exit_day WHEN q.closed THEN NULL ELSE q.od END,
+walk AS (SELECT {pk}, param_id, rn, exit_idx + (exit_reason = 'end_of_data')::INT AS ox, exit_day AS od, pnl_net AS op, sig_day AS dy, 0 AS stk, 0.0::DOUBLE AS real, false AS ss, false AS ls, true AS taken FROM num WHERE rn = 1
+ UNION ALL SELECT {', '.join('q.' + c.strip() for c in part.split(','))}, q.param_id, q.rn, CASE WHEN q.adm THEN q.exit_idx + (q.exit_reason = 'end_of_data')::INT WHEN q.closed THEN NULL ELSE q.ox END, CASE WHEN q.adm THEN q.exit_day WHEN q.closed THEN NULL ELSE q.od END,
   CASE WHEN q.adm THEN q.pnl_net WHEN q.closed THEN NULL ELSE q.op END, q.sig_day, q.stk, q.real, q.ss, q.ls, q.adm FROM (
   SELECT z.*, (z.closed OR z.ox IS NULL) AND NOT z.ss AND NOT z.ls AS adm FROM (
    SELECT y.* REPLACE (CASE WHEN y.sig_day <> y.d1 THEN 0 ELSE y.stk END AS stk, CASE WHEN y.sig_day <> y.d1 THEN 0.0 ELSE y.real END AS real,

@@ -125,13 +125,13 @@ def number_rows(
     return numbered.select(*df.columns, (F.col("_n") - 1).alias(out))
 
 
-def with_halo(df: DataFrame, idx: str, back: int, ahead: int = 0, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def with_halo(df: DataFrame, idx: str, back: int, ahead: int = 0, block_rows: int | None = None) -> DataFrame:
     """Assign rows to index blocks and copy border rows to the neighbouring block.
 
     Adds ``_chunk`` (block the copy belongs to). Keep the rows of a block with :func:`drop_halo` after the
     windows over ``(keys, _chunk)`` are done. ``back`` and ``ahead`` may not exceed the block length.
     """
-    size = max(block_rows, back, ahead)
+    size = max(block_rows or BLOCK_ROWS, back, ahead)
     home = F.floor(F.col(idx) / F.lit(size)).cast("long")
     offset = F.pmod(F.col(idx), F.lit(size))
     copies = [home]

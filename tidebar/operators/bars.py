@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -170,55 +171,48 @@ def quality_report(bars: DataFrame) -> DataFrame:
     )
 
 
-def bar_spacing(bars: DataFrame) -> DataFrame:
+def bar_spacing(bars: DataFrame, keys: Sequence[str] = SERIES) -> DataFrame:
     """Median positive distance between neighbouring bars in seconds; 300 when a series has none.
 
     Gaps are counted per distinct value before the median, so the final stage sees the distinct gaps only.
     """
     block = time_block(F.col("datetime"), 30 * SECONDS_PER_DAY)
-    gaps = running(bars, SERIES, ["datetime"], block, [Run("_prev", "prev", F.col("datetime"))])
+    gaps = running(bars, keys, ["datetime"], block, [Run("_prev", "prev", F.col("datetime"))])
     gap = (epoch_micros(F.col("datetime")) - epoch_micros(F.col("_prev"))) / F.lit(float(MICROS))
-    counted = gaps.select(*SERIES, gap.alias("gap")).groupBy(*SERIES, "gap").agg(F.count(F.lit(1)).alias("n"))
+    counted = gaps.select(*keys, gap.alias("gap")).groupBy(*keys, "gap").agg(F.count(F.lit(1)).alias("n"))
     median = F.percentile(F.when(F.col("gap") > 0, F.col("gap")), F.lit(0.5), F.col("n"))
-    return counted.groupBy(*SERIES).agg(
-        F.coalesce(median, F.lit(DEFAULT_SPACING_SECONDS)).alias("spacing_sec")
-    )
+    return counted.groupBy(*keys).agg(F.coalesce(median, F.lit(DEFAULT_SPACING_SECONDS)).alias("spacing_sec"))
 
 
-def assign_ticks(ticks: DataFrame, indexed_bars: DataFrame) -> DataFrame:
+def assign_ticks(ticks: DataFrame, indexed_bars: DataFrame, by: Sequence[str] = ("symbol",), label: Sequence[str] = ("timeframe",)) -> DataFrame:
     """Bar that owns each tick: bar i owns [t_i, t_i+1), the last bar one spacing more.
 
-    As-of by union: bars and ticks of a symbol are ordered on one time line and the latest bar row is
-    carried forward. Equi-partitioned by (symbol, day), no inequality join.
+    As-of by union: bars and ticks with equal ``by`` columns are ordered on one time line and the latest bar
+    row is carried forward. Equi-partitioned by time block, no inequality join. ``label`` columns come from
+    the bar.
     """
-    spacing = bar_spacing(indexed_bars)
-    ends = indexed_bars.groupBy(*SERIES).agg(F.max("datetime").alias("_last"))
-    limits = ends.join(spacing, list(SERIES)).select(
-        "symbol",
-        "timeframe",
-        F.timestamp_micros(
-            epoch_micros(F.col("_last")) + F.greatest(F.lit(1), (F.col("spacing_sec") * MICROS).cast("long"))
-        ).cast("timestamp_ntz").alias("_until"),
+    by, label = list(by), list(label)
+    keys = [*by, *label]
+    ends = indexed_bars.groupBy(*keys).agg(F.max("datetime").alias("_last"))
+    margin = F.greatest(F.lit(1), (F.col("spacing_sec") * MICROS).cast("long"))
+    limits = ends.join(bar_spacing(indexed_bars, keys), keys).select(
+        *keys, F.timestamp_micros(epoch_micros(F.col("_last")) + margin).cast("timestamp_ntz").alias("_until")
     )
+    tag = F.struct(*label, "bar_idx")
     bar_rows = indexed_bars.select(
-        "symbol", "datetime", F.lit(-1).cast("long").alias("seq"), F.lit(None).cast("double").alias("price"),
-        F.lit(None).cast("double").alias("volume"), F.struct("timeframe", "bar_idx").alias("_bar"), F.lit(0).alias("_side"),
-    )
-    tick_rows = ticks.select(
-        "symbol", "datetime", "seq", "price", "volume",
-        F.lit(None).cast("struct<timeframe:string,bar_idx:bigint>").alias("_bar"), F.lit(1).alias("_side"),
+        *by, "datetime", F.lit(-1).cast("long").alias("seq"), F.lit(None).cast("double").alias("price"),
+        F.lit(None).cast("double").alias("volume"), tag.alias("_bar"), F.lit(0).alias("_side"),
     )
-    line = bar_rows.unionByName(tick_rows)
+    nothing = F.lit(None).cast(bar_rows.schema["_bar"].dataType)
+    tick_rows = ticks.select(*by, "datetime", "seq", "price", "volume", nothing.alias("_bar"), F.lit(1).alias("_side"))
     owned = running(
-        line, ["symbol"], ["datetime", "_side", "seq"], time_block(F.col("datetime")), [Run("_own", "last", F.col("_bar"))]
+        bar_rows.unionByName(tick_rows), by, ["datetime", "_side", "seq"], time_block(F.col("datetime")),
+        [Run("_own", "last", F.col("_bar"))],
     ).where((F.col("_side") == 1) & F.col("_own").isNotNull())
     flat = owned.select(
-        "symbol", F.col("_own.timeframe").alias("timeframe"), F.col("_own.bar_idx").alias("bar_idx"),
-        "datetime", "seq", "price", "volume",
+        *by, *[F.col(f"_own.{c}").alias(c) for c in label], F.col("_own.bar_idx").alias("bar_idx"), "datetime", "seq", "price", "volume"
     )
-    return flat.join(limits, list(SERIES)).where(
-        F.col("datetime") < F.col("_until")
-    ).drop("_until")
+    return flat.join(limits, keys).where(F.col("datetime") < F.col("_until")).drop("_until")
 
 
 def downsample(indexed: DataFrame, step: int, series: tuple[str, ...] = SERIES) -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidebar.operators.exits import END
 from tidebar.session import materialize
 
 BLOCK_DAYS = 30
@@ -124,7 +125,9 @@ def select_trades(
     held = materialize(candidates.withColumn("_blk", F.floor(F.col("sig_day") / F.lit(block_days)).cast("long")))
     in_order = Window.partitionBy(*group).orderBy("_blk")
     blocks = held.select(*group, "_blk").distinct().withColumn("_next", F.lead("_blk", 1).over(in_order))
-    facts = held.select(*group, "_blk", *_FACTS).withColumn("_carried", F.lit(False))
+    # the forced close at the end of the data comes after the last bar's signal
+    leaves = F.col("exit_idx") + F.when(F.col("exit_reason") == END, 1).otherwise(0)
+    facts = held.withColumn("exit_idx", leaves).select(*group, "_blk", *_FACTS).withColumn("_carried", F.lit(False))
     schema = T.StructType(
         [held.schema[c] for c in group]
         + [T.StructField("_blk", T.LongType()), T.StructField("_kind", T.StringType()), T.StructField("sig_idx", T.LongType())]

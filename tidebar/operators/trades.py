@@ -67,7 +67,7 @@ def labelled_candidates(
     return price_exits(X.first_exit(candidates, walk, keys, break_even, by_tick), base)
 
 
-def run_trades(
+def admitted_trades(
     indexed: DataFrame,
     strategy: Strategy | str,
     sets: Sequence[Mapping[str, Any]],
@@ -80,14 +80,26 @@ def run_trades(
     restrict: Sequence[str] | None = None,
     block_days: int = BLOCK_DAYS,
 ) -> DataFrame:
-    """Signals to trades for all series and parameter sets in one plan."""
+    """Candidates that became trades, with all their pricing inputs."""
     group = list(group) if group else [*keys, "param_id"]
     priced = labelled_candidates(indexed, strategy, sets, base, keys, path, by_tick, params, restrict)
     chosen = select_trades(priced, group, base.max_positions, block_days)
-    if base.max_positions > 1:
-        chosen = _flattened(chosen, indexed, keys, base)
-    name = strategy if isinstance(strategy, str) else strategy.name
-    return trade_columns(chosen, group, name)
+    return _flattened(chosen, indexed, keys, base) if base.max_positions > 1 else chosen
+
+
+def run_trades(
+    indexed: DataFrame,
+    strategy: Strategy | str,
+    sets: Sequence[Mapping[str, Any]],
+    base: ExecutionSettings,
+    keys: Sequence[str] = SERIES,
+    group: Sequence[str] | None = None,
+    **options: Any,
+) -> DataFrame:
+    """Signals to trades for all series and parameter sets in one plan (options of :func:`admitted_trades`)."""
+    group = list(group) if group else [*keys, "param_id"]
+    chosen = admitted_trades(indexed, strategy, sets, base, keys, group, **options)
+    return trade_columns(chosen, group, strategy if isinstance(strategy, str) else strategy.name)
 
 
 def _flattened(chosen: DataFrame, indexed: DataFrame, keys: Sequence[str], base: ExecutionSettings) -> DataFrame:
