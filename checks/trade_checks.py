@@ -14,6 +14,7 @@ from tidebar.operators.params import ExecutionSettings, params_frame, with_setti
 from tidebar.operators.signals import strategy_signals
 from tidebar.operators.trades import equity_curve, labelled_candidates, run_trades
 from tidebar.plans import testviews as V
+from tidebar.session import settled
 
 BREAKOUT = [
     {"lookback": 8, "min_range_points": 80, "stop_points": 40, "take_points": 90},
@@ -94,7 +95,7 @@ def _(spark, sf):
 @query("t15_equity_curve", trades_sql(
     breakout_sig(BREAKOUT), BREAKOUT, PLAIN, f"SELECT symbol, param_id, bar_idx, datetime, {r('equity')} AS equity, {r('cash')} AS cash FROM eq", equity=True))
 def _(spark, sf):
-    bars = V.indexed_bars(spark, sf)
+    bars = settled(V.indexed_bars(spark, sf))
     trades = run_trades(bars, "breakout_range", BREAKOUT, PLAIN)
     eq = equity_curve(trades, bars, params_frame(spark, BREAKOUT).select("param_id"), PLAIN)
     return eq.select("symbol", "param_id", "bar_idx", "datetime", r6("equity").alias("equity"), r6("cash").alias("cash"))
@@ -145,7 +146,7 @@ fin AS (SELECT c.symbol, c.param_id, c.sig_idx, c.entry_idx, c.entry_price, c.si
 @query("t7_tick_path_exit", with_("idx", extra=breakout_sig(TICK_SETS) + ",\n" + params_cte(TICK_SETS, TICK_BASE) + ",\n" + tick_chain())
        + f"SELECT symbol, param_id, sig_idx, entry_idx, exit_idx, exit_reason, {r('exit_price')} AS exit_price, {r('(exit_price - entry_price) * side')} AS pnl_points FROM fin")
 def _(spark, sf):
-    bars = V.indexed_bars(spark, sf)
+    bars = settled(V.indexed_bars(spark, sf))
     path = X.tick_path(bars, B.assign_ticks(V.ticks(spark, sf), bars), B.SERIES)
     out = labelled_candidates(bars, "breakout_range", TICK_SETS, TICK_BASE, path=path, by_tick=True)
     return out.select("symbol", "param_id", "sig_idx", "entry_idx", "exit_idx", "exit_reason", r6("exit_price").alias("exit_price"), r6("pnl_points").alias("pnl_points"))

@@ -171,7 +171,7 @@ def select_trades(
         )
         again = facts.unionByName(carried.select(*facts.columns)).join(changed, [*group, "_blk"], "left_semi")
         kept = out.join(changed, [*group, "_blk"], "left_anti")
-        assumed = materialize(now)
+        assumed = now
         out = materialize(kept.unionByName(fold(again)))
 
     takes = out.where(F.col("_kind") == "take").select(*group, "sig_idx")

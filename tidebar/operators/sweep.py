@@ -14,6 +14,7 @@ from tidebar.operators.params import ExecutionSettings, params_frame
 from tidebar.operators.registry import best_per_key, canonical_params
 from tidebar.operators.signals import Strategy
 from tidebar.operators.trades import equity_curve, run_trades
+from tidebar.session import settled
 from tidebar.functions.columns import safe_div
 
 
@@ -230,6 +231,7 @@ def evaluate_sets(
     builds bars x sets rows.
     """
     group = [*keys, "param_id"]
+    indexed = settled(indexed)
     trades = run_trades(indexed, strategy, sets, base, keys)
     ids = params_frame(indexed.sparkSession, sets)
     equity = equity_curve(trades, indexed, ids.select("param_id"), base, keys, dense=False)

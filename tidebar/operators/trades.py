@@ -11,10 +11,11 @@ from tidebar.functions.columns import day_number
 from tidebar.functions.scans import BLOCK_ROWS, Run, running
 from tidebar.operators import exits as X
 from tidebar.operators.bars import SERIES, candle_range
-from tidebar.operators.entries import CANDIDATE_COLUMNS, auction_flag, entry_candidates, slippage_points, with_next_bar
+from tidebar.operators.entries import auction_flag, entry_candidates, slippage_points, with_next_bar
 from tidebar.operators.params import ExecutionSettings
 from tidebar.operators.selection import BLOCK_DAYS, select_trades
-from tidebar.operators.signals import STRATEGIES, Strategy, strategy_signals
+from tidebar.operators.signals import Strategy, strategy_signals
+from tidebar.session import settled
 
 
 def trade_costs(entry_range: Column, exit_range: Column, auction: Column, base: ExecutionSettings) -> Column:
@@ -57,6 +58,7 @@ def labelled_candidates(
     restrict: Sequence[str] | None = None,
 ) -> DataFrame:
     """Every tradable signal with its own exit and P&L."""
+    indexed = settled(indexed)
     framed = with_next_bar(indexed, keys)
     signals = strategy_signals(framed, strategy, sets, keys, base, only_entries=True, params=params, restrict=restrict)
     candidates = entry_candidates(signals, base)

@@ -51,3 +51,14 @@ def materialize(df: DataFrame) -> DataFrame:
     target = f"{shared_folder(df.sparkSession).rstrip('/')}/tidebar-{uuid.uuid4().hex}"
     df.write.parquet(target)
     return df.sparkSession.read.schema(df.schema).parquet(target)
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` itself when it is a plain scan, else its rows written once.
+
+    For frames that several branches of a plan read: recomputing joins, windows and aggregations per branch
+    costs more than one write.
+    """
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    heavy = any(node in plan for node in ("Aggregate", "Window", "Join", "Generate", "Repartition"))
+    return materialize(df) if heavy else df
