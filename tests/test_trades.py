@@ -107,7 +107,7 @@ def test_chain_equals_sequential_simulation(spark, monkeypatch, case):
         params |= {"enable_daily_limits": True, "daily_loss_limit": p["loss"], "daily_profit_target": p["target"]}
     want = sequential_trades(pdf, signal.tolist(), base, p)
     bars = spark.createDataFrame(pdf)
-    got = run_trades(bars, rule(np.flatnonzero(signal > 0), np.flatnonzero(signal < 0)), [params], base, block_days=1).toPandas()
+    got = run_trades(bars, rule(np.flatnonzero(signal > 0), np.flatnonzero(signal < 0)), [params], base, block_days=4).toPandas()
     side = got["direction"].map({"long": 1, "short": -1})
     have = sorted(zip(got["entry_idx"], got["exit_idx"], side, got["exit_price"].round(6), got["exit_reason"]))
     assert [tuple(x) for x in have] == want

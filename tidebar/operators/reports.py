@@ -120,7 +120,8 @@ def oos_summary(windows: DataFrame, group: Sequence[str]) -> DataFrame:
         F.coalesce(F.min(y), F.lit(0.0)).alias("oos_score_min"),
         F.coalesce(F.max(y), F.lit(0.0)).alias("oos_score_max"),
         (F.avg(F.when(F.col("oos_net_profit") > 0, 1.0).otherwise(0.0)) * 100.0).alias("positive_oos_windows_pct"),
-        F.coalesce(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), corr)), F.lit(0.0)).alias("train_test_score_corr"),
+        # coalesce first: least and greatest skip nulls
+        F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.coalesce(corr, F.lit(0.0)))).alias("train_test_score_corr"),
     )
 
 

@@ -6,7 +6,7 @@ joined by broadcast and pick their periods by position. Bars are never shuffled
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from typing import Any, Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -27,6 +27,30 @@ class Prepared:
     bars: DataFrame
     long: Column
     short: Column
+    param_columns: Mapping[str, Column] = field(default_factory=dict)
+
+
+class ParamSide:
+    """Expressions over the parameter map, computed once per parameter set before it meets the bars.
+
+    Calling it registers an expression and returns the column that will hold it, so the row-by-row part of a
+    sweep compares plain numbers.
+    """
+
+    def __init__(self) -> None:
+        self.columns: dict[str, Column] = {}
+
+    def __call__(self, expression: Column) -> Column:
+        name = f"_p{len(self.columns)}"
+        self.columns[name] = expression
+        return F.col(name)
+
+    def pick(self, prefix: str, values: Sequence[Any], selector: Column) -> Column:
+        """The prepared column ``<prefix><value>`` whose value equals ``selector``."""
+        if len(values) == 1:
+            return F.col(f"{prefix}{values[0]}")
+        position = self((F.array_position(F.array(*[F.lit(v) for v in values]), selector) - 1).cast("int"))
+        return F.get(F.col(f"{prefix}all"), position)
 
 
 @dataclass(frozen=True)
@@ -52,14 +76,6 @@ def _ints(sets: Sequence[ParamSet], key: str, default: int | None, floor: int =
     return sorted(values)
 
 
-def pick(prefix: str, values: Sequence[Any], selector: Column) -> Column:
-    """The column ``<prefix><value>`` whose value equals ``selector``."""
-    if len(values) == 1:
-        return F.col(f"{prefix}{values[0]}")
-    position = F.array_position(F.array(*[F.lit(v) for v in values]), selector) - 1
-    return F.get(F.col(f"{prefix}all"), position)
-
-
 def pack(df: DataFrame, prefix: str, values: Sequence[Any]) -> DataFrame:
     """Fold the columns of several periods into one array column."""
     if len(values) == 1:
@@ -82,6 +98,7 @@ def _with_previous(bars: DataFrame, keys: Sequence[str], columns: Mapping[str, s
 
 
 def ema_pullback(bars: DataFrame, sets: Sequence[ParamSet], keys: Sequence[str]) -> Prepared:
+    side = ParamSide()
     spans = sorted(set(_ints(sets, "ema_fast", None)) | set(_ints(sets, "ema_slow", None)))
     atrs = _ints(sets, "atr_period", None)
     adxs = _ints(sets, "adx_period", 14)
@@ -92,39 +109,40 @@ def ema_pullback(bars: DataFrame, sets: Sequence[ParamSet], keys: Sequence[str])
          *I._simple_adx_stages(adxs)[2:]],
     ).select(*bars.columns, "prev_close", *[f"atr_{n}" for n in atrs], *[f"adx_{n}" for n in adxs])
     frame = _with_ema(pack(pack(frame, "atr_", atrs), "adx_", adxs), spans, keys)
-    fast, slow = pick("ema_", spans, _period("ema_fast", None)), pick("ema_", spans, _period("ema_slow", None))
-    atr, adx = pick("atr_", atrs, _period("atr_period", None)), pick("adx_", adxs, _period("adx_period", 14))
+    fast, slow = side.pick("ema_", spans, _period("ema_fast", None)), side.pick("ema_", spans, _period("ema_slow", None))
+    atr, adx = side.pick("atr_", atrs, _period("atr_period", None)), side.pick("adx_", adxs, _period("adx_period", 14))
     close, open_ = F.col("close"), F.col("open")
-    strong = is_true((num("atr_min", 0.0) <= 0) | (atr >= num("atr_min", 0.0))) & is_true(
-        ~flag("use_adx", False) | (adx >= num("adx_min", 20.0))
-    )
+    floor, adx_off, adx_min = side(num("atr_min", 0.0)), side(~flag("use_adx", False)), side(num("adx_min", 20.0))
+    strong = is_true((floor <= 0) | (atr >= floor)) & is_true(adx_off | (adx >= adx_min))
     long = (close > slow) & (F.col("low") <= fast) & (close > open_) & (close > F.col("prev_close")) & (close >= fast)
     short = (close < slow) & (F.col("high") >= fast) & (close < open_) & (close < F.col("prev_close")) & (close <= fast)
-    return Prepared(frame, long & strong, short & strong)
+    return Prepared(frame, long & strong, short & strong, side.columns)
 
 
 def breakout_range(bars: DataFrame, sets: Sequence[ParamSet], keys: Sequence[str]) -> Prepared:
+    side = ParamSide()
     spans = _ints(sets, "lookback", None)
     stage: dict[str, I.Feature] = {}
     for n in spans:
         stage[f"top_{n}"] = I.prior_extreme("high", n, True)
         stage[f"bottom_{n}"] = I.prior_extreme("low", n, False)
     frame = pack(pack(I.over_bars(bars, keys, max(spans), [stage]), "top_", spans), "bottom_", spans)
-    top, bottom = pick("top_", spans, _period("lookback", None)), pick("bottom_", spans, _period("lookback", None))
-    wide = (top - bottom) >= num("min_range_points")
-    return Prepared(frame, (F.col("close") > top) & wide, (F.col("close") < bottom) & wide)
+    top, bottom = side.pick("top_", spans, _period("lookback", None)), side.pick("bottom_", spans, _period("lookback", None))
+    wide = (top - bottom) >= side(num("min_range_points"))
+    return Prepared(frame, (F.col("close") > top) & wide, (F.col("close") < bottom) & wide, side.columns)
 
 
 def scalp_break_even(bars: DataFrame, sets: Sequence[ParamSet], keys: Sequence[str]) -> Prepared:
+    side = ParamSide()
     spans = sorted(set(_ints(sets, "ema_fast", None)) | set(_ints(sets, "ema_slow", None)))
     frame = _with_ema(_with_previous(bars, keys, {"prev_close": "close"}), spans, keys)
-    fast, slow = pick("ema_", spans, _period("ema_fast", None)), pick("ema_", spans, _period("ema_slow", None))
+    fast, slow = side.pick("ema_", spans, _period("ema_fast", None)), side.pick("ema_", spans, _period("ema_slow", None))
     close, open_, before = F.col("close"), F.col("open"), F.col("prev_close")
-    floor = num("min_range_points", 0.0)
+    floor = side(num("min_range_points", 0.0))
     wide = (floor <= 0) | (F.abs(F.col("high") - F.col("low")) >= floor)
     long = (fast > slow) & (close > fast) & (F.col("low") <= fast) & (close > open_) & (close > before)
     short = (fast < slow) & (close < fast) & (F.col("high") >= fast) & (close < open_) & (close < before)
-    return Prepared(frame, long & wide, short & wide)
+    return Prepared(frame, long & wide, short & wide, side.columns)
 
 
 def _trend_frame(
@@ -141,15 +159,18 @@ def _trend_frame(
 
 
 def trx_htsl(bars: DataFrame, sets: Sequence[ParamSet], keys: Sequence[str]) -> Prepared:
+    side = ParamSide()
     frame, spans, hilos, tags, tag = _trend_frame(bars, sets, keys, 20, 10, 14, 14)
     frame = pack(pack(pack(frame, "ema_", spans), "hilo_", hilos), "wadx_", tags)
-    ema, hilo = pick("ema_", spans, _period("ema_period", 20, 2)), pick("hilo_", hilos, _period("hilo_period", 10, 2))
-    adx, close = pick("wadx_", tags, tag), F.col("close")
-    strong = adx >= num("adx_min", 20.0)
-    return Prepared(frame, strong & (close > ema) & (close > hilo), strong & (close < ema) & (close < hilo))
+    ema, hilo = side.pick("ema_", spans, _period("ema_period", 20, 2)), side.pick("hilo_", hilos, _period("hilo_period", 10, 2))
+    adx, close = side.pick("wadx_", tags, tag), F.col("close")
+    strong = adx >= side(num("adx_min", 20.0))
+    up, down = strong & (close > ema) & (close > hilo), strong & (close < ema) & (close < hilo)
+    return Prepared(frame, up, down, side.columns)
 
 
 def trx_melhor(bars: DataFrame, sets: Sequence[ParamSet], keys: Sequence[str]) -> Prepared:
+    side = ParamSide()
     frame, spans, hilos, tags, tag = _trend_frame(bars, sets, keys, 22, 9, 13, 14)
     steps = {f"emad_{n}": I.diff1(f"ema_{n}") for n in spans}
     steps.update({f"wadxd_{t}": I.diff1(f"wadx_{t}") for t in tags})
@@ -157,33 +178,33 @@ def trx_melhor(bars: DataFrame, sets: Sequence[ParamSet], keys: Sequence[str]) -
     for prefix, values in (("ema_", spans), ("emad_", spans), ("hilo_", hilos), ("wadx_", tags), ("wadxd_", tags)):
         frame = pack(frame, prefix, values)
     span, close = _period("ema_period", 22, 2), F.col("close")
-    ema, slope, hilo = pick("ema_", spans, span), pick("emad_", spans, span), pick("hilo_", hilos, _period("hilo_period", 9, 2))
-    adx, rise = pick("wadx_", tags, tag), pick("wadxd_", tags, tag)
+    ema, slope, hilo = side.pick("ema_", spans, span), side.pick("emad_", spans, span), side.pick("hilo_", hilos, _period("hilo_period", 9, 2))
+    adx, rise = side.pick("wadx_", tags, tag), side.pick("wadxd_", tags, tag)
     quality = (
-        (adx >= num("adx_min", 20.9))
-        & is_true(~flag("require_adx_rising", True) | (rise >= 0))
-        & (F.abs(F.col("high") - F.col("low")) <= num("max_bar_range_points", 500.0))
-        & (F.abs(close - ema) <= num("max_ema_distance_points", 250.0))
-    )
-    return Prepared(
-        frame, quality & (slope > 0) & (close > ema) & (close > hilo), quality & (slope < 0) & (close < ema) & (close < hilo)
+        (adx >= side(num("adx_min", 20.9)))
+        & is_true(side(~flag("require_adx_rising", True)) | (rise >= 0))
+        & (F.abs(F.col("high") - F.col("low")) <= side(num("max_bar_range_points", 500.0)))
+        & (F.abs(close - ema) <= side(num("max_ema_distance_points", 250.0)))
     )
+    up, down = quality & (slope > 0) & (close > ema) & (close > hilo), quality & (slope < 0) & (close < ema) & (close < hilo)
+    return Prepared(frame, up, down, side.columns)
 
 
 def ganhador_80(bars: DataFrame, sets: Sequence[ParamSet], keys: Sequence[str]) -> Prepared:
+    side = ParamSide()
     slow_of = lambda p: max(3, int(p.get("ema_slow", 21)), int(p.get("ema_fast", 8)) + 1)
     spans = sorted(set(_ints(sets, "ema_fast", 8, 2)) | {slow_of(p) for p in sets})
     frame = I.over_bars(I.ema(bars, spans, keys), keys, 1, [{f"emap_{n}": I.lag1(f"ema_{n}") for n in spans}])
     frame = pack(pack(frame, "ema_", spans), "emap_", spans)
     fast_n = _period("ema_fast", 8, 2)
     slow_n = F.greatest(F.lit(3), num("ema_slow", 21.0).cast("int"), num("ema_fast", 8.0).cast("int") + 1)
-    fast, slow = pick("ema_", spans, fast_n), pick("ema_", spans, slow_n)
-    fast0, slow0 = pick("emap_", spans, fast_n), pick("emap_", spans, slow_n)
-    close, open_, floor = F.col("close"), F.col("open"), num("range_min_points", 0.0)
+    fast, slow = side.pick("ema_", spans, fast_n), side.pick("ema_", spans, slow_n)
+    fast0, slow0 = side.pick("emap_", spans, fast_n), side.pick("emap_", spans, slow_n)
+    close, open_, floor = F.col("close"), F.col("open"), side(num("range_min_points", 0.0))
     wide = (floor <= 0) | (F.abs(F.col("high") - F.col("low")) >= floor)
     up = (fast > slow) & (fast0 <= slow0) & (close > open_) & (close > fast) & (close > slow)
     down = (fast < slow) & (fast0 >= slow0) & (close < open_) & (close < fast) & (close < slow)
-    return Prepared(frame, up & wide, down & wide)
+    return Prepared(frame, up & wide, down & wide, side.columns)
 
 
 STRATEGIES: dict[str, Strategy] = {
@@ -204,25 +225,26 @@ def register_strategy(strategy: Strategy) -> None:
     STRATEGIES[strategy.name] = strategy
 
 
-def minute_window(default: tuple[str, str]) -> Column:
+def minute_window(default: tuple[str, str], side: ParamSide) -> Column:
     """Inclusive entry window by minute of day; malformed bounds do not restrict."""
-    lo, hi = clamped_hhmm_minutes(text("entry_start_time", default[0])), clamped_hhmm_minutes(text("entry_end_time", default[1]))
+    lo = side(clamped_hhmm_minutes(text("entry_start_time", default[0])))
+    hi = side(clamped_hhmm_minutes(text("entry_end_time", default[1])))
     now = minute_of_day(F.col("datetime"))
     return lo.isNull() | hi.isNull() | ((now >= lo) & (now <= hi))
 
 
-def hour_window() -> Column:
+def hour_window(side: ParamSide) -> Column:
     """Inclusive hours, wrapping midnight when the start is later; needs both bounds."""
-    bound = lambda key: F.least(F.greatest(num(key).cast("int"), F.lit(0)), F.lit(23))
-    raw_missing = num("hour_start").isNull() | num("hour_end").isNull()
-    lo, hi, now = bound("hour_start"), bound("hour_end"), F.hour("datetime")
+    bound = lambda key: F.when(num(key).isNotNull(), F.least(F.greatest(num(key).cast("int"), F.lit(0)), F.lit(23)))
+    lo, hi, now = side(bound("hour_start")), side(bound("hour_end")), F.hour("datetime")
     inside = F.when(lo <= hi, (now >= lo) & (now <= hi)).otherwise((now >= lo) | (now <= hi))
-    return raw_missing | is_true(inside)
+    return lo.isNull() | hi.isNull() | is_true(inside)
 
 
-def validity_window() -> Column:
+def validity_window(side: ParamSide) -> Column:
     """Inclusive licence dates; an unreadable or missing bound does not restrict."""
-    lo, hi, day = loose_date(text("license_start_date")), loose_date(text("license_end_date")), F.col("datetime").cast("date")
+    lo, hi = side(loose_date(text("license_start_date"))), side(loose_date(text("license_end_date")))
+    day = F.col("datetime").cast("date")
     return (lo.isNull() | (day >= lo)) & (hi.isNull() | (day <= hi))
 
 
@@ -247,12 +269,15 @@ def strategy_signals(
     table = params if params is not None else params_frame(indexed.sparkSession, sets)
     if base is not None:
         table = with_settings(table, base)
-    crossed = ready.bars.crossJoin(F.broadcast(table)) if restrict is None else ready.bars.join(table, list(restrict))
-    allowed = hour_window() & validity_window()
-    if rule.minute_window:
-        allowed = allowed & minute_window(rule.minute_window)
-    side = F.when(is_true(ready.short), -1).when(is_true(ready.long), 1).otherwise(0)
-    signal = F.when(allowed, side).otherwise(0).cast("int").alias("signal")
     extra = [c for c in table.columns if c not in indexed.columns and c not in ("params",)]
+    side = ParamSide()
+    side.columns.update(ready.param_columns)
+    allowed = hour_window(side) & validity_window(side)
+    if rule.minute_window:
+        allowed = allowed & minute_window(rule.minute_window, side)
+    table = table.withColumns(side.columns)
+    crossed = ready.bars.crossJoin(F.broadcast(table)) if restrict is None else ready.bars.join(table, list(restrict))
+    direction = F.when(is_true(ready.short), -1).when(is_true(ready.long), 1).otherwise(0)
+    signal = F.when(allowed, direction).otherwise(0).cast("int").alias("signal")
     out = crossed.select(*indexed.columns, *extra, signal)
     return out.where("signal <> 0") if only_entries else out
