@@ -101,12 +101,19 @@ def _(spark, sf):
     return eq.select("symbol", "param_id", "bar_idx", "datetime", r6("equity").alias("equity"), r6("cash").alias("cash"))
 
 
-@query("t16_execution_settings",
-       "WITH " + params_cte(GUARDED, RICH) + "SELECT param_id, stop AS stop_points, take AS take_points, be AS be_trigger, lk AS be_lock, s0 AS session_start_sec, s1 AS session_end_sec, "
-       "fl AS flatten, maxl AS max_losses, dl AS daily_limits, ll AS loss_limit, pt AS profit_target, n FROM p, (SELECT count(*) AS n FROM events)")
+@query("t16_execution_settings", f"""SELECT event_id AS param_id, {r('value')} AS stop_points, 600.0::DOUBLE AS take_points, {r('greatest(value - 50, 0)')} AS be_trigger, 0.0::DOUBLE AS be_lock, 32400 AS session_start_sec,
+ CASE WHEN event_id % 2 = 0 THEN 61200 + 1800 ELSE 63600 END AS session_end_sec, event_id % 3 <> 0 AS flatten, CAST(greatest(event_id % 5 - 1, 0) AS INTEGER) AS max_losses, event_id % 7 = 0 AS daily_limits,
+ {r('greatest(value - 80, 0)')} AS loss_limit, 0.0::DOUBLE AS profit_target FROM events""")
 def _(spark, sf):
-    n = V.table(spark, sf, "events").agg(F.count(F.lit(1)).alias("n"))
-    return with_settings(params_frame(spark, GUARDED), RICH).drop("params", "params_json").crossJoin(n)
+    i, v = F.col("event_id"), F.col("value")
+    pairs = {
+        "stop_points": v, "break_even_trigger_points": v - 50, "session_end": F.when(i % 2 == 0, "17:30"), "close_on_session_end": i % 3 != 0,
+        "max_consecutive_losses_per_day": i % 5 - 1, "enable_daily_limits": i % 7 == 0, "daily_loss_limit": v - 80,
+    }
+    entries = F.array_compact(F.array(*[F.when(c.isNotNull(), F.struct(F.lit(k).alias("key"), c.cast("string").alias("value"))) for k, c in pairs.items()]))
+    sets = V.table(spark, sf, "events").select(i.alias("param_id"), F.map_from_entries(entries).alias("params"))
+    out = with_settings(sets, RICH).drop("params")
+    return out.select(*[r6(c).alias(c) if c in ("stop_points", "be_trigger", "loss_limit") else F.col(c) for c in out.columns])
 
 
 TICK_SETS = [{"lookback": 4, "min_range_points": 20, "stop_points": 30, "take_points": 45, "break_even_trigger_points": 15, "break_even_lock_points": 3}]
