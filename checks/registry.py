@@ -14,6 +14,7 @@ ORACLES: dict[str, str] = {}
 def query(name: str, sql: str | None = None):
     def wrap(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
             df = fn(spark, sf_dir)
             dates = {f.name for f in df.schema.fields if f.dataType.typeName() == "date"}
             return df.select(*[F.col(c).cast("string").alias(c) if c in dates else F.col(c) for c in df.columns])

@@ -6,14 +6,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from checks.registry import query, r6, rounded
-from checks.report_checks import STREAK
 from checks.signal_checks import PARAMS, signal_sql, trend_source
 from checks.indicator_checks import TR, ema_cte, hilo_ctes, wilder_ctes
 from checks.source_checks import scratch
 from checks.sql import r, with_
 from checks.trade_checks import BREAKOUT, PLAIN
 from checks.trade_sql import breakout_sig, chain, equity_ctes, params_cte
-from tidebar.operators.params import ExecutionSettings, params_frame
+from tidebar.operators.params import params_frame
 from tidebar.operators.trades import admitted_trades, equity_curve, trade_columns
 from tidebar.plans import parity as PT
 from tidebar.plans import testviews as V

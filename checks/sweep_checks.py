@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.registry import query, r6, rounded
+from checks.registry import query, rounded
 from checks.sql import r, with_
 from checks.trade_checks import PLAIN
 from checks.trade_sql import breakout_sig, chain, equity_ctes, params_cte

@@ -3,7 +3,6 @@ import json
 import numpy as np
 import pandas as pd
 import pytest
-from pyspark.sql import functions as F
 
 from helpers import bars_frame
 from tidebar.operators import matching as N

@@ -6,12 +6,11 @@ A parameter set is a ``map<string,string>``; its canonical text is JSON with sor
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass, fields, replace
-from typing import Any, Iterable, Mapping, Sequence
+from dataclasses import dataclass, replace
+from typing import Any, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidebar.functions.columns import hhmm_seconds
 

@@ -9,13 +9,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidebar.operators.bars import SERIES
-from tidebar.operators.metrics import ScoreSettings, apply_hard_limits, equity_stats, profit_factor, robust_score, trade_stats
+from tidebar.operators.metrics import ScoreSettings, apply_hard_limits, equity_stats, robust_score, trade_stats
 from tidebar.operators.params import ExecutionSettings, params_frame
 from tidebar.operators.registry import best_per_key, canonical_params
 from tidebar.operators.signals import Strategy
 from tidebar.operators.trades import equity_curve, run_trades
 from tidebar.session import settled
-from tidebar.functions.columns import safe_div
 
 
 @dataclass(frozen=True)

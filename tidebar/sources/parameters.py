@@ -8,7 +8,6 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebar.operators.registry import canonical_params
 
 
 def object_text(column: Column, path: str) -> Column:
