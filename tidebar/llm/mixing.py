@@ -36,7 +36,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = (3, 1, 2), share
     before = filled.rowsBetween(Window.unboundedPreceding, -1)
     level = ((F.sum("source_size").over(whole) * F.lit(float(share)) - F.coalesce(F.sum("cap").over(before), F.lit(0.0)))
              / (F.sum("w").over(whole) - F.coalesce(F.sum("w").over(before), F.lit(0.0))))
-    rows = rows.withColumn("level", level).withColumn("level", F.min(F.when(F.col("level") <= F.col("cap") / F.col("w"), F.col("level"))).over(whole))
+    rows = rows.withColumn("level", level).withColumn("level", F.max(F.when(F.col("level") <= F.col("cap") / F.col("w"), F.col("level"))).over(whole))
     target = F.when(F.col("level").isNull(), F.col("cap")).otherwise(F.least(F.col("cap"), F.col("level") * F.col("w")))
     return rows.select("source", "source_size", target.alias("target"))
 
