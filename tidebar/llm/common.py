@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidebar.session import materialize
+
 # Words are runs of anything but the six ASCII white space characters.
 SPACES = "[ \\t-\\r]+"
 
@@ -47,3 +49,25 @@ def hashed_shingles(hashes: Column, size: int) -> Column:
 
 def word_hashes(words: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
+
+
+FILTER_WORDS = 65_536     # longs of a bitmap, half a MB whatever the number of keys
+
+
+def thinned(df: DataFrame, key: Column, wanted: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose ``key`` (a 64-bit hash or id) may be in ``wanted`` (one column ``key``).
+
+    Only a filter before a join: it lets through every row that the join finds and, while the keys are few, hardly any
+    other, so that large texts are not shuffled in vain. The bitmap has a fixed size.
+    """
+    def slot(k: Column) -> Column:
+        return F.pmod(F.xxhash64(k), F.lit(FILTER_WORDS)).cast("int")
+
+    def flag(k: Column) -> Column:
+        return F.element_at(F.array(*[F.lit(-2**63 if i == 63 else 1 << i).cast("long") for i in range(64)]), F.pmod(F.shiftright(F.xxhash64(k), 20), F.lit(64)).cast("int") + 1)
+
+    marks = wanted.groupBy(slot(F.col("key")).alias("i")).agg(F.bit_or(flag(F.col("key"))).alias("m"))
+    filled = df.sparkSession.range(FILTER_WORDS).select(F.col("id").cast("int").alias("i")).join(marks, "i", "left").select("i", F.coalesce("m", F.lit(0).cast("long")).alias("m"))
+    bits = materialize(filled.agg(F.array_sort(F.collect_list(F.struct("i", "m"))).alias("r")).select(F.transform("r", lambda r: r["m"]).alias("bits"))).scalar()
+    marked = df.withColumn("_key", key).withColumn("_bits", bits)
+    return marked.where(F.element_at("_bits", slot(F.col("_key")) + 1).bitwiseAND(flag(F.col("_key"))) != 0).drop("_key", "_bits")

@@ -43,19 +43,19 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(edges.select("v", "v").distinct())
 
 
-def linked(items: DataFrame, postings: DataFrame, near: Near, verify: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+def linked(items: DataFrame, postings: DataFrame, likely: Near, near: Near, verify: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
     """Components and tested links of items that share a bucket.
 
     ``items``: id, rank, keys array<bigint> (its buckets), and what ``near`` reads. ``postings``: bucket, id, of buckets
-    with several members. ``near(a, b)``: cheap necessary test, a condition on two items. ``verify``: keeps the
-    true links of pairs (a, b). The hub of a bucket is its member of lowest rank.
+    with several members. ``likely(a, b)`` and ``near(a, b)``: cheap necessary tests, conditions on two items; the first is
+    for pairs with a hub and should read few columns. ``verify``: keeps the true links of pairs (a, b). The hub of a bucket is its member of lowest rank.
     """
     at = lambda side: lambda name: F.col(f"{side}.{name}")
     ranked = postings.join(items.select("id", "rank"), "id")
     hubs = ranked.groupBy("bucket").agg(F.min_by("id", F.struct("rank", "id")).alias("hub"))
     pairs = postings.join(hubs, "bucket").where("id <> hub").select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")).distinct()
     held = pairs.alias("p").join(items.alias("x"), F.col("p.a") == F.col("x.id")).join(items.alias("y"), F.col("p.b") == F.col("y.id"))
-    first = materialize(verify(materialize(held.where(near(at("x"), at("y"))).select("p.a", "p.b"))))
+    first = materialize(verify(materialize(held.where(likely(at("x"), at("y"))).select("p.a", "p.b"))))
     groups = materialize(components(first))
 
     placed = (postings.join(groups, "id", "left").withColumn("component", F.coalesce("component", "id")))

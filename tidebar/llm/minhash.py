@@ -3,8 +3,8 @@
 Each distinct shingle set gets a MinHash signature. The set is posted under its coordinate-value pairs; two sets with
 similarity s collide in about s of the coordinates. A pair must collide in at least ``min_matches`` of the
 ``coordinates``, so of the pairs ordered by how rare they are, only the first ``coordinates - min_matches + 1`` of
-each set need to be merged (prefix); the long lists behind them are skipped and looked up in the signatures of the
-candidates instead. Pairs above the match threshold are confirmed on the full shingle sets.
+each set need to be merged (prefix); the long lists behind them are skipped, and the collisions of a candidate pair are
+counted in the signatures instead, which have further coordinates for that. Pairs above the match threshold are confirmed on the full shingle sets.
 """
 
 from __future__ import annotations
@@ -17,17 +17,20 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidebar.llm.common import thinned
 from tidebar.llm.links import linked
 from tidebar.session import materialize
 
 SHINGLE = 5
 COORDINATES = 24
 MIN_MATCHES = 11          # a pair at 0.85 has fewer with a chance of about one in a million
-SKETCH = 256              # smallest shingle hashes kept: the whole set of shorter texts
+CHECKED = 64              # coordinates looked up in candidates, the posted ones included
+MIN_CHECKED = 39          # the same chance among these
+SKETCH = 256              # sets up to this size are carried whole, as 32-bit hashes
 WORD_CACHE = 400_000
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-_ODD = np.random.default_rng(20).integers(1, 2**63, (COORDINATES, 2), dtype=np.uint64) | np.uint64(1)
+_ODD = np.random.default_rng(20).integers(1, 2**63, (CHECKED, 2), dtype=np.uint64) | np.uint64(1)
 
 
 class _Words(dict):
@@ -61,7 +64,7 @@ def shingle_set(text: str | None, size: int = SHINGLE) -> np.ndarray:
 
 def signature(shingles: np.ndarray) -> np.ndarray:
     """For each coordinate the smallest value of its hash over the set."""
-    return np.array([((shingles * a + b) >> np.uint64(24)).min() for a, b in _ODD], np.int64)
+    return np.array([((shingles * a + b) >> np.uint64(32)).min() for a, b in _ODD], np.uint32).view(np.int32)
 
 
 def _signed(docs: DataFrame) -> DataFrame:
@@ -74,11 +77,11 @@ def _signed(docs: DataFrame) -> DataFrame:
                 raw = xxhash.xxh3_128_digest(s.tobytes())
                 digests.append(raw.hex() if len(s) else None)
                 signatures.append(signature(s) if len(s) else None)
-                sketches.append((s[:SKETCH] >> np.uint64(32)).astype(np.uint32).view(np.int32) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.string()), pa.array(signatures, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int32()))],
+                sketches.append((s >> np.uint64(32)).astype(np.uint32).view(np.int32) if 0 < len(s) <= SKETCH else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.string()), pa.array(signatures, pa.list_(pa.int32())), pa.array(sketches, pa.list_(pa.int32()))],
                                              ["doc_id", "n_shingles", "digest", "signature", "sketch"])
 
-    return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, n_shingles long, digest string, signature array<long>, sketch array<int>")
+    return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, n_shingles long, digest string, signature array<int>, sketch array<int>")
 
 
 def _full_sets(docs: DataFrame) -> DataFrame:
@@ -103,7 +106,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> tuple[DataFrame, Data
     signed = materialize(_signed(docs))
     classes = signed.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("id"))
     reps = materialize(signed.withColumnRenamed("doc_id", "id").join(classes, ["digest", "id"]).dropDuplicates(["id"]).select("id", "n_shingles", "signature", "sketch"))
-    pairs = reps.select("id", F.posexplode("signature").alias("coordinate", "value")).select("id", F.xxhash64("coordinate", "value").alias("bucket"))
+    pairs = reps.select("id", F.posexplode(F.slice("signature", 1, COORDINATES)).alias("coordinate", "value")).select("id", F.xxhash64("coordinate", "value").alias("bucket"))
     common = materialize(pairs.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"))
     listed = pairs.join(common, "bucket").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", "bucket"))).alias("lists"))  # 24 entries at most
     # Pairs that no other set has come first in the order and fill places of the prefix.
@@ -113,22 +116,26 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> tuple[DataFrame, Data
     postings = items.select(F.explode("keys").alias("bucket"), "id")
     postings = postings.join(postings.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "bucket").select("bucket", "id")
 
-    def near(a, b):
+    def likely(a, b):
         small, large = F.least(a("n_shingles"), b("n_shingles")), F.greatest(a("n_shingles"), b("n_shingles"))
+        matches = F.aggregate(F.zip_with(a("signature"), b("signature"), lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
+        return (small * 100 >= large * percent) & (matches >= MIN_CHECKED)
+
+    def near(a, b):
         both = F.size(F.array_intersect(a("sketch"), b("sketch")))
         whole = both * 100 >= (a("n_shingles") + b("n_shingles") - both) * percent
-        matches = F.aggregate(F.zip_with(a("signature"), b("signature"), lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-        return (small * 100 >= large * percent) & F.when(large <= SKETCH, whole).otherwise(matches >= MIN_MATCHES)
+        return likely(a, b) & (a("sketch").isNull() | b("sketch").isNull() | whole)
 
     def verify(found: DataFrame) -> DataFrame:
-        ids = found.select(F.col("a").alias("doc_id")).union(found.select("b")).distinct()
-        texts = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        ids = materialize(found.select(F.col("a").alias("doc_id")).union(found.select("b")).distinct())
+        thin = thinned(docs.select("doc_id", "text"), F.col("doc_id"), ids.select(F.col("doc_id").alias("key")))
+        texts = thin.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
         sets = materialize(_full_sets(texts).withColumn("n", F.size("shingles")))
         both = F.size(F.array_intersect("x.shingles", "y.shingles"))
         return (found.alias("p").join(sets.alias("x"), F.col("p.a") == F.col("x.id")).join(sets.alias("y"), F.col("p.b") == F.col("y.id"))
                 .where(both * 100 >= (F.col("x.n") + F.col("y.n") - both) * percent).select("p.a", "p.b"))
 
-    groups, links = linked(items, postings, near, verify)
+    groups, links = linked(items, postings, likely, near, verify)
     member = signed.join(classes, "digest", "left").select("doc_id", "n_shingles", F.coalesce("id", "doc_id").alias("id"))
     placed = member.join(groups, "id", "left").select("doc_id", "n_shingles", F.coalesce("component", "id").alias("component_id"))
     return placed.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), links
