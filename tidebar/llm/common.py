@@ -55,9 +55,14 @@ FILTER_WORDS = 65_536     # longs of a bitmap, half a MB whatever the number of
 
 
 def thinned(df: DataFrame, key: Column, wanted: DataFrame) -> DataFrame:
-    """Rows of ``df`` whose ``key`` (a 64-bit hash or id) may be in ``wanted`` (one column ``key``).
+    """Rows of ``df`` whose ``key`` (a 64-bit hash or id) may be in ``wanted`` (one column ``key``)."""
+    return sieved(df, key, wanted)[0]
 
-    Only a filter before a join: it lets through every row that the join finds and, while the keys are few, hardly any
+
+def sieved(df: DataFrame, key: Column, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``df`` whose ``key`` may be in ``wanted``, and those whose key is not.
+
+    Only a filter before a join: the first part has every row that the join finds and, while the keys are few, hardly any
     other, so that large texts are not shuffled in vain. The bitmap has a fixed size.
     """
     def slot(k: Column) -> Column:
@@ -70,4 +75,5 @@ def thinned(df: DataFrame, key: Column, wanted: DataFrame) -> DataFrame:
     filled = df.sparkSession.range(FILTER_WORDS).select(F.col("id").cast("int").alias("i")).join(marks, "i", "left").select("i", F.coalesce("m", F.lit(0).cast("long")).alias("m"))
     bits = materialize(filled.agg(F.array_sort(F.collect_list(F.struct("i", "m"))).alias("r")).select(F.transform("r", lambda r: r["m"]).alias("bits"))).scalar()
     marked = df.withColumn("_key", key).withColumn("_bits", bits)
-    return marked.where(F.element_at("_bits", slot(F.col("_key")) + 1).bitwiseAND(flag(F.col("_key"))) != 0).drop("_key", "_bits")
+    maybe = F.element_at("_bits", slot(F.col("_key")) + 1).bitwiseAND(flag(F.col("_key"))) != 0
+    return marked.where(maybe).drop("_key", "_bits"), marked.where(~maybe).drop("_key", "_bits")

@@ -43,8 +43,8 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(edges.select("v", "v").distinct())
 
 
-def linked(items: DataFrame, postings: DataFrame, likely: Near, near: Near, verify: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """Components and tested links of items that share a bucket.
+def linked(items: DataFrame, postings: DataFrame, likely: Near, near: Near, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Tested links (a, b) of items that share a bucket, enough for all components.
 
     ``items``: id, rank, keys array<bigint> (its buckets), and what ``near`` reads. ``postings``: bucket, id, of buckets
     with several members. ``likely(a, b)`` and ``near(a, b)``: cheap necessary tests, conditions on two items; the first is
@@ -68,5 +68,4 @@ def linked(items: DataFrame, postings: DataFrame, likely: Near, near: Near, veri
                 & ((F.col("y.component") == F.col("y.central")) | (F.col("x.id") < F.col("y.id"))) & near(at("x"), at("y")) & shared)
                 .select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct())
     second = materialize(verify(materialize(crossing)))
-    links = first.union(second)
-    return components(links), links
+    return first.union(second)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidebar.llm.common import thinned
-from tidebar.llm.links import linked
+from tidebar.llm.links import components, linked
 from tidebar.session import materialize
 
 SHINGLE = 5
@@ -135,7 +135,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> tuple[DataFrame, Data
         return (found.alias("p").join(sets.alias("x"), F.col("p.a") == F.col("x.id")).join(sets.alias("y"), F.col("p.b") == F.col("y.id"))
                 .where(both * 100 >= (F.col("x.n") + F.col("y.n") - both) * percent).select("p.a", "p.b"))
 
-    groups, links = linked(items, postings, likely, near, verify)
+    links = linked(items, postings, likely, near, verify)
+    groups = components(links)
     member = signed.join(classes, "digest", "left").select("doc_id", "n_shingles", F.coalesce("id", "doc_id").alias("id"))
     placed = member.join(groups, "id", "left").select("doc_id", "n_shingles", F.coalesce("component", "id").alias("component_id"))
     return placed.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), links
