@@ -89,8 +89,7 @@ def _(spark, sf):
 @query(
     "b7_downsample",
     with_("idx")
-    + """SELECT symbol, datetime, close, CASE WHEN n >= 500 AND ceil(n / 3.0) >= 200 THEN bar_idx // 3 ELSE bar_idx END AS bar_idx
- FROM (SELECT *, count(*) OVER (PARTITION BY symbol) AS n FROM idx) WHERE NOT (n >= 500 AND ceil(n / 3.0) >= 200) OR bar_idx % 3 = 0""",
+    + "SELECT symbol, datetime, close, bar_idx // 3 AS bar_idx FROM idx WHERE bar_idx % 3 = 0",
 )
 def _(spark, sf):
     return B.downsample(V.indexed_bars(spark, sf), 3).select("symbol", "datetime", "close", "bar_idx")

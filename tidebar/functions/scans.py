@@ -66,10 +66,10 @@ def running(
 ) -> DataFrame:
     """Unbounded running aggregates in two levels. ``block`` must not decrease along ``order``.
 
-    Rows without a key or block are dropped.
+    Rows without a block form the last block of their series. Rows without a key belong to no series and are dropped.
     """
     keys = list(keys)
-    rows = df.withColumn("_blk", block)
+    rows = df.withColumn("_blk", F.coalesce(block.cast("long"), F.lit(2**63 - 1)))
     for i, run in enumerate(runs):
         if run.value is not None:
             rows = rows.withColumn(f"_v{i}", F.struct(run.value.alias("x")) if run.kind in ("prev", "first") else run.value)

@@ -68,8 +68,8 @@ def ticks_to_bars(ticks: DataFrame, timeframe: str) -> DataFrame:
     label = timeframe_label(timeframe)
     valid = ticks.where(F.col("datetime").isNotNull() & F.col("price").isNotNull())
     position = (
-        epoch_micros(F.col("datetime")).cast("decimal(18,0)") * F.lit("10000000000000000000").cast("decimal(20,0)")
-        + F.col("seq").cast("decimal(19,0)")
+        epoch_micros(F.col("datetime")).cast("decimal(17,0)") * F.lit("20000000000000000000").cast("decimal(20,0)")
+        + F.col("seq").cast("decimal(19,0)")  # between -2**63 and 2**63, less than half a step
     ).cast("decimal(38,0)")
     keyed = valid.select(
         "symbol",
@@ -216,16 +216,11 @@ def assign_ticks(ticks: DataFrame, indexed_bars: DataFrame, by: Sequence[str] =
 
 
 def downsample(indexed: DataFrame, step: int, series: tuple[str, ...] = SERIES) -> DataFrame:
-    """Every ``step``-th bar, unless the series has under 500 rows or would keep under 200."""
+    """Every ``step``-th bar of each series, whatever its length."""
     if step <= 1:
         return indexed
-    sizes = indexed.groupBy(*series).agg(F.count(F.lit(1)).alias("_n"))
-    kept = F.ceil(F.col("_n") / F.lit(step))
-    thin = (F.col("_n") >= 500) & (kept >= 200)
-    out = indexed.join(sizes, list(series)).where(~thin | (F.pmod(F.col("bar_idx"), F.lit(step)) == 0))
-    return out.withColumn(
-        "bar_idx", F.when(thin, F.floor(F.col("bar_idx") / F.lit(step))).otherwise(F.col("bar_idx")).cast("long")
-    ).drop("_n")
+    kept = indexed.where(F.pmod(F.col("bar_idx"), F.lit(step)) == 0)
+    return kept.withColumn("bar_idx", F.floor(F.col("bar_idx") / F.lit(step)).cast("long"))
 
 
 def in_session(ts: Column, start_sec: Column | None, end_sec: Column | None) -> Column:

@@ -202,17 +202,25 @@ def distinct_candidates(seeds: DataFrame, samples: DataFrame, n: int | None = No
 
 
 def search_sets(spark, strategy: str, settings: SweepSettings, seeds: Sequence[Mapping[str, Any]] = (), cycle: int = 0, cycle_step: int = 1) -> list[dict]:
-    """Parameter sets of one sweep: seeds, then ``n_samples`` distinct draws (bounded oversampling).
+    """Parameter sets of one sweep: seeds, then ``n_samples`` distinct draws.
 
-    ``cycle`` shifts the seed, so repeated cycles explore new sets around the bank's best ones.
+    Draws go on until enough distinct sets exist; when twice the draws bring no new set the space is exhausted, which
+    is an error. ``cycle`` shifts the seed, so repeated cycles explore new sets around the bank's best ones.
     """
     from tidebar.operators.params import collect_sets
 
     shifted = SweepSettings(**{**settings.__dict__, "seed": settings.seed + cycle * max(1, cycle_step)})
-    ids = spark.range(settings.n_samples * 4).select(F.col("id").alias("sample_no"))
-    drawn = params_text(prepare_candidates(sample_parameters(ids, strategy, shifted.seed), shifted, True))
     given = params_frame(spark, list(seeds)).select(F.col("param_id").alias("sample_no"), "params_json")
-    return collect_sets(distinct_candidates(given, drawn, settings.n_samples).orderBy("origin", "sample_no"))
+    draws, before = settings.n_samples * 4, -1
+    while True:
+        ids = spark.range(draws).select(F.col("id").alias("sample_no"))
+        drawn = params_text(prepare_candidates(sample_parameters(ids, strategy, shifted.seed), shifted, True))
+        found = distinct_candidates(given, drawn).where("origin = 1").count()
+        if found >= settings.n_samples:
+            return collect_sets(distinct_candidates(given, drawn, settings.n_samples).orderBy("origin", "sample_no"))
+        if found == before:
+            raise ValueError(f"the parameter space of {strategy} has {found} sets besides the seeds, {settings.n_samples} were asked for")
+        draws, before = draws * 2, found
 
 
 def evaluate_sets(

@@ -13,7 +13,7 @@ from tidebar.operators.metrics import METRICS, ScoreSettings, apply_hard_limits,
 from tidebar.operators.params import ExecutionSettings, params_frame
 from tidebar.operators.registry import best_parameters
 from tidebar.operators.signals import Strategy
-from tidebar.operators.sweep import SweepSettings, evaluate_sets, rank_top, window_bars
+from tidebar.operators.sweep import SweepSettings, evaluate_sets, rank_top, require_windows, window_bars
 from tidebar.operators.trades import equity_curve, run_trades
 from tidebar.session import materialize
 
@@ -41,7 +41,7 @@ def run_walkforward(
     score: ScoreSettings = ScoreSettings(),
     keys: Sequence[str] = SERIES,
 ) -> WalkForward:
-    """All windows of all series in parallel.
+    """All windows of all series in parallel. A series with too few days for one window is an error.
 
     P&L does not depend on capital, so the out-of-sample stream is the rank-1 test run shifted by the net
     profit of earlier windows; it is not computed a second time.
@@ -49,6 +49,8 @@ def run_walkforward(
     keys = list(keys)
     slot = [*keys, "window_id"]
     bars = materialize(indexed)
+    traded = bars.select(*keys, F.col("datetime").cast("date").alias("day")).distinct()
+    require_windows(traded, train_days, test_days, keys)
     train = window_bars(bars, train_days, test_days, "train", keys)
     if sweep.train_bar_step > 1:
         train = downsample(train, sweep.train_bar_step, tuple(slot))

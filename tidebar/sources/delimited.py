@@ -7,7 +7,7 @@ delimiter and column positions become one row of a header table that is joined b
 from __future__ import annotations
 
 from dataclasses import dataclass
-from typing import Mapping, Sequence
+from typing import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,14 +22,29 @@ def fold_text(column: Column) -> Column:
     return F.regexp_replace(F.translate(F.lower(column), ACCENTED, PLAIN), "[^a-z0-9]", "")
 
 
-def read_lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """(file, name, line): lines in UTF-8 (byte order mark removed), otherwise decoded as ISO-8859-1."""
+# What the Windows code page 1252 has at 0x80-0x9F, where ISO-8859-1 has control characters.
+CP1252_AT = "€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ"
+CONTROLS_AT = "".join(chr(c) for c in range(0x80, 0xA0) if c not in (0x81, 0x8D, 0x8F, 0x90, 0x9D))
+
+
+def read_lines(spark: SparkSession, paths: Sequence[str], keep: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(file, name, line, line_key): lines in UTF-8 (byte order mark removed), otherwise in code page 1252.
+
+    ``line_key`` grows along the lines of a file: the block of the file in units of 64 KiB, then the position inside
+    the scan, whose rows keep their order. ``keep`` is a condition on the file name, applied before lines are read.
+    """
     raw = spark.read.text(list(paths)).select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_name").alias("name"), F.col("value")
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_name").alias("name"),
+        F.col("_metadata.file_block_start").alias("_start"), F.col("value")
     )
-    decoded = F.when(F.is_valid_utf8("value"), F.col("value")).otherwise(F.decode(F.col("value").cast("binary"), "ISO-8859-1"))
+    if keep is not None:
+        raw = raw.where(keep(F.col("name")))
+    position = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    raw = raw.withColumn("line_key", F.shiftleft(F.shiftright("_start", 16), 33).bitwiseOR(position))
+    latin = F.decode(F.col("value").cast("binary"), "ISO-8859-1")
+    decoded = F.when(F.is_valid_utf8("value"), F.col("value")).otherwise(F.translate(latin, CONTROLS_AT, CP1252_AT))
     line = F.regexp_replace(F.regexp_replace(decoded, "^﻿", ""), "\r$", "")
-    return raw.select("file", "name", line.alias("line")).where(F.trim("line") != "")
+    return raw.select("file", "name", line.alias("line"), "line_key").where(F.trim("line") != "")
 
 
 @dataclass(frozen=True)
@@ -63,8 +78,7 @@ def sniff_delimiter(line: Column) -> Column:
 def read_columns(spark: SparkSession, lines: DataFrame, layout: Layout) -> DataFrame:
     """Data lines as string columns named by the layout, plus ``file``, ``name`` and ``line_key``.
 
-    A header line never yields a row. ``line_key`` (hash of the text) orders equal timestamps within a
-    file, since splittable text carries no line numbers.
+    A header line never yields a row. ``line_key`` orders the lines of a file as they stand in it.
     """
     names = list(layout.aliases)
     wordy = F.col("line").rlike("[A-Za-z]{3}")
@@ -87,7 +101,7 @@ def read_columns(spark: SparkSession, lines: DataFrame, layout: Layout) -> DataF
     joined = lines.join(headers, "file").where(F.col("line") != F.col("head"))
     fields = joined.withColumn("_f", split_fields(F.col("line"), F.col("_delim")))
     return fields.select(
-        "file", "name", F.xxhash64("line").alias("line_key"),
+        "file", "name", "line_key",
         *[F.trim(F.get("_f", F.col(f"_p_{n}").cast("int"))).alias(n) for n in names],
         *[F.col(f"_p_{n}").isNotNull().alias(f"has_{n}") for n in names],
     )

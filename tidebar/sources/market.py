@@ -107,16 +107,17 @@ def read_ticks(
 ) -> DataFrame:
     """Ticks of ``<SYMBOL>..._DD-MM-YYYY.csv`` files; files of other days are dropped before parsing."""
     paths = [f"{root}/{s.strip().upper()}*.csv" for s in symbols]
-    lines = read_lines(spark, paths)
     upper = F.upper("name")
     symbol = F.coalesce(*[F.when(upper.startswith(s.strip().upper()), F.lit(s.strip().upper())) for s in sorted(symbols, key=len, reverse=True)])
-    day = F.try_to_date(F.regexp_extract("name", r"_(\d{2}-\d{2}-\d{4})\.(?i:csv)$", 1), "dd-MM-yyyy")
-    kept = lines.where(day.isNotNull())
-    if start:
-        kept = kept.where(day >= F.lit(start).cast("timestamp_ntz").cast("date"))
-    if end:
-        kept = kept.where(day <= end_bound(end).cast("date"))
-    rows = read_columns(spark, kept, TICK_LAYOUT)
+
+    def wanted(name: Column) -> Column:
+        day = F.try_to_date(F.regexp_extract(name, r"_(\d{2}-\d{2}-\d{4})\.(?i:csv)$", 1), "dd-MM-yyyy")
+        out = day.isNotNull()
+        if start:
+            out = out & (day >= F.lit(start).cast("timestamp_ntz").cast("date"))
+        return out & (day <= end_bound(end).cast("date")) if end else out
+
+    rows = read_columns(spark, read_lines(spark, paths, wanted), TICK_LAYOUT)
     styled = with_file_styles(rows, ("price", "volume"), thousands=False)
     ticks = styled.select(
         symbol.alias("symbol"), day_first(F.concat_ws(" ", "date", "time")).alias("datetime"), F.col("line_key").alias("seq"),

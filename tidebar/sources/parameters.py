@@ -54,7 +54,7 @@ def params_table(files: DataFrame, strategy: str | None = None, keep_text: bool
     ``strategies`` object hold the parameters directly or under ``best_params_from_tests``.
     """
     tree = F.from_json(F.get_json_object("value", "$.strategies"), "map<string,string>")
-    named = F.lit(strategy).cast("string") if strategy else F.get_json_object("value", "$.best_strategy")
+    named = F.lit(strategy).cast("string") if strategy else F.nullif(F.get_json_object("value", "$.best_strategy"), F.lit(""))
     pick = F.coalesce(named, F.get(F.map_keys(tree), F.lit(0)))
     nested = F.get_json_object(F.try_element_at(tree, pick), "$.best_params_from_tests")
     flat_name = F.coalesce(F.lit(strategy).cast("string"), F.get_json_object("value", "$.strategy"))
