@@ -117,6 +117,27 @@ def test_lines_keep_their_first_occurrence(spark):
     assert got == {1: (rows[0][1], 0, 1), 2: ("short one", 1, 1), 3: (None, 0, 1), 4: ("", 0, 1), 5: ("other words that are not anywhere else", 2, 1)}
 
 
+def edit_distance(p, q):
+    row = list(range(len(q) + 1))
+    for i, c in enumerate(p, 1):
+        row, old = [i], row
+        for j, d in enumerate(q, 1):
+            row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (c != d)))
+    return row[-1]
+
+
+def test_bounded_edit_distance_equals_brute_force(spark):
+    r = random.Random(3)
+    texts = [("", ""), ("", "a"), ("aa", "aaa"), ("aba", "aba"), ("é😀x", "é😀yx")]
+    for _ in range(150):
+        p = "".join(r.choice("abé ") for _ in range(r.randint(0, 30)))
+        at = r.randint(0, len(p))
+        texts.append((p, p[:at] + "".join(r.choice("abé ") for _ in range(r.randint(0, 5))) + p[at + r.randint(0, 4):]))
+    rows = [(p, q, k, edit_distance(p, q) <= k) for p, q in texts for k in (0, 1, 3, 9)]
+    got = spark.createDataFrame(rows, "p string, q string, k int, want boolean").select("want", fuzzy_lines.within(F.col("p"), F.col("q"), F.col("k")).alias("got")).collect()
+    assert all(x.want == x.got for x in got)
+
+
 def test_licenses(docs):
     got = {r.doc_id: r for r in licenses.scan(docs).collect()}
     r = got[-4]
