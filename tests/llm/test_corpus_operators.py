@@ -1,6 +1,7 @@
 import collections
 import random
 import re
+import unicodedata
 
 import public_tokenizers
 import pytest
@@ -182,3 +183,42 @@ def test_tree_text_is_read():
     text = "Model: numTrees=1\n  Tree 0 (weight 1.0):\n    If (feature 0 <= 0.5)\n     Predict: -1.0\n    Else (feature 0 > 0.5)\n     Predict: 2.0\n"
     assert trees.parsed(text) == [("split", 0, 0.5, ("leaf", -1.0), ("leaf", 2.0))]
     assert trees.rules_of(trees.parsed(text)[0]) == [((0, True, 0.5),), ((0, False, 0.5),)]
+
+
+def line_norm(line):
+    return " ".join("".join(c if unicodedata.category(c)[0] in "LMN" else " " for c in line.lower()).split())
+
+
+def linked_lines(lines):
+    """Brute-force groups of normalised lines of ten code points or more at edit similarity 0.9."""
+    group = {x: x for x in {line_norm(t) for t in lines} if len(x) >= 10}
+    close = [(p, q) for p in group for q in group if p < q and abs(len(p) - len(q)) <= max(len(p), len(q)) // 10 and edit_distance(p, q) <= max(len(p), len(q)) // 10]
+    for _ in group:
+        for p, q in close:
+            group[p] = group[q] = min(group[p], group[q])
+    return group
+
+
+def kept_lines(spark, lines):
+    rows = [(i, t) for i, t in enumerate(lines)]
+    got = fuzzy_lines.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    return sorted(r.doc_id for r in got if r["_n_removed"] == 0)
+
+
+def first_lines(lines):
+    group, seen, out = linked_lines(lines), set(), []
+    for i, t in enumerate(lines):
+        g = group.get(line_norm(t))
+        if g is None or g not in seen:
+            out.append(i)
+        seen.add(g)
+    return out
+
+
+def test_lines_with_one_word_changed_meet(spark):
+    lines = []
+    for i in range(25):
+        w = words(20 + i, 500 + i)
+        lines += [" ".join(w), " ".join(w[:7] + ["ab" if len(w[7]) == 2 else w[7][:-1] + "z"] + w[8:])]
+    kept = kept_lines(spark, lines)  # the blocks may miss a pair, but link none that is not near
+    assert first_lines(lines) == list(range(0, 50, 2)) and set(kept) >= set(range(0, 50, 2)) and len(kept) <= 25 + 2

@@ -69,3 +69,31 @@ def linked(items: DataFrame, postings: DataFrame, likely: Near, near: Near, veri
                 .select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct())
     second = materialize(verify(materialize(crossing)))
     return first.union(second)
+
+
+def linked_in_buckets(items: DataFrame, keys: Column, near: Near, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """As :func:`linked`, for many buckets of few members each: postings carry what ``near`` reads and are made anew where read.
+
+    ``items``: id and fixed-width columns that ``near`` reads. ``keys``: the buckets of an item, an array. The hub of a
+    bucket is its smallest id. Members outside the component of the hub are compared with all members of other components.
+    """
+    at = lambda side: lambda name: F.col(f"{side}.{name}")
+    read = [c for c in items.columns if c != "id"]
+    ordered = [F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")]
+    postings = items.select(F.explode(keys).alias("bucket"), "id", *read)
+    hubs = postings.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("hub"), *[F.min_by(c, "id").alias(c) for c in read]).where("n > 1")
+    hubs = hubs.withColumnRenamed("hub", "id")
+    tested = materialize(postings.alias("x").join(hubs.alias("y"), "bucket").where((F.col("x.id") != F.col("y.id")) & near(at("x"), at("y"))).select(*ordered).distinct())
+    first = materialize(verify(tested))
+    groups = materialize(components(first))
+
+    placed = items.join(groups, "id", "left").select("id", *read, F.coalesce("component", "id").alias("component"))
+    placed = materialize(placed).select(F.explode(keys).alias("bucket"), "id", *read, "component")
+    central = placed.groupBy("bucket").agg(F.min_by("component", "id").alias("central"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket", "central")
+    open_rows = materialize(placed.join(central, "bucket"))
+    outside = open_rows.where("component <> central")
+    crossing = (outside.alias("x").join(open_rows.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.component") != F.col("y.component"))
+                & ((F.col("y.component") == F.col("y.central")) | (F.col("x.id") < F.col("y.id"))) & near(at("x"), at("y")))
+                .select(*ordered).distinct())
+    second = materialize(verify(materialize(crossing.join(tested, ["a", "b"], "left_anti"))))
+    return first.union(second)
