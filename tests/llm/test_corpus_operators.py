@@ -222,3 +222,14 @@ def test_lines_with_one_word_changed_meet(spark):
         lines += [" ".join(w), " ".join(w[:7] + ["ab" if len(w[7]) == 2 else w[7][:-1] + "z"] + w[8:])]
     kept = kept_lines(spark, lines)  # the blocks may miss a pair, but link none that is not near
     assert first_lines(lines) == list(range(0, 50, 2)) and set(kept) >= set(range(0, 50, 2)) and len(kept) <= 25 + 2
+
+
+def test_lines_are_linked_by_verified_pairs_only(spark):
+    r, lines = random.Random(9), []
+    for i in range(12):
+        w = words(15, 800 + i)
+        lines.append(" ".join(w))
+        r.shuffle(w)  # word-order permutations share a code
+        lines += [" ".join(w), " ".join(w) + " x", " ".join(w) + " yz"]
+    lines += [f"{'same ' * 9}{' '.join(words(6, 900 + i // 2))}{' q' * (i % 2)}" for i in range(20)]
+    assert kept_lines(spark, lines) == first_lines(lines)
