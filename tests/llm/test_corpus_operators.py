@@ -233,3 +233,9 @@ def test_lines_are_linked_by_verified_pairs_only(spark):
         lines += [" ".join(w), " ".join(w) + " x", " ".join(w) + " yz"]
     lines += [f"{'same ' * 9}{' '.join(words(6, 900 + i // 2))}{' q' * (i % 2)}" for i in range(20)]
     assert kept_lines(spark, lines) == first_lines(lines)
+
+
+def test_lines_of_few_words_and_digits(spark):
+    lines = ["All rights reserved.", "all rights reserved", "short", "short", "我们今天在公园里散步然后回家吃饭看电视", "我们今天在公园里散步然后回家吃饭看电视。",
+             "我们今天在公园里散步然后回家吃饭看电影", "row a 10 20 30 40 50 60 70 of the table", "row a 91 82 73 64 55 46 37 of the table", "0123456789 0123456789", "0123456789-0123456789"]
+    assert kept_lines(spark, lines) == first_lines(lines) == [0, 2, 3, 4, 7, 8, 9]
