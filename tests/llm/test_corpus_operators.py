@@ -239,3 +239,18 @@ def test_lines_of_few_words_and_digits(spark):
     lines = ["All rights reserved.", "all rights reserved", "short", "short", "我们今天在公园里散步然后回家吃饭看电视", "我们今天在公园里散步然后回家吃饭看电视。",
              "我们今天在公园里散步然后回家吃饭看电影", "row a 10 20 30 40 50 60 70 of the table", "row a 91 82 73 64 55 46 37 of the table", "0123456789 0123456789", "0123456789-0123456789"]
     assert kept_lines(spark, lines) == first_lines(lines) == [0, 2, 3, 4, 7, 8, 9]
+
+
+def test_every_segment_has_its_rate(spark):
+    n = 1_300
+    rows = [(i, f"http://a.{'com' if i % 3 else 'net'}/{'es/' if i % 3 == 0 else ''}s{i}/x") for i in range(n)] + [(n + i, f"http://b.com/s{i}/y") for i in range(n)] + [(3 * n, "http://c.org/s7/z"), (3 * n + 1, "http://c.org/none/z")]
+    ruled = urls.with_rule(urls.with_parts(spark.createDataFrame(rows, "page_id long, url string")))
+    decided = {r.page_id: (r.path.split("/")[1], r.decided) for r in ruled.collect()}
+    known = [(s, d == "block") for s, d in decided.values() if d]
+    counted, blocked, overall = collections.Counter(s for s, _ in known), collections.Counter(s for s, b in known if b), sum(b for _, b in known) / len(known)
+    _, *fitted = urls.fit(ruled)
+    got = urls.with_features(ruled, *fitted).collect()
+    assert len(counted) > 1_000 and len(got) == len(rows)
+    for r in got:
+        s = decided[r.page_id][0]
+        assert r["_f_segment_rate"] == pytest.approx((blocked[s] + 10 * overall) / (counted[s] + 10))

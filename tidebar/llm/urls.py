@@ -26,7 +26,6 @@ RULES = (
 )
 TRAIN_ROWS = 20_000
 TREES, DEPTH = 12, 4
-SUFFIX_ROWS = 1_000       # suffixes with statistics of their own, by number of labelled URLs; the others share one
 FEATURES = ("length", "depth", "digits", "entropy", "parameters", "labels", "host_length", "hyphens", "suffix_rate", "segment_rate")
 
 
@@ -58,41 +57,46 @@ def _segment() -> Column:
     return F.regexp_extract("path", "^/([^/]*)", 1)
 
 
-def with_features(pages: DataFrame, rates: dict[str, dict[str, float]]) -> DataFrame:
+def with_features(pages: DataFrame, rates: dict[str, DataFrame], overall: float) -> DataFrame:
+    """Adds the features. ``rates``: tables k, rate of suffixes and segments; keys they lack have the overall rate."""
+    for name, key in (("suffix", _suffix()), ("segment", _segment())):
+        pages = pages.withColumn("_k", key).join(rates[name].select(F.col("k").alias("_k"), F.col("rate").alias(f"_{name}_rate")), "_k", "left").drop("_k")
     url = F.coalesce("url", F.lit(""))
     size = F.greatest(F.length(url), F.lit(1))
     gone = lambda c: F.length(url) - F.length(F.translate(url, c, ""))
     characters = F.array_distinct(F.filter(F.split(url, ""), lambda c: c != ""))
     part = lambda c: (F.length(url) - F.length(F.replace(url, c, F.lit("")))) / size
     entropy = F.aggregate(F.transform(characters, lambda c: let(part(c), lambda p: -p * F.log2(p))), F.lit(0.0), lambda s, x: s + x)
-    rate = lambda key, table: F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in sorted(table.items()) for x in kv]), key) if table else F.lit(None).cast("double"), F.lit(table.get("", 0.5)))
+    rate = lambda name: F.coalesce(f"_{name}_rate", F.lit(overall))
     values = (F.length(url), F.length("path") - F.length(F.translate("path", "/", "")), gone("0123456789") / size, entropy,
               F.when(F.instr(url, "?") > 0, gone("&") + 1).otherwise(0), F.length("host") - F.length(F.translate("host", ".", "")), F.length("host"), gone("-"),
-              rate(_suffix(), rates["suffix"]), rate(_segment(), rates["segment"]))
-    return pages.select("*", *[v.cast("double").alias(f"_f_{n}") for n, v in zip(FEATURES, values)])
+              rate("suffix"), rate("segment"))
+    added = ("_suffix_rate", "_segment_rate")
+    return pages.select(*[c for c in pages.columns if c not in added], *[v.cast("double").alias(f"_f_{n}") for n, v in zip(FEATURES, values)])
 
 
-def fit(ruled: DataFrame, rows: int = TRAIN_ROWS, seed: int = 11) -> tuple[list[trees.Tree], dict[str, dict[str, float]]]:
-    """Trees and suffix statistics from the rule-decided URLs; the trees from at most ``rows`` of them.
+def fit(ruled: DataFrame, rows: int = TRAIN_ROWS, seed: int = 11) -> tuple[list[trees.Tree], dict[str, DataFrame], float]:
+    """Trees, tables of suffix and segment rates, and the overall rate from the rule-decided URLs; the trees from at most ``rows`` of them.
 
     Block rates of host suffixes and first path segments are smoothed towards the overall rate and counted over all
     decided URLs. With one verdict only, there are no trees.
     """
     known = ruled.where("decided is not null").withColumn("label", (F.col("decided") == "block").cast("double"))
     overall = known.agg(F.avg("label")).first()[0]
+    base = 0.5 if overall is None else overall
     rates = {}
     for name, key in (("suffix", _suffix()), ("segment", _segment())):
-        counted = known.groupBy(key.alias("k")).agg(F.count("*").alias("n"), F.sum("label").alias("s")).orderBy(F.desc("n"), "k").limit(SUFFIX_ROWS).collect()
-        rates[name] = {r.k: (r.s + 10 * overall) / (r.n + 10) for r in counted} | ({"": overall} if overall is not None else {})
+        counted = known.groupBy(key.alias("k")).agg(F.count("*").alias("n"), F.sum("label").alias("s"))
+        rates[name] = materialize(counted.select("k", ((F.col("s") + 10 * base) / (F.col("n") + 10)).alias("rate")))
     if overall in (None, 0.0, 1.0):
-        return [("leaf", 1.0 if overall else -1.0)], rates
+        return [("leaf", 1.0 if overall else -1.0)], rates, base
     sample = known.select("url", "host", "path", "label").distinct().orderBy(F.md5(F.coalesce("url", F.lit(""))), "url").limit(rows)
-    sample = materialize(with_features(sample, rates).select("label", *[f"_f_{n}" for n in FEATURES]))
+    sample = materialize(with_features(sample, rates, base).select("label", *[f"_f_{n}" for n in FEATURES]))
     gathered = VectorAssembler(inputCols=[f"_f_{n}" for n in FEATURES], outputCol="features").transform(sample).cache()
     grown = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=seed, maxMemoryInMB=64).fit(gathered)
     weights = grown.treeWeights
     gathered.unpersist()
-    return [scaled(t, w) for t, w in zip(trees.parsed(grown.toDebugString), weights)], rates
+    return [scaled(t, w) for t, w in zip(trees.parsed(grown.toDebugString), weights)], rates, base
 
 
 def scaled(tree: trees.Tree, weight: float) -> trees.Tree:
@@ -108,8 +112,8 @@ def judged(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES) -> D
     features.
     """
     ruled = with_rule(with_parts(pages.select("page_id", "url")), rules)
-    grown, rates = fit(ruled)
-    wide = with_features(ruled, rates)
+    grown, rates, overall = fit(ruled)
+    wide = with_features(ruled, rates, overall)
     features = [F.col(f"_f_{n}") for n in FEATURES]
     total = F.lit(0.0)
     for t in grown:
