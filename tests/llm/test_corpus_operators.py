@@ -254,3 +254,9 @@ def test_every_segment_has_its_rate(spark):
     for r in got:
         s = decided[r.page_id][0]
         assert r["_f_segment_rate"] == pytest.approx((blocked[s] + 10 * overall) / (counted[s] + 10))
+
+
+def test_trusted_counts_cover_every_trusted_document(spark):
+    rows = spark.range(20_500).select(F.col("id").alias("doc_id"), F.concat(F.lit("common w"), F.col("id") % 50, F.lit(" end")).alias("text"))
+    got = likelihood.judged(rows, rows.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"))).agg(F.max(F.abs("score")), F.count("*")).first()
+    assert tuple(got) == (0.0, 20_500)  # both multinomials are the same

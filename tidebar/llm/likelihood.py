@@ -10,11 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidebar.llm.common import let, text_of, word_hashes, words_of
+from tidebar.llm.common import let, text_of, thinned, word_hashes, words_of
 from tidebar.session import materialize
 
 BUCKETS = 65_536
-TRUSTED_ROWS = 20_000     # labelled documents that the trusted counts are taken from, at most
 THRESHOLD = -0.2
 WINDOW = 8
 
@@ -28,11 +27,12 @@ def grams(hashes: Column) -> Column:
 def bucket_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """One row: ratios array<double>, log of trusted over corpus share per bucket, each count raised by one.
 
-    ``trusted``: doc_id of trusted documents, a bounded table. Counts cover every document.
+    ``trusted``: distinct doc_id of trusted documents. Counts cover every document and every trusted one; only the texts
+    that may be trusted move to the join.
     """
-    marked = docs.join(F.broadcast(trusted.select("doc_id", F.lit(1).alias("_t"))), "doc_id", "left")  # at most TRUSTED_ROWS ids
-    counted = (marked.select(F.coalesce("_t", F.lit(0)).alias("t"), F.explode(let(word_hashes(words_of(text_of())), grams)).alias("bucket"))
-               .groupBy("bucket").agg(F.count("*").alias("n"), F.sum("t").alias("t")))
+    count = lambda rows, name: rows.select(F.explode(let(word_hashes(words_of(text_of())), grams)).alias("bucket")).groupBy("bucket").agg(F.count("*").alias(name))
+    chosen = thinned(docs, F.col("doc_id"), trusted.select(F.col("doc_id").alias("key"))).join(trusted, "doc_id", "left_semi")
+    counted = count(docs, "n").join(count(chosen, "t"), "bucket", "left")
     spark = docs.sparkSession
     full = spark.range(buckets).select(F.col("id").cast("int").alias("bucket")).join(counted, "bucket", "left").select("bucket", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("t", F.lit(0)).alias("t"))
     rows = F.array_sort(F.collect_list(F.struct("bucket", "n", "t")))  # ``buckets`` entries
@@ -57,14 +57,13 @@ def repeated_words(hashes: Column, window: int = WINDOW) -> Column:
     return F.when(F.size(hashes) > window, repeats).otherwise(F.lit(0)).cast("long")
 
 
-def judged(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, trusted_rows: int = TRUSTED_ROWS) -> DataFrame:
+def judged(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score, kept; one row per row.
 
-    Trusted are documents that all labels call good and none toxic, at most ``trusted_rows`` of them, those of smallest id
-    digest. Null and empty texts have no words, score 0 and fail. Without trusted documents all scores are near 0.
+    Trusted are documents that all labels call good and none toxic. Null and empty texts have no words, score 0 and fail. Without trusted documents all scores are near 0.
     """
     agreed = labels.groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("toxic").alias("t")).where("q = 1 and coalesce(t, 0) = 0 and doc_id is not null")
-    trusted = materialize(agreed.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(trusted_rows).select("doc_id"))
+    trusted = materialize(agreed.select("doc_id"))
     ratios = bucket_ratios(docs.select("doc_id", "text"), trusted).scalar()
     text = F.col("_text")
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike("[^ \\t-\\r]"))
