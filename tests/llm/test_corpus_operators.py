@@ -260,3 +260,10 @@ def test_trusted_counts_cover_every_trusted_document(spark):
     rows = spark.range(20_500).select(F.col("id").alias("doc_id"), F.concat(F.lit("common w"), F.col("id") % 50, F.lit(" end")).alias("text"))
     got = likelihood.judged(rows, rows.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"))).agg(F.max(F.abs("score")), F.count("*")).first()
     assert tuple(got) == (0.0, 20_500)  # both multinomials are the same
+
+
+def test_article_elements_that_are_teasers():
+    body = "".join(f"<p>{'main words here ' * 20}{i}</p>" for i in range(5))
+    cards = "".join(f"<article><h3><a href=/{i}>Card {i}</a></h3><p>Short teaser {i}</p></article>" for i in range(4))
+    assert html.main_text(f"<body><div>{body}</div><div>{cards}</div></body>") == "\n".join(f"{'main words here ' * 20}{i}" for i in range(5))
+    assert html.main_text(f"<body><article>{body}</article><div>Elsewhere</div></body>").endswith("here 4")

@@ -4,7 +4,7 @@ The standard library's streaming parser turns a page into lines, one for each st
 has the ratio of its characters to its tags. The ratios of a page are smoothed with a Gaussian and split by a
 threshold into content and other lines; the innermost element that holds nearly all content lines is the content region.
 All its lines are returned, but for those inside elements that are marked as something else, and for lists of links.
-An ``article`` or ``main`` element with text is taken as the region without a vote.
+The ``article`` elements of a page together, or else its ``main``, are a candidate of more weight and need a lower share.
 """
 
 from __future__ import annotations
@@ -34,6 +34,7 @@ CLOSED_BY_PEERS = frozenset("li dt dd tr td th option".split())
 CONTENT_ELEMENTS = ("article", "main")
 SIGMA = 1.5
 SHARE = 0.8               # of the content characters that the region must hold
+WEIGHT = 1.25             # of content characters inside CONTENT_ELEMENTS
 LINKED = 0.6              # share of link text from which a list is a menu
 
 
@@ -154,21 +155,21 @@ def main_text(html: str | None) -> str:
     parser.close()
     parser.flush()
     lines = parser.lines
-    for kind in CONTENT_ELEMENTS:
-        inside = [x for x in lines if any(tag == kind for tag, _ in ancestors(x.path))]
-        if inside:
-            return "\n".join(x.text for x in unlisted(inside))
     if not lines:
         return ""
     ratios = smoothed([len(x.text) / max(x.tags, 1) for x in lines])
     mean = sum(ratios) / len(ratios)
     threshold = math.sqrt(sum((r - mean) ** 2 for r in ratios) / len(ratios))
     content = [x for x, r in zip(lines, ratios) if r >= min(threshold, mean) and x.linked < LINKED * len(x.text)] or lines
+    whole = sum(len(x.text) for x in content)
+    for kind in CONTENT_ELEMENTS:
+        within = lambda x: any(tag == kind for tag, _ in ancestors(x.path))  # noqa: B023, E731
+        if WEIGHT * sum(len(x.text) for x in content if within(x)) >= SHARE * whole:
+            return "\n".join(x.text for x in unlisted([x for x in lines if within(x)]))
     mass: Counter = Counter()
     for x in content:
         for element in ancestors(x.path):
             mass[element] += len(x.text)
-    whole = sum(len(x.text) for x in content)
     region = max((e for e, m in mass.items() if m >= SHARE * whole), key=lambda e: e[1], default=None)
     inside = [x for x in lines if region is None or region in set(ancestors(x.path))]
     return "\n".join(x.text for x in unlisted(inside))
