@@ -9,6 +9,7 @@ counted in the signatures instead, which have further coordinates for that. Pair
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,9 +24,8 @@ from tidebar.session import materialize
 
 SHINGLE = 5
 COORDINATES = 24
-MIN_MATCHES = 11          # a pair at 0.85 has fewer with a chance of about one in a million
+LOSS = 1.3e-6             # chance at most that a pair at the threshold has fewer collisions than are asked for, by either count
 CHECKED = 64              # coordinates looked up in candidates, the posted ones included
-MIN_CHECKED = 39          # the same chance among these
 SKETCH = 256              # sets up to this size are carried whole, as 32-bit hashes
 WORD_CACHE = 400_000
 
@@ -93,6 +93,14 @@ def _full_sets(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(work, "id long, shingles array<long>")
 
 
+def fewest(coordinates: int, percent: int, loss: float = LOSS) -> int:
+    """Collisions that a pair at ``percent`` has in so many coordinates but for a chance of ``loss``; one at least."""
+    p, m, below = percent / 100, 0, 0.0
+    while m < coordinates and (below := below + math.comb(coordinates, m) * p**m * (1 - p) ** (coordinates - m)) <= loss:
+        m += 1
+    return max(m, 1)
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85) -> tuple[DataFrame, DataFrame]:
     """(documents, links). documents: doc_id, n_shingles, component_id, kept; one row per row of ``docs``.
 
@@ -103,6 +111,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> tuple[DataFrame, Data
     result. Rows whose doc_id is null come back with component_id null and kept true.
     links: (a, b) confirmed links between class representatives.
     """
+    min_matches, min_checked = fewest(COORDINATES, percent), fewest(CHECKED, percent)
     signed = materialize(_signed(docs))
     classes = signed.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("id"))
     reps = materialize(signed.withColumnRenamed("doc_id", "id").join(classes, ["digest", "id"]).dropDuplicates(["id"]).select("id", "n_shingles", "signature", "sketch"))
@@ -110,7 +119,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> tuple[DataFrame, Data
     common = materialize(pairs.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"))
     listed = pairs.join(common, "bucket").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", "bucket"))).alias("lists"))  # 24 entries at most
     # Pairs that no other set has come first in the order and fill places of the prefix.
-    prefix = F.slice("lists", F.lit(1), F.greatest(F.size("lists") - F.lit(MIN_MATCHES - 1), F.lit(0)))
+    prefix = F.slice("lists", F.lit(1), F.greatest(F.size("lists") - F.lit(min_matches - 1), F.lit(0)))
     open_sets = listed.select("id", F.transform(prefix, lambda x: x["bucket"]).alias("keys"), (F.lit(COORDINATES) - F.size("lists")).alias("rank")).where(F.size("keys") > 0)
     items = materialize(open_sets.join(reps, "id"))
     postings = items.select(F.explode("keys").alias("bucket"), "id")
@@ -119,7 +128,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> tuple[DataFrame, Data
     def likely(a, b):
         small, large = F.least(a("n_shingles"), b("n_shingles")), F.greatest(a("n_shingles"), b("n_shingles"))
         matches = F.aggregate(F.zip_with(a("signature"), b("signature"), lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-        return (small * 100 >= large * percent) & (matches >= MIN_CHECKED)
+        return (small * 100 >= large * percent) & (matches >= min_checked)
 
     def near(a, b):
         both = F.size(F.array_intersect(a("sketch"), b("sketch")))
