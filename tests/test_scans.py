@@ -1,3 +1,6 @@
+import itertools
+import operator
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -23,7 +26,8 @@ def test_running_aggregates_match_pandas(spark):
     out = scans.running(
         df, ["k"], ["t"], F.floor(F.col("t") / 7).cast("long"),
         [scans.Run("s", "sum", F.col("v")), scans.Run("n", "count"), scans.Run("hi", "max", F.col("v")), scans.Run("lo", "min", F.col("v")),
-         scans.Run("ff", "last", F.col("g")), scans.Run("pv", "prev", F.col("g")), scans.Run("first", "first", F.col("v"))],
+         scans.Run("ff", "last", F.col("g")), scans.Run("pv", "prev", F.col("g")), scans.Run("first", "first", F.col("v")),
+         scans.Run("x", "xor", F.xxhash64("t"))],
     ).toPandas().sort_values(["k", "t"]).reset_index(drop=True)
     want = pdf.sort_values(["k", "t"]).reset_index(drop=True)
     by = want.groupby("k")
@@ -33,6 +37,9 @@ def test_running_aggregates_match_pandas(spark):
     assert np.allclose(out["ff"], by["g"].ffill(), equal_nan=True)
     assert np.allclose(out["pv"], by["g"].shift(1), equal_nan=True)
     assert np.allclose(out["first"], by["v"].transform("first"))
+    hashes = {r.t: r.h for r in df.select("t", F.xxhash64("t").alias("h")).collect()}
+    for _, part in out.groupby("k"):
+        assert part["x"].tolist() == list(itertools.accumulate((hashes[t] for t in part["t"]), operator.xor))
 
 
 @pytest.mark.parametrize("spans", [(2, 5, 20, 300)])

@@ -4,7 +4,7 @@
 symbol holds a third of the data. The helpers here split a series into blocks, work inside blocks, combine
 one summary row per block, and hand each block the state that precedes it:
 
-* :func:`running`      sum / count / max / min / last / previous row / first row, unbounded frame
+* :func:`running`      sum / xor / count / max / min / last / previous row / first row, unbounded frame
 * :func:`with_halo`    rows near a block border are copied to the neighbour, for frames of known length
 * :func:`series_scan`  y[t] = a * y[t-1] + b[t], the core of exponential and Wilder averages
 """
@@ -32,7 +32,7 @@ def time_block(ts: Column, seconds: int = SECONDS_PER_DAY) -> Column:
 class Run:
     """One running aggregate: ``kind`` over ``value`` up to and including the current row.
 
-    kind: sum, count, max, min, last (latest non-null), prev (value of the previous row, null kept),
+    kind: sum, xor (of longs), count, max, min, last (latest non-null), prev (value of the previous row, null kept),
     first (value of the first row).
     """
 
@@ -85,6 +85,9 @@ def running(
         if run.kind == "sum":
             parts = F.sum(v), F.sum(t), F.sum(v).over(upto)
             value = F.when(l.isNull(), c).when(c.isNull(), l).otherwise(l + c)
+        elif run.kind == "xor":
+            parts = F.bit_xor(v), F.bit_xor(t), F.bit_xor(v).over(upto)
+            value = F.coalesce(l.bitwiseXOR(c), l, c)
         elif run.kind == "count":
             parts = F.count(F.lit(1)), F.sum(t), F.row_number().over(inside).cast("long")
             value = l + F.coalesce(c, F.lit(0))
