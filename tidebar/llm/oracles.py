@@ -41,4 +41,37 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, min(r) AS component_id,
 FROM documents d JOIN reach ON reach.id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id, n.n
 """
 
-ORACLES = {"op7_mixing": MIXING, "op5_minhash_near_dedup": NEAR_DEDUP}
+_CRC_BYTE = "list_reduce(list_prepend(xor(c, ord(b)::BIGINT), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda a, z: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)"
+
+TRIE = f"""
+WITH turns AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos,
+    sha256(sha256(coalesce(role, '')) || sha256(coalesce(text, ''))) AS t, strlen(coalesce(text, ''))::BIGINT AS bytes
+  FROM conversations WHERE conv_id IS NOT NULL),
+digits AS (SELECT DISTINCT conv_id, string_split(conv_id::VARCHAR, '') AS bs FROM turns),
+heads AS (
+  WITH RECURSIVE step(conv_id, bs, i, c) AS (
+    SELECT conv_id, bs, 0, 4294967295::BIGINT FROM digits
+    UNION ALL SELECT conv_id, bs, i + 1, {_CRC_BYTE.replace('ord(b)', 'ord(bs[i + 1])')} FROM step WHERE i < len(bs))
+  SELECT conv_id, xor(c, 4294967295) % 9 AS h, conv_id - conv_id % 5 AS base FROM step WHERE i = len(bs)),
+own AS (SELECT conv_id, list(t ORDER BY pos) AS ts, list(bytes ORDER BY pos) AS bs FROM turns GROUP BY conv_id),
+seqs AS (
+  SELECT h.conv_id, coalesce(b.ts, [])[1:h.h] || o.ts[h.h + 1:] AS ts, coalesce(b.bs, [])[1:h.h] || o.bs[h.h + 1:] AS bs
+  FROM heads h JOIN own o ON o.conv_id = h.conv_id LEFT JOIN own b ON b.conv_id = h.base),
+steps AS (
+  SELECT conv_id, d, len(ts) AS len, sha256(array_to_string(ts[1:d], ',')) AS node, CASE WHEN d > 0 THEN sha256(array_to_string(ts[1:d - 1], ',')) END AS up, CASE WHEN d > 0 THEN bs[d] ELSE 0 END AS bytes
+  FROM (SELECT *, unnest(range(0, len(ts) + 1)) AS d FROM seqs)),
+nodes AS (
+  SELECT node, d, min(up) AS up, min(conv_id) AS conv_id, count(*) AS n, min(bytes) AS bytes,
+    sha256(coalesce(string_agg(CASE WHEN d = len THEN conv_id::VARCHAR END, ',' ORDER BY conv_id), '')) AS ends_sha256
+  FROM steps GROUP BY node, d),
+kids AS (SELECT up AS node, d - 1 AS d, count(*) AS n FROM nodes WHERE d > 0 GROUP BY 1, 2),
+rings AS (SELECT DISTINCT a.node, a.d, b.node AS under, b.d AS under_d FROM steps a JOIN steps b ON a.conv_id = b.conv_id AND b.d >= a.d),
+sums AS (
+  SELECT r.node, r.d, sum((n.n - 1) * n.bytes) AS saved, sum(CASE WHEN k.n IS NULL THEN 1 ELSE 0 END) AS leaves
+  FROM rings r JOIN nodes n ON n.node = r.under AND n.d = r.under_d LEFT JOIN kids k ON k.node = r.under AND k.d = r.under_d GROUP BY r.node, r.d)
+SELECT n.conv_id, n.d::BIGINT AS depth, p.conv_id AS parent_conv_id, n.n::BIGINT AS n_convs, coalesce(k.n, 0)::BIGINT AS n_children, s.leaves::BIGINT AS n_leaves, s.saved::BIGINT AS saved_tokens, n.ends_sha256
+FROM nodes n JOIN sums s ON s.node = n.node AND s.d = n.d LEFT JOIN nodes p ON p.node = n.up AND p.d = n.d - 1 LEFT JOIN kids k ON k.node = n.node AND k.d = n.d
+"""
+
+ORACLES = {"op11_conversation_trie": TRIE, "op7_mixing": MIXING, "op5_minhash_near_dedup": NEAR_DEDUP}

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebar.llm import fuzzy_lines, html, licenses, likelihood, minhash, mixing, pieces, quality, sketches, urls
+from tidebar.llm import fuzzy_lines, html, licenses, likelihood, minhash, mixing, pieces, prefix_trie, quality, sketches, toxicity, urls, whitening
 from tidebar.llm.common import table
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -56,6 +56,20 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", "predicted")
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted", F.size("passages").alias("n_passages"))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = whitening.whitened(table(spark, sf_dir, "embeddings"))
+    return out.withColumn("deviation_exact", F.col("deviation")).withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_html_text, op2_piece_codec, op3_quality_rules, op4_fingerprints, op5_minhash_near_dedup, op6_license_scan,
-    op7_mixing, op8_url_filter, op9_line_dedup, op10_quality_classifier)}
+    op7_mixing, op8_url_filter, op9_line_dedup, op10_quality_classifier, op11_conversation_trie, op12_toxicity, op13_embedding_whitening)}
