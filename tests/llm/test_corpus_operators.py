@@ -267,3 +267,66 @@ def test_article_elements_that_are_teasers():
     cards = "".join(f"<article><h3><a href=/{i}>Card {i}</a></h3><p>Short teaser {i}</p></article>" for i in range(4))
     assert html.main_text(f"<body><div>{body}</div><div>{cards}</div></body>") == "\n".join(f"{'main words here ' * 20}{i}" for i in range(5))
     assert html.main_text(f"<body><article>{body}</article><div>Elsewhere</div></body>").endswith("here 4")
+
+
+def brute_region(rows):
+    """Text by ratios, smoothing, threshold and region, said anew over (depth path, tags, text) lines."""
+    import math
+    ratio = [len(t) / max(g, 1) for _, g, t in rows]
+    smooth = []
+    for i in range(len(rows)):
+        w = [(math.exp(-(j - i) ** 2 / (2 * 1.5**2)), r) for j, r in enumerate(ratio) if abs(j - i) <= 5]
+        smooth.append(sum(a * b for a, b in w) / sum(a for a, _ in w))
+    mean = sum(smooth) / len(smooth)
+    cut = min(mean, math.sqrt(sum((r - mean) ** 2 for r in smooth) / len(smooth)))
+    content = [x for x, r in zip(rows, smooth) if r >= cut]
+    whole = sum(len(t) for *_, t in content)
+    held = collections.Counter()
+    for path, _, t in content:
+        for k in range(len(path) + 1):
+            held[path[:k]] += len(t)
+    region = max((p for p, n in held.items() if n >= 0.8 * whole), key=lambda p: p)
+    return "\n".join(t for path, _, t in rows if path[:len(region)] == region)
+
+
+def test_region_equals_brute_force():
+    r = random.Random(9)
+    for _ in range(300):
+        rows, page, pending, serial = [], [], 0, 0
+        for _ in range(r.randint(1, 4)):
+            serial += 1
+            outer = serial
+            page.append("<div>")
+            pending += 1
+            for _ in range(r.randint(1, 5)):
+                serial += 1
+                text = " ".join(words(r.choice([1, 2, 30]), serial * 7))
+                marks = r.randint(0, 3)
+                page.append("<section>" + "<b></b>" * marks + text + "</section>")
+                rows.append(((outer, serial), pending + 1 + 2 * marks, text))
+                pending = 1
+            page.append("</div>")
+            pending += 1
+        assert html.main_text("".join(page)) == brute_region(rows)
+
+
+def test_class_names_never_empty_a_page():
+    for page in ('<body class="has-sidebar"><p>kept</p>', '<body class="home header-fixed"><p>kept</p>', '<div class="content no-sidebar">kept</div>',
+                 '<article class="post category-social">kept</article>', '<html class="menu"><body id="sidebar"><main class="search">kept</main>', '<div class="page-widget"><p>kept</p></div>'):
+        assert html.main_text(page) == "kept", page
+    assert html.main_text('<div><p>The main text of the page.</p></div><div class="site-footer">Foot</div><div class="ad">Buy</div>') == "The main text of the page."
+
+
+def test_no_page_breaks_the_parser():
+    assert html.main_text("<p>ok</p><![foo[x]]>") == "ok" and html.main_text("<![bad<p>a</p>") is not None
+    r = random.Random(4)
+    bits = ["<![foo[x]]>", "<![", "<!", "<!DOCTYPE", "<!--", "-->", "<?php", "?>", "</", "<", ">", "<p>", "</p>", '<div class="ad">', '<div id="x-nav">', "</div>", "<ul><li><a href=x>l</a>", "</ul>", "text ", "&amp;",
+            "&#x110000;", "&#0;", "&bogus", "<script>", "</script>", "<![CDATA[x]]>", "<![if x]>", "<![endif]-->", "<tr><td>", "<br/>", "<article>", "</article>", '"', "'", "<a b=", "\x00", "<svg/>", "<textarea>", "<plaintext>", "\ud7ff"]
+    for _ in range(4_000):
+        assert isinstance(html.main_text("".join(r.choice(bits) for _ in range(r.randint(0, 25)))), str)
+    assert html.main_text("<div>text" * 20_000).count("\n") == 15_999  # innermost element that holds 0.8 of the text; linear in depth
+
+
+def test_pages_that_repeat_and_no_pages(spark):
+    pages = spark.createDataFrame([(1, "u", "<p>a</p>", "t")] * 3 + [(None, None, None, None)], "page_id long, url string, html string, text string")
+    assert sorted(r.text for r in html.extracted(pages).collect()) == ["", "a", "a", "a"] and html.extracted(pages.limit(0)).count() == 0

@@ -17,6 +17,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def wrapped(docs: DataFrame) -> DataFrame:
+    """doc_id, text and all columns of a row as the struct ``_document``, so that no working column can clash with one."""
+    return docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_document"))
+
+
+def besides(docs: DataFrame, *made: str) -> list[Column]:
+    """The columns of ``_document`` but for those that have the name of one in ``made``, which replace them."""
+    names = {c.lower() for c in made}
+    return [F.col(f"_document.`{c}`") for c in docs.columns if c.lower() not in names]
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` computed once per row, however often the body names it."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -5,13 +5,15 @@ has the ratio of its characters to its tags. The ratios of a page are smoothed w
 threshold into content and other lines; the innermost element that holds nearly all content lines is the content region.
 All its lines are returned, but for those inside elements that are marked as something else, and for lists of links.
 The ``article`` elements of a page together, or else its ``main``, are a candidate of more weight and need a lower share.
+A line break element starts a new line like a block. Elements are numbered as they open, so those inside an element follow it, and sums over
+elements are made in one sweep backwards: time is linear in the page, however deep it is nested.
 """
 
 from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -30,6 +32,8 @@ FURNITURE_NAMES = frozenset(
     "consent cookie cookies disqus footer header masthead menu menus modal nav navbar navigation newsletter notice notices notification "
     "overlay pagination pager popup promo promotion related reply replies respond search share sharing sidebar sidebars signup skip social "
     "sponsor sponsored subscribe toolbar topbar widget widgets".split())
+UNNAMED_TAGS = frozenset("html body article main".split())  # hold the page or its text, whatever their class says
+NEUTRAL_STARTS = frozenset("category format has hide is no not show tag type with without".split())  # as in no-sidebar
 CLOSED_BY_PEERS = frozenset("li dt dd tr td th option".split())
 CONTENT_ELEMENTS = ("article", "main")
 SIGMA = 1.5
@@ -39,24 +43,35 @@ LINKED = 0.6              # share of link text from which a list is a menu
 
 
 class Line:
-    __slots__ = ("text", "tags", "links", "linked", "path", "marked")
+    __slots__ = ("text", "tags", "links", "linked", "element", "doubt")
 
-    def __init__(self, path: tuple, marked: bool):
-        self.text, self.tags, self.links, self.linked, self.path, self.marked = [], 0, 0, 0, path, marked
+    def __init__(self, element: int, doubt: int):
+        self.text, self.tags, self.links, self.linked, self.element, self.doubt = [], 0, 0, 0, element, doubt
 
 
 class Lines(HTMLParser):
-    """Parser events to lines. Elements that only page furniture has are skipped as they stream by."""
+    """Parser events to lines. Elements that only page furniture has are skipped as they stream by.
+
+    Elements whose class or id merely begins or ends with the name of furniture are in doubt: their lines are kept and
+    judged by the share of the page that they hold.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple] = []          # (tag, furniture, path of this and the elements around it)
+        self.open: list[tuple] = []          # (tag, furniture, element, doubt) of what is open
         self.counts: Counter = Counter()
-        self.furniture = self.in_link = self.serial = 0
+        self.furniture = self.in_link = 0
+        self.tags, self.parents, self.ends = [""], [0], [0]  # by element; 0 is the page; ends: last element inside
         self.lines: list[Line] = []
         self.line: Line | None = None
         self.pending = 0
 
+    def parse_marked_section(self, i, report=1):
+        try:
+            return super().parse_marked_section(i, report)
+        except AssertionError:               # a section of no known kind is a comment up to the next >
+            return self.parse_bogus_comment(i)
+
     def flush(self):
         if self.line is not None:
             self.line.text = " ".join("".join(self.line.text).split())
@@ -74,12 +89,17 @@ class Lines(HTMLParser):
         self.pending += 1
         if tag in VOID:
             return
-        path = self.open[-1][2] if self.open else ()
-        furniture = tag in FURNITURE_TAGS or furnished(attrs)
-        self.serial += 1
+        element, doubt = self.open[-1][2:] if self.open else (0, 0)
+        named = 0 if tag in UNNAMED_TAGS else naming(attrs)
+        furniture = tag in FURNITURE_TAGS or named == 2 or hidden(attrs)
         if tag in BLOCK and tag != "p":
-            path = (path, (tag, self.serial))
-        self.open.append((tag, furniture, path))
+            self.tags.append(tag)
+            self.parents.append(element)
+            self.ends.append(0)
+            element = len(self.tags) - 1
+            if named == 1 and not doubt:
+                doubt = element
+        self.open.append((tag, furniture, element, doubt))
         self.counts[tag] += 1
         self.furniture += furniture
         self.in_link += tag == "a"
@@ -90,7 +110,8 @@ class Lines(HTMLParser):
             self.handle_endtag(tag)
 
     def pop(self):
-        tag, furniture, _ = self.open.pop()
+        tag, furniture, element, _ = self.open.pop()
+        self.ends[element] = len(self.tags) - 1
         self.counts[tag] -= 1
         self.furniture -= furniture
         self.in_link -= tag == "a"
@@ -110,7 +131,7 @@ class Lines(HTMLParser):
         if self.line is None:
             if not data.strip():
                 return
-            self.line = Line(self.open[-1][2] if self.open else (), False)
+            self.line = Line(*(self.open[-1][2:] if self.open else (0, 0)))
         self.line.tags += self.pending
         self.pending = 0
         self.line.text.append(data)
@@ -118,15 +139,46 @@ class Lines(HTMLParser):
             self.line.links += 1
             self.line.linked += len(data.strip())
 
+    def finish(self):
+        self.close()
+        self.flush()
+        while self.open:
+            self.pop()
+        self.ends[0] = len(self.tags) - 1
+
+    def sums(self, lines: list[Line], value: Callable[[Line], int]) -> list[int]:
+        """Sum of ``value`` over the lines in each element."""
+        out = [0] * len(self.tags)
+        for x in lines:
+            out[x.element] += value(x)
+        for e in range(len(out) - 1, 0, -1):
+            out[self.parents[e]] += out[e]
+        return out
+
+    def inside(self, chosen: Callable[[int], bool]) -> list[bool]:
+        """Whether each element is or lies in a chosen one."""
+        out = [False] * len(self.tags)
+        for e in range(1, len(out)):
+            out[e] = out[self.parents[e]] or chosen(e)
+        return out
+
+
+def hidden(attrs) -> bool:
+    return any(name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value and value.lower() in FURNITURE_ROLES for name, value in attrs)
 
-def furnished(attrs) -> bool:
+
+def naming(attrs) -> int:
+    """2: a class or id is the name of furniture; 1: one begins or ends with such a name (``ad-slot``, ``site-footer``); 0: none."""
+    found = 0
     for name, value in attrs:
-        if name in ("hidden",) or name == "aria-hidden" and value == "true":
-            return True
-        if value and (name == "role" and value.lower() in FURNITURE_ROLES
-                      or name in ("class", "id") and not FURNITURE_NAMES.isdisjoint(value.lower().replace("-", " ").replace("_", " ").split())):
-            return True
-    return False
+        if value and name in ("class", "id"):
+            for own in value.lower().split():
+                parts = own.replace("_", "-").strip("-").split("-")
+                if own in FURNITURE_NAMES:
+                    return 2
+                if parts[0] not in NEUTRAL_STARTS and (parts[0] in FURNITURE_NAMES or parts[-1] in FURNITURE_NAMES):
+                    found = 1
+    return found
 
 
 def smoothed(ratios: list[float], sigma: float = SIGMA) -> list[float]:
@@ -139,22 +191,14 @@ def smoothed(ratios: list[float], sigma: float = SIGMA) -> list[float]:
     return out
 
 
-def ancestors(path: tuple) -> Iterator[tuple]:
-    """Elements of a path, innermost first."""
-    while path:
-        path, element = path
-        yield element
-
-
 def main_text(html: str | None) -> str:
-    """Main text of a page: blocks in page order, one line each. Null, empty or unreadable pages have none."""
+    """Main text of a page: blocks in page order, one line each. Null and empty pages have none, nor have pages without text."""
     if not html:
         return ""
-    parser = Lines()
-    parser.feed(html)
-    parser.close()
-    parser.flush()
-    lines = parser.lines
+    page = Lines()
+    page.feed(html)
+    page.finish()
+    lines = undoubted(page)
     if not lines:
         return ""
     ratios = smoothed([len(x.text) / max(x.tags, 1) for x in lines])
@@ -163,29 +207,28 @@ def main_text(html: str | None) -> str:
     content = [x for x, r in zip(lines, ratios) if r >= min(threshold, mean) and x.linked < LINKED * len(x.text)] or lines
     whole = sum(len(x.text) for x in content)
     for kind in CONTENT_ELEMENTS:
-        within = lambda x: any(tag == kind for tag, _ in ancestors(x.path))  # noqa: B023, E731
-        if WEIGHT * sum(len(x.text) for x in content if within(x)) >= SHARE * whole:
-            return "\n".join(x.text for x in unlisted([x for x in lines if within(x)]))
-    mass: Counter = Counter()
-    for x in content:
-        for element in ancestors(x.path):
-            mass[element] += len(x.text)
-    region = max((e for e, m in mass.items() if m >= SHARE * whole), key=lambda e: e[1], default=None)
-    inside = [x for x in lines if region is None or region in set(ancestors(x.path))]
-    return "\n".join(x.text for x in unlisted(inside))
-
-
-def unlisted(lines: list[Line]) -> list[Line]:
+        within = page.inside(lambda e: page.tags[e] == kind)  # noqa: B023
+        if WEIGHT * sum(len(x.text) for x in content if within[x.element]) >= SHARE * whole:
+            return "\n".join(x.text for x in unlisted(page, [x for x in lines if within[x.element]]))
+    mass = page.sums(content, lambda x: len(x.text))
+    region = max(e for e, m in enumerate(mass) if m >= SHARE * whole)
+    return "\n".join(x.text for x in unlisted(page, [x for x in lines if region <= x.element <= page.ends[region]]))
+
+
+def undoubted(page: Lines) -> list[Line]:
+    """Lines but for those in elements in doubt that hold at most half of the text."""
+    held: Counter = Counter()
+    for x in page.lines:
+        held[x.doubt] += len(x.text)
+    half = sum(held.values()) / 2
+    return [x for x in page.lines if not x.doubt or held[x.doubt] > half]
+
+
+def unlisted(page: Lines, lines: list[Line]) -> list[Line]:
     """Lines that do not stand in a list of links."""
-    size, linked, links = Counter(), Counter(), Counter()
-    for x in lines:
-        for element in ancestors(x.path):
-            if element[0] in ("ul", "ol"):
-                size[element] += len(x.text)
-                linked[element] += x.linked
-                links[element] += x.links
-    menus = {e for e, n in links.items() if n >= 3 and linked[e] >= LINKED * size[e]}
-    return [x for x in lines if menus.isdisjoint(ancestors(x.path))] if menus else lines
+    size, linked, links = (page.sums(lines, value) for value in (lambda x: len(x.text), lambda x: x.linked, lambda x: x.links))
+    menu = page.inside(lambda e: page.tags[e] in ("ul", "ol") and links[e] >= 3 and linked[e] >= LINKED * size[e])
+    return [x for x in lines if not menu[x.element]]
 
 
 def extracted(pages: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidebar.llm.common import text_of, words_of
+from tidebar.llm.common import text_of, words_of, wrapped
 
 BLOCK_DIGITS = 3      # hexadecimal digits of the digest that name a block: 4,096 blocks a class
 CLASSES_PER_DOUBLING = 4
@@ -76,9 +76,10 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
 
 def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
     """The rows of ``docs``, each as often as it is taken."""
-    taken = mix(docs, **settings).groupBy("doc_id").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
+    taken = mix(docs, **settings).groupBy("doc_id").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
     # Rows that repeat an id share the copies of that id, the first rows taking one more where they do not divide.
-    numbered = docs.withColumn("_row", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))))
-    own = F.floor(F.col("_copies") / F.col("_rows")) + (F.col("_row") <= F.col("_copies") % F.col("_rows")).cast("int")
+    numbered = wrapped(docs).withColumn("row", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))))
+    own = F.floor(F.col("copies") / F.col("rows")) + (F.col("row") <= F.col("copies") % F.col("rows")).cast("int")
     joined = numbered.alias("d").join(taken.alias("t"), F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")))
-    return joined.where("_copies > 0").select("d.*", own.cast("int").alias("_n")).where("_n > 0").withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*docs.columns)
+    repeated = joined.where("copies > 0").select("_document", own.cast("int").alias("n")).where("n > 0")
+    return repeated.select("_document", F.explode(F.sequence(F.lit(1), F.col("n")))).select("_document.*")

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidebar.llm import trees
-from tidebar.llm.common import let, text_of, words_of
+from tidebar.llm.common import besides, let, text_of, words_of, wrapped
 from tidebar.session import materialize
 
 TRAIN_ROWS = 8_000        # labelled documents that the rules are learned from, at most
@@ -86,9 +86,18 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
 
 
-def scored(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
-    """``docs`` with held_out, score and predicted. Null and empty texts get the score of a text without words."""
+def judged(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
+    """_document (a struct of all columns of ``docs``), doc_id, held_out, score, predicted: one row per row of ``docs``."""
     model = fit(docs, labels.where(~held_out()))
-    wide = with_statistics(docs.select(*[F.col(c) for c in docs.columns]))
-    out = wide.select(*docs.columns, held_out().alias("held_out"), score_column(model).alias("score"))
+    wide = with_statistics(wrapped(docs))
+    out = wide.select("_document", "doc_id", held_out().alias("held_out"), score_column(model).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= cut).cast("int"))
+
+
+def scored(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
+    """``docs`` with held_out, score and predicted, which replace columns of these names.
+
+    Null and empty texts get the score of a text without words. Rows that repeat an id get the score of their own text.
+    """
+    made = ("held_out", "score", "predicted")
+    return judged(docs, labels, cut).select(*besides(docs, *made), *made)
