@@ -61,14 +61,25 @@ def _(spark, sf):
     return rounded(RK.first_breach(account_events(spark, sf), LIMITS, V.INITIAL_CAPITAL), "value")
 
 
+EVENT_ROWS = T.StructType([
+    T.StructField("account", T.StringType()), T.StructField("ts", T.TimestampType()), T.StructField("seq", T.LongType()),
+    T.StructField("kind", T.StringType()), T.StructField("equity", T.DoubleType()), T.StructField("pnl_net", T.DoubleType())])
+
+
 @query("r2_first_breach_stream", with_("trades", "equity", extra=BREACH) + f"SELECT strategy AS account, ts, seq, code, {r('value')} AS value FROM hit WHERE rn = 1")
 def _(spark, sf):
     root = scratch(spark)
-    account_events(spark, sf).withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.parquet(f"{root}/in")
-    schema = T.StructType([
-        T.StructField("account", T.StringType()), T.StructField("ts", T.TimestampType()), T.StructField("seq", T.LongType()),
-        T.StructField("kind", T.StringType()), T.StructField("equity", T.DoubleType()), T.StructField("pnl_net", T.DoubleType())])
-    out = RK.monitor_stream(spark.readStream.schema(schema).parquet(f"{root}/in"), LIMITS, V.INITIAL_CAPITAL)
+    lateness = "40 days"
+    # A file holds a month of events; every third event comes a month late, and no file is in order.
+    events = materialize(account_events(spark, sf).withColumn("ts", F.col("ts").cast("timestamp")).withColumn(
+        "part", F.floor(F.unix_timestamp("ts") / 2_592_000) + F.when(F.col("seq") % 3 == 0, 1).otherwise(0)))
+    for month in [r.part for r in events.select("part").distinct().orderBy("part").collect()]:
+        events.where(F.col("part") == month).drop("part").repartition(3, "seq").write.mode("append").parquet(f"{root}/in")
+    RK.use_rocksdb(spark)
+    source = spark.readStream.schema(EVENT_ROWS).option("maxFilesPerTrigger", 3).parquet(f"{root}/in")
+    out = RK.monitor_stream(source, LIMITS, V.INITIAL_CAPITAL, lateness)
+    TB.run_available(out, f"{root}/out", f"{root}/state")
+    RK.closing_event(events, lateness).write.mode("append").parquet(f"{root}/in")
     TB.run_available(out, f"{root}/out", f"{root}/state")
     back = spark.read.schema(RK.BREACH_SCHEMA).parquet(f"{root}/out")
     return back.select("account", F.col("ts").cast("timestamp_ntz").alias("ts"), "seq", "code", r6("value").alias("value"))

@@ -3,6 +3,7 @@ import json
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from helpers import bars_frame
 from tidebar.operators import matching as N
@@ -11,6 +12,7 @@ from tidebar.sources import market as MK
 from tidebar.sources import parameters as PA
 from tidebar.streaming import progress as PG
 from tidebar.streaming import risk as RK
+from tidebar.streaming import tick_bars as TB
 
 BOOK = "trade_id long, entry_time timestamp_ntz, exit_time timestamp_ntz, direction string, qty double, entry_price double, exit_price double, pnl_net double"
 
@@ -149,3 +151,35 @@ def test_progress_board(spark):
     assert board["beta"]["status"] == "Concluida" and board["gamma"]["status"] == "Erro"
     ranked = PG.ranked_board(PG.pending_board(PG.progress_board(df), ["5m"], ["alpha", "delta"])).toPandas()
     assert ranked["strategy"].iloc[0] == "beta" and "Pendente" in set(ranked["status"])
+
+
+def test_stream_of_unordered_files_equals_batch(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    rows = []
+    for account in ("a", "b", "c", "quiet"):
+        t, equity = pd.Timestamp("2025-01-02 09:00"), 1000.0
+        for i in range(150):
+            t += pd.Timedelta(seconds=int(rng.integers(0, 900)))  # some share a minute, some an instant
+            pnl = float(rng.normal(0, 0.01 if account == "quiet" else 12))
+            equity += pnl
+            rows.append((account, t.to_pydatetime(), i, "close" if i % 3 else "mark", equity, pnl if i % 3 else None))
+    schema = "account string, ts timestamp, seq long, kind string, equity double, pnl_net double"
+    limits = RK.RiskLimits(daily_loss_limit=60, max_drawdown_pct=9, max_consecutive_losses=5)
+    whole = spark.createDataFrame(rows, schema)
+    want = {tuple(r) for r in RK.first_breach(whole, limits, 1000.0).select("account", "ts", "seq", "code", F.round("value", 6)).collect()}
+    late = [int(rng.integers(0, 3)) for _ in rows]
+    first = min(r[1] for r in rows)
+    for n in range(40):
+        part = [r for r, d in zip(rows, late) if (r[1] - first) // pd.Timedelta(hours=3) + d == n]
+        if part:
+            order = rng.permutation(len(part))
+            spark.createDataFrame([part[i] for i in order], schema).repartition(2).write.mode("append").parquet(f"{tmp_path}/in")
+    RK.use_rocksdb(spark)
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(f"{tmp_path}/in")
+    out = RK.monitor_stream(source, limits, 1000.0, "24 hours")
+    TB.run_available(out, f"{tmp_path}/out", f"{tmp_path}/state")
+    RK.closing_event(whole, "24 hours").write.mode("append").parquet(f"{tmp_path}/in")
+    TB.run_available(out, f"{tmp_path}/out", f"{tmp_path}/state")
+    got = spark.read.schema(RK.BREACH_SCHEMA).parquet(f"{tmp_path}/out").withColumn("value", F.round("value", 6)).collect()
+    assert want and {tuple(r) for r in got} == want and len(got) == len(want)
+    assert "quiet" not in {r.account for r in got}

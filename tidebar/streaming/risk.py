@@ -7,12 +7,14 @@ and loss streak. The first breach halts the account for good.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 from typing import Any, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tidebar.functions.scans import Run, running, time_block
 from tidebar.operators.bars import candle_range
@@ -28,45 +30,107 @@ class RiskLimits:
 
 
 BREACH_SCHEMA = "account string, ts timestamp, seq long, code string, value double"
-_STATE = "day string, peak double, day_pnl double, streak long, halted boolean"
+_BOOK = "day string, peak double, day_pnl double, streak long, halted boolean"
+SLOT_MS = 60_000          # events of an account are held and released by the minute
+CLOSING = "closing"       # kind of the event that ends a stream
 
 
-def monitor_stream(events: DataFrame, limits: RiskLimits, capital: float) -> DataFrame:
-    """First breach per account of an event stream; one small state row per account.
+@dataclass
+class RiskBook:
+    """Running day, peak, day P&L and loss streak of one account."""
 
-    Events of a micro-batch are ordered by (ts, seq) per account, so batches must arrive in time order.
+    day: str
+    peak: float
+    day_pnl: float = 0.0
+    streak: int = 0
+    halted: bool = False
+
+    def breach(self, limits: RiskLimits, day: str, kind: str, equity: float, pnl: float | None) -> tuple[str, float] | None:
+        """Takes one event in; code and value of the limit that it breaks."""
+        if day != self.day:
+            self.day, self.day_pnl, self.streak = day, 0.0, 0
+        self.peak = max(self.peak, equity)
+        fall = 100.0 * (self.peak - equity) / self.peak if self.peak > 0 else 0.0
+        if limits.max_drawdown_pct > 0 and self.peak > 0 and fall >= limits.max_drawdown_pct:
+            return "MAX_DRAWDOWN_PCT", fall
+        if kind == "close":
+            pnl = pnl or 0.0
+            self.day_pnl += pnl
+            self.streak = self.streak + 1 if pnl < 0 else (0 if pnl > 0 else self.streak)
+            if limits.daily_loss_limit > 0 and self.day_pnl <= -abs(limits.daily_loss_limit):
+                return "DAILY_LOSS_LIMIT", self.day_pnl
+            if limits.max_consecutive_losses > 0 and self.streak >= limits.max_consecutive_losses:
+                return "MAX_CONSECUTIVE_LOSSES", float(self.streak)
+        return None
+
+
+class BreachMonitor(StatefulProcessor):
+    """Holds events of an account by the minute and releases a minute once the watermark has passed it.
+
+    State per account: one small book, and the minutes that are still open. An account that has halted holds nothing.
     """
 
-    def check(key: tuple, frames: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
-        day, peak, day_pnl, streak, halted = state.get if state.exists else ("", float(capital), 0.0, 0, False)
-        found: list[tuple] = []
-        batch = pd.concat(list(frames)) if not halted else None
-        if batch is not None:
-            for row in batch.sort_values(["ts", "seq"]).itertuples(index=False):
-                today = str(row.ts)[:10]
-                if today != day:
-                    day, day_pnl, streak = today, 0.0, 0
-                peak = max(peak, float(row.equity))
-                fall = 100.0 * (peak - float(row.equity)) / peak if peak > 0 else 0.0
-                breach = None
-                if limits.max_drawdown_pct > 0 and peak > 0 and fall >= limits.max_drawdown_pct:
-                    breach = ("MAX_DRAWDOWN_PCT", fall)
-                elif row.kind == "close":
-                    pnl = float(row.pnl_net)
-                    day_pnl += pnl
-                    streak = streak + 1 if pnl < 0 else (0 if pnl > 0 else streak)
-                    if limits.daily_loss_limit > 0 and day_pnl <= -abs(limits.daily_loss_limit):
-                        breach = ("DAILY_LOSS_LIMIT", day_pnl)
-                    elif limits.max_consecutive_losses > 0 and streak >= limits.max_consecutive_losses:
-                        breach = ("MAX_CONSECUTIVE_LOSSES", float(streak))
-                if breach:
-                    halted = True
-                    found.append((key[0], row.ts, int(row.seq), *breach))
-                    break
-        state.update((day, float(peak), float(day_pnl), int(streak), bool(halted)))
-        yield pd.DataFrame(found, columns=["account", "ts", "seq", "code", "value"])
-
-    return events.groupBy("account").applyInPandasWithState(check, BREACH_SCHEMA, _STATE, "append", "NoTimeout")
+    def __init__(self, limits: RiskLimits, capital: float):
+        self.limits, self.capital = limits, float(capital)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.book = handle.getValueState("book", _BOOK)
+        self.held = handle.getMapState("held", "slot long", "events string")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        halted = self.book.exists() and self.book.get()[4]
+        for frame in rows:
+            frame = frame[frame["kind"] != CLOSING]
+            if halted or frame.empty:
+                continue
+            micros = frame["ts"].astype("datetime64[us]").astype("int64")
+            for slot, part in frame.assign(micros=micros).groupby(micros // (1000 * SLOT_MS)):
+                known = json.loads(self.held.getValue((int(slot),))[0]) if self.held.containsKey((int(slot),)) else []
+                new = [[int(t), int(n), k, float(e), None if pd.isna(p) else float(p)] for t, n, k, e, p in zip(part["micros"], part["seq"], part["kind"], part["equity"], part["pnl_net"])]
+                self.held.updateValue((int(slot),), (json.dumps(known + new),))
+                self.handle.registerTimer((int(slot) + 1) * SLOT_MS)
+        yield from ()
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        slot = (expiredTimerInfo.getExpiryTimeInMs() // SLOT_MS - 1,)
+        events = json.loads(self.held.getValue(slot)[0]) if self.held.containsKey(slot) else []
+        self.held.removeKey(slot)
+        book = RiskBook(*self.book.get()) if self.book.exists() else RiskBook("", self.capital)
+        for micros, seq, kind, equity, pnl in sorted(events, key=lambda e: e[:2]) if not book.halted else ():
+            at = pd.Timestamp(micros, unit="us")
+            hit = book.breach(self.limits, str(at)[:10], kind, equity, pnl)
+            if hit:
+                book.halted = True
+                self.held.clear()
+                yield pd.DataFrame([(key[0], at, seq, *hit)], columns=["account", "ts", "seq", "code", "value"])
+                break
+        self.book.update((book.day, book.peak, book.day_pnl, book.streak, book.halted))
+
+
+def monitor_stream(events: DataFrame, limits: RiskLimits, capital: float, lateness: str = "10 minutes") -> DataFrame:
+    """First breach per account of an event stream whose events are at most ``lateness`` out of order.
+
+    Events are judged in order of (ts, seq) per account, whatever the files or micro-batches they came in: they wait in
+    keyed state until the watermark passes their minute. Rows of one batch reach the processor in chunks, never as a
+    whole account. What is later than the watermark is dropped by Spark. An event of kind ``closing``
+    (:func:`closing_event`) moves the watermark past all others and so releases what is left.
+    Needs the RocksDB state store (:func:`use_rocksdb`).
+    """
+    named = events.where("account is not null and ts is not null").select("account", "ts", "seq", "kind", "equity", "pnl_net")
+    return named.withWatermark("ts", lateness).groupBy("account").transformWithStateInPandas(
+        BreachMonitor(limits, capital), outputStructType=BREACH_SCHEMA, outputMode="Append", timeMode="EventTime")
+
+
+def use_rocksdb(spark: SparkSession) -> None:
+    """State store that timers and map state need."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def closing_event(events: DataFrame, lateness: str) -> DataFrame:
+    """One event that ends a stream of ``events``: later than the last one by more than ``lateness`` and a minute."""
+    last = events.agg((F.max("ts") + F.expr(f"interval {lateness}") + F.expr(f"interval {2 * SLOT_MS} milliseconds")).alias("ts"))
+    return last.where("ts is not null").select(F.lit("").alias("account"), "ts", F.lit(0).cast("long").alias("seq"), F.lit(CLOSING).alias("kind"), F.lit(0.0).alias("equity"), F.lit(None).cast("double").alias("pnl_net"))
 
 
 def first_breach(events: DataFrame, limits: RiskLimits, capital: float, keys: Sequence[str] = ("account",)) -> DataFrame:
