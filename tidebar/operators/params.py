@@ -14,13 +14,14 @@ from pyspark.sql import functions as F
 
 from tidebar.functions.columns import hhmm_seconds
 
-MAX_PARAM_SETS = 50_000      # a sweep is a configuration, not data; larger tables are refused
+MAX_PARAM_SETS = 50_000      # sets that may be brought to the driver at once; tables of sets have no limit
 
 
 @dataclass(frozen=True)
 class ExecutionSettings:
     """Entry, exit, cost and guard settings of a run; parameter sets may override some of them."""
 
+    # Names and defaults of the settings.
     initial_capital: float = 100_000.0
     contracts: int = 1
     point_value: float = 0.2
@@ -72,8 +73,6 @@ def param_text(value: Any) -> str:
 
 def params_frame(spark: SparkSession, sets: Sequence[Mapping[str, Any]]) -> DataFrame:
     """(param_id, params, params_json) in the order given."""
-    if len(sets) > MAX_PARAM_SETS:
-        raise ValueError(f"{len(sets)} parameter sets exceed {MAX_PARAM_SETS}; split the sweep")
     schema = "param_id bigint, params map<string,string>, params_json string"
     rows = [(i, {k: param_text(v) for k, v in p.items()}, canonical_json(p)) for i, p in enumerate(sets)]
     return spark.createDataFrame(rows, schema)

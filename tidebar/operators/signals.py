@@ -276,8 +276,19 @@ def strategy_signals(
     if rule.minute_window:
         allowed = allowed & minute_window(rule.minute_window, side)
     table = table.withColumns(side.columns)
-    crossed = ready.bars.crossJoin(F.broadcast(table)) if restrict is None else ready.bars.join(table, list(restrict))
+    by_tuple = only_entries and restrict is None
+    if by_tuple:
+        # Sets that differ in exits or costs only share their signals: each distinct tuple of what the rules read meets the
+        # bars once, and what is left is joined to the full sets by that tuple.
+        read = [F.col(c) for c in side.columns]
+        table = table.withColumn("_tuple", F.to_json(F.struct(F.lit(0).alias("_"), *read)))
+        crossed = ready.bars.crossJoin(table.select("_tuple", *read).dropDuplicates(["_tuple"]))
+    else:
+        crossed = ready.bars.crossJoin(table) if restrict is None else ready.bars.join(table, list(restrict))
     direction = F.when(is_true(ready.short), -1).when(is_true(ready.long), 1).otherwise(0)
     signal = F.when(allowed, direction).otherwise(0).cast("int").alias("signal")
+    if by_tuple:
+        fired = crossed.select(*indexed.columns, "_tuple", signal).where("signal <> 0")
+        return fired.join(table.select("_tuple", *extra), "_tuple").select(*indexed.columns, *extra, "signal")
     out = crossed.select(*indexed.columns, *extra, signal)
     return out.where("signal <> 0") if only_entries else out

@@ -131,6 +131,11 @@ def trade_columns(chosen: DataFrame, group: Sequence[str], strategy: str) -> Dat
     )
 
 
+def held_bars(trades: DataFrame, group: Sequence[str], first: Column, last: Column, *columns: Any) -> DataFrame:
+    """One row per trade and bar from ``first`` to ``last``: exactly the bars it is open, to be joined on their index."""
+    return trades.where(first <= last).select(*group, *columns, F.explode(F.sequence(first, last)).alias("bar_idx"))
+
+
 def equity_curve(
     trades: DataFrame,
     indexed: DataFrame,
@@ -144,7 +149,7 @@ def equity_curve(
     """Cash and equity at each bar close for every group (series x parameter set).
 
     ``groups`` lists the parameter rows; with ``restrict`` they belong to certain series and are joined on
-    those columns, otherwise every series meets every (broadcast) row. ``dense=False`` keeps the first bar and the bars that hold or close a position: between those
+    those columns, otherwise every series meets every row. ``dense=False`` keeps the first bar and the bars that hold or close a position: between those
     equity is flat, so drawdown and returns lose nothing while a sweep avoids bars x sets rows.
     """
     keys = list(keys)
@@ -153,26 +158,17 @@ def equity_curve(
     scale = F.lit(base.point_value) * F.lit(base.contracts)
     side = F.when(F.col("direction") == "long", 1.0).otherwise(-1.0)
     chunk = F.floor(F.col("bar_idx") / F.lit(BLOCK_ROWS)).cast("long")
-    held = trades.where(F.col("exit_idx") > F.col("entry_idx")).select(
-        *group, "entry_idx", "exit_idx", "entry_price", side.alias("_side"),
-        F.explode(
-            F.sequence(
-                F.floor(F.col("entry_idx") / F.lit(BLOCK_ROWS)).cast("long"),
-                F.floor((F.col("exit_idx") - 1) / F.lit(BLOCK_ROWS)).cast("long"),
-            )
-        ).alias("_chunk"),
-    )
-    marks = indexed.select(*keys, "bar_idx", "close", chunk.alias("_chunk"))
-    open_rows = held.join(marks, [*keys, "_chunk"]).where(
-        (F.col("bar_idx") >= F.col("entry_idx")) & (F.col("bar_idx") < F.col("exit_idx"))
-    ).select(*group, "bar_idx", ((F.col("close") - F.col("entry_price")) * F.col("_side") * scale).alias("floating"), F.lit(0.0).alias("net"))
+    held = held_bars(trades, group, F.col("entry_idx"), F.col("exit_idx") - 1, "entry_price", side.alias("_side"))
+    marks = indexed.select(*keys, "bar_idx", "close")
+    open_rows = held.join(marks, [*keys, "bar_idx"]).select(
+        *group, "bar_idx", ((F.col("close") - F.col("entry_price")) * F.col("_side") * scale).alias("floating"), F.lit(0.0).alias("net"))
     closed = trades.select(*group, F.col("exit_idx").alias("bar_idx"), F.lit(0.0).alias("floating"), F.col("pnl_net").alias("net"))
     events = open_rows.unionByName(closed).groupBy(*group, "bar_idx").agg(
         F.sum("floating").alias("floating"), F.sum("net").alias("net")
     )
     skeleton = indexed if dense else indexed.where(F.col("bar_idx") == 0)
     lines = skeleton.select(*keys, "bar_idx", "datetime")
-    lines = lines.join(groups, list(restrict)) if restrict else lines.crossJoin(F.broadcast(groups))
+    lines = lines.join(groups, list(restrict)) if restrict else lines.crossJoin(groups)
     if dense:
         rows = lines.select(*group, "bar_idx", "datetime", F.lit(None).cast("double").alias("floating"), F.lit(0.0).alias("net"), F.lit(1).alias("_bar"))
         steps = events.select(*group, "bar_idx", F.lit(None).cast("timestamp_ntz").alias("datetime"), "floating", "net", F.lit(0).alias("_bar"))

@@ -19,7 +19,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from tidebar.functions.scans import Run, running, time_block
 from tidebar.operators.bars import candle_range
 from tidebar.operators.params import ExecutionSettings
-from tidebar.operators.trades import price_exits
+from tidebar.operators.trades import held_bars, price_exits
 
 
 @dataclass(frozen=True)
@@ -201,14 +201,10 @@ def risk_events(trades: DataFrame, equity: DataFrame, indexed: DataFrame, base:
     scale = F.lit(base.point_value * base.contracts)
     block = F.floor(F.col("bar_idx") / 4096).cast("long")
     timed = running(equity, group, ["bar_idx"], block, [Run("_cash0", "prev", F.col("cash"))])
-    held = trades.where(F.col("exit_idx") > F.col("entry_idx")).select(
-        *group, "entry_idx", "exit_idx", "entry_price", side.alias("_side"),
-        F.explode(F.sequence(F.floor((F.col("entry_idx") + 1) / 4096).cast("long"), F.floor(F.col("exit_idx") / 4096).cast("long"))).alias("_chunk"),
-    )
-    opens = indexed.select(*keys, "bar_idx", "open", F.floor(F.col("bar_idx") / 4096).cast("long").alias("_chunk"))
-    floating = held.join(opens, [*keys, "_chunk"]).where(
-        (F.col("bar_idx") > F.col("entry_idx")) & (F.col("bar_idx") <= F.col("exit_idx"))
-    ).groupBy(*group, "bar_idx").agg(F.sum((F.col("open") - F.col("entry_price")) * F.col("_side") * scale).alias("_float"))
+    held = held_bars(trades, group, F.col("entry_idx") + 1, F.col("exit_idx"), "entry_price", side.alias("_side"))
+    opens = indexed.select(*keys, "bar_idx", "open")
+    floating = held.join(opens, [*keys, "bar_idx"]).groupBy(*group, "bar_idx").agg(
+        F.sum((F.col("open") - F.col("entry_price")) * F.col("_side") * scale).alias("_float"))
     start = F.coalesce("_cash0", F.lit(base.initial_capital))
     marks = timed.join(floating, [*group, "bar_idx"], "left")
     none = F.lit(None).cast("double")
