@@ -24,7 +24,7 @@ mt AS (SELECT gr.a, gr.b, ge, gx FROM gr JOIN ps ON ps.a = gr.a AND ps.b = gr.b)
 
 
 def books(spark, sf):
-    return V.book(spark, sf, "click"), V.book(spark, sf, "purchase")
+    return V.half_book(spark, sf, 0), V.half_book(spark, sf, 1)
 
 
 @query("u1_match_trades", with_("books", extra=PAIRS, recursive=True) + f"SELECT a AS a_id, b AS b_id, {r('ge')} AS entry_gap, {r('gx')} AS exit_gap FROM mt")

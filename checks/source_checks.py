@@ -102,7 +102,7 @@ def stamps(c, pattern):
        .replace("trade_id,", "row_number() OVER (ORDER BY date_trunc('second', exit_time), date_trunc('second', entry_time)) - 1 AS trade_id,") + " FROM (SELECT *, 1.0 AS qty FROM ba)")
 def _(spark, sf):
     root = scratch(spark)
-    b = V.book(spark, sf, "click")
+    b = V.half_book(spark, sf, 0)
     b.select(F.lit("x").alias("strategy"), stamps("entry_time", "yyyy-MM-dd HH:mm:ss").alias("entry_time"), stamps("exit_time", "yyyy-MM-dd HH:mm:ss").alias("exit_time"), "direction",
              "entry_price", "exit_price", "pnl_net", F.lit('{"a": 1, "b": 2}').alias("params")).write.option("header", True).option("escape", '"').csv(root)
     out = MK.read_tradebook(spark, [root], "own")
@@ -113,7 +113,7 @@ def _(spark, sf):
        + f"CASE WHEN dir = 'unknown' THEN 'short' ELSE dir END AS direction, {r('3.0')} AS qty, {r('round(entry_price, 2)')} AS entry_price, {r('round(exit_price, 2)')} AS exit_price, {r('pnl_net')} AS pnl_net FROM ba")
 def _(spark, sf):
     root = scratch(spark)
-    b = V.book(spark, sf, "click")
+    b = V.half_book(spark, sf, 0)
     word = F.when(F.col("direction") == "long", "Compra").when(F.col("direction") == "short", "V").otherwise("?")
     b.select(stamps("entry_time", "dd/MM/yyyy HH:mm:ss").alias("Abertura"), stamps("exit_time", "dd/MM/yyyy HH:mm:ss").alias("Fechamento"), F.lit("-3").alias("Qtd"), word.alias("Lado"),
              decimal_comma("entry_price").alias("Preço Compra"), decimal_comma("exit_price").alias("Preço Venda"), F.concat(F.lit("R$ "), decimal_comma("pnl_net")).alias("Resultado")

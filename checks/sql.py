@@ -22,9 +22,9 @@ PARTS = {
     "history": """history AS (SELECT o_orderkey AS run_tag, o_orderdate AS created_at, o_orderstatus AS symbol, CASE WHEN o_custkey % 2 = 0 THEN '5m' ELSE '60m' END AS timeframe,
   o_orderpriority AS strategy, o_totalprice AS score, round(o_totalprice - 150000.0, 2) AS net_profit, (o_custkey % 100)::DOUBLE AS win_rate, round(o_totalprice / 10.0, 3) AS max_drawdown,
   (o_custkey % 40)::DOUBLE AS trade_count, o_orderkey % 6 + 1 AS rank_in_run, '{"b": ' || (o_custkey % 30)::VARCHAR || ', "a": 1}' AS params_json, '{"a":1,"b":' || (o_custkey % 30)::VARCHAR || '}' AS canon FROM orders)""",
-    "books": """bk AS (SELECT t.*, e.user_id, row_number() OVER (PARTITION BY strategy ORDER BY exit_time, entry_time, trade_id) - 1 AS no,
+    "books": """bk AS (SELECT t.*, e.user_id, row_number() OVER (PARTITION BY trade_id % 2 ORDER BY exit_time, entry_time, trade_id) - 1 AS no,
   CASE WHEN trade_id % 10 = 0 THEN 'unknown' ELSE direction END AS dir FROM trades t JOIN events e ON e.event_id = t.trade_id),
-ba AS (SELECT * FROM bk WHERE strategy = 'click'), bb AS (SELECT * FROM bk WHERE strategy = 'purchase')""",
+ba AS (SELECT * FROM bk WHERE trade_id % 2 = 0), bb AS (SELECT * FROM bk WHERE trade_id % 2 = 1)""",
     "topk": """topk AS (SELECT event_type AS strategy, CAST(floor(epoch(ts) / 3600) AS BIGINT) AS window_id, event_id AS train_rank, value + 1.0 AS train_score,
   round(value - 50.0, 2) AS test_score, round(value * 2 - 100.0, 2) AS test_net_profit, value AS test_max_drawdown, props AS params_json FROM events)""",
 }

@@ -87,7 +87,7 @@ def test_matching_equals_sequential_greedy_on_dense_books(spark):
         if best:
             used.add(best[1])
             want.append((i, best[1]))
-    got = N.match_trades(book(spark, ra), book(spark, rb), 120, block_trades=16).toPandas()
+    got = N.match_trades(book(spark, ra), book(spark, rb), 120).toPandas()
     assert sorted(zip(got["a_id"], got["b_id"])) == want
 
 

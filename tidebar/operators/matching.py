@@ -6,16 +6,15 @@ processed in trade_id order and each trade takes the best unused partner of book
 
 from __future__ import annotations
 
-from typing import Iterable, Iterator, Sequence
+from functools import reduce
+from typing import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidebar.functions.columns import MICROS, epoch_micros
 from tidebar.session import materialize
 
-BLOCK_TRADES = 4096
 BOOK = ("trade_id", "entry_time", "exit_time", "direction", "qty", "entry_price", "exit_price", "pnl_net")
 
 
@@ -49,61 +48,34 @@ def candidate_pairs(a: DataFrame, b: DataFrame, tolerance_sec: float, by: Sequen
     return scored.where(F.col("score").isNotNull() & ~F.isnan("score"))
 
 
-def _greedy(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows sorted by (block, a, score, b); rows without a name partners that earlier blocks took."""
-    block, used, done = None, set(), None
-    for batch in batches:
-        out = []
-        for blk, a, b, score in zip(batch["_blk"], batch["a_id"], batch["b_id"], batch["score"]):
-            if blk != block:
-                block, used, done = blk, set(), None
-            if a < 0:
-                used.add(b)
-            elif a != done and b not in used:
-                used.add(b)
-                done = a
-                out.append((blk, a, b))
-        if out:
-            yield pd.DataFrame(out, columns=["_blk", "a_id", "b_id"])
-
-
-def match_trades(
-    a: DataFrame, b: DataFrame, tolerance_sec: float = 300.0, by: Sequence[str] = (), block_trades: int = BLOCK_TRADES
-) -> DataFrame:
-    """(a_id, b_id, entry_gap, exit_gap) of the sequential greedy matching.
+def match_trades(a: DataFrame, b: DataFrame, tolerance_sec: float = 300.0, by: Sequence[str] = ()) -> DataFrame:
+    """(a_id, b_id, entry_gap, exit_gap) of the sequential greedy matching: trades of A choose in order of trade_id.
 
-    Blocks of 4096 trades of A are folded in parallel under an assumption about the partners that earlier
-    blocks took; blocks with a wrong assumption run again until the result is stable, which is then the
-    sequential result. Trade ids of A must be numbers in processing order.
+    Equals the stable matching in which every trade of B prefers the earlier trade of A, which is found in rounds by all
+    trades at once: each trade of A offers itself to its best remaining partner, and a partner that has an offer of trade i
+    drops all pairs with later trades, as it never gets a worse one. A pair is final when it is the best of its A and the
+    first of its B; both leave with all their pairs. The first remaining trade of A is always final, so rounds end, and pairs
+    that do not compete are settled in the same round. A round is aggregations by minimum, which combine before the
+    shuffle, and joins on ids: no order of blocks is guessed and no cluster of near trades is gathered in one task.
+    Trade ids of A must be numbers in processing order.
     """
-    pairs = materialize(
-        candidate_pairs(a, b, tolerance_sec, by).withColumn("_blk", F.floor(F.col("a_id") / F.lit(block_trades)).cast("long"))
-    )
-    reach = pairs.select("_blk", "b_id").distinct()
-    edges = pairs.select("_blk", "a_id", "b_id", "score")
-
-    def fold(rows: DataFrame) -> DataFrame:
-        placed = rows.repartition("_blk").sortWithinPartitions("_blk", "a_id", "score", "b_id")
-        return placed.mapInPandas(_greedy, "_blk bigint, a_id bigint, b_id bigint")
-
-    matches = materialize(fold(edges))
-    assumed = None
+    pairs = materialize(candidate_pairs(a, b, tolerance_sec, by))
+    active = pairs.select("a_id", "b_id", "score")
+    final: list[DataFrame] = []
     while True:
-        owner = matches.groupBy("b_id").agg(F.min("_blk").alias("_owner"))
-        taken = materialize(reach.join(owner, "b_id").where(F.col("_owner") < F.col("_blk")).select("_blk", "b_id"))
-        if assumed is None:
-            changed = taken.select("_blk").distinct()
-        else:
-            gone, new = assumed.join(taken, ["_blk", "b_id"], "left_anti"), taken.join(assumed, ["_blk", "b_id"], "left_anti")
-            changed = gone.unionByName(new).select("_blk").distinct()
-        changed = materialize(changed)
-        if changed.isEmpty():
+        best = active.groupBy("a_id").agg(F.min(F.struct("score", "b_id")).alias("_best")).select("a_id", F.col("_best.b_id").alias("b_id"))
+        offers = best.groupBy("b_id").agg(F.min("a_id").alias("_holder"))
+        first = active.groupBy("b_id").agg(F.min("a_id").alias("_first"))
+        heard = materialize(first.join(offers, "b_id", "left"))
+        settled = heard.where(F.col("_holder") == F.col("_first")).select(F.col("_holder").alias("a_id"), "b_id")
+        final.append(settled)
+        kept = active.join(settled.select("a_id"), "a_id", "left_anti").join(heard, "b_id")
+        beaten = F.col("_holder").isNotNull() & (F.col("a_id") > F.col("_holder"))
+        active = materialize(kept.where(~beaten & ~F.col("_holder").eqNullSafe(F.col("_first"))).select("a_id", "b_id", "score"))
+        if active.isEmpty():
             break
-        barred = taken.select("_blk", F.lit(-1).cast("long").alias("a_id"), "b_id", F.lit(0.0).alias("score"))
-        again = edges.unionByName(barred).join(changed, "_blk", "left_semi")
-        matches = materialize(matches.join(changed, "_blk", "left_anti").unionByName(fold(again)))
-        assumed = taken
-    return matches.select("a_id", "b_id").join(pairs.select("a_id", "b_id", "entry_gap", "exit_gap"), ["a_id", "b_id"])
+    matches = reduce(DataFrame.unionByName, final)
+    return matches.join(pairs.select("a_id", "b_id", "entry_gap", "exit_gap"), ["a_id", "b_id"])
 
 
 def match_detail(

@@ -100,9 +100,18 @@ def topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def book(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     """A trade book of one event type; trade_id follows (exit_time, entry_time)."""
-    rows = trades(spark, sf_dir).where(F.col("strategy") == kind)
+    return _book(spark, sf_dir, trades(spark, sf_dir).where(F.col("strategy") == kind))
+
+
+def half_book(spark: SparkSession, sf_dir: str, odd: int) -> DataFrame:
+    """The trades of all event types whose event number is even (0) or odd (1), as one book."""
+    return _book(spark, sf_dir, trades(spark, sf_dir).where(F.col("trade_id") % 2 == odd))
+
+
+def _book(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
     users = table(spark, sf_dir, "events").select(F.col("event_id").alias("_e"), "user_id")
-    numbered = running(rows, ["strategy"], ["exit_time", "entry_time", "trade_id"], time_block(F.col("exit_time")), [Run("_n", "count")])
+    rows = rows.withColumn("_book", F.lit(0))
+    numbered = running(rows, ["_book"], ["exit_time", "entry_time", "trade_id"], time_block(F.col("exit_time")), [Run("_n", "count")])
     joined = numbered.withColumnRenamed("trade_id", "_e").join(users, "_e")
     return joined.select(
         (F.col("_n") - 1).alias("trade_id"), "user_id", "entry_time", "exit_time",
