@@ -15,6 +15,7 @@ from tidebar.operators import indicators as I
 def small_blocks(monkeypatch):
     monkeypatch.setattr(scans, "SCAN_RUN", 16)
     monkeypatch.setattr(scans, "SCAN_GROUP", 3)
+    monkeypatch.setattr(scans, "SCAN_LEVELS", 2)
     monkeypatch.setattr(scans, "BLOCK_ROWS", 40)
 
 

@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from tidebar.functions.columns import SECONDS_PER_DAY, epoch_seconds
 
 SCAN_RUN = 256        # rows per scaled cumulative sum: a**-256 stays finite for a >= 0.065
-SCAN_GROUP = 256      # runs per second-level group
+SCAN_GROUP = 4096     # items of a level that are one item of the level above
+SCAN_LEVELS = 1       # levels above the runs, before the last one, which has one item per million rows; each costs a shuffle
 BLOCK_ROWS = 4096     # rows per block on an indexed series
 
 
@@ -172,10 +173,10 @@ class Latest:
 def series_scan(
     df: DataFrame, keys: Sequence[str], idx: str, scans: Sequence[Affine], latest: Sequence[Latest] = ()
 ) -> DataFrame:
-    """Linear recurrences (and latest values) by a three-level associative scan over an indexed series.
+    """Linear recurrences (and latest values) by an associative scan tree over an indexed series.
 
-    Runs of 256 rows use a scaled cumulative sum, a plain window aggregate. Run summaries are composed
-    inside groups of 256 runs and then across groups; the per-series step sees one entry per 65,536 rows.
+    Runs of 256 rows use a scaled cumulative sum, a plain window aggregate. Run summaries are composed 4,096 at a
+    time, level by level, and the states come back down the same way.
     """
     keys = list(keys)
     n = len(scans)
@@ -205,62 +206,52 @@ def series_scan(
     runs = rows.groupBy(*keys, "_run").agg(top, *sums, *last_in, *seen, touch).where(F.col("_touch").isNotNull())
     power = F.col("_len").cast("double")
     ends = [F.col(f"_s{i}") * F.pow(F.lit(s.a), power) if s.a else F.col(f"_e{i}") for i, s in enumerate(scans)]
-    earlier = Window.partitionBy(*keys).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
     runs = runs.select(
-        *keys, "_run", F.floor(F.col("_run") / SCAN_GROUP).cast("long").alias("_grp"),
+        *keys, "_run",
         F.array(*[F.pow(F.lit(s.a), power + 1.0) for s in scans]).cast("array<double>").alias("_fac"),
         F.array(*ends).cast("array<double>").alias("_end"),
-        F.struct(
-            F.lit(True).alias("x"),
-            *[F.last(f"_t{j}", ignorenulls=True).over(earlier).alias(f"c{j}") for j, _ in enumerate(latest)],
-        ).alias("_seen"),
+        F.struct(F.lit(True).alias("x"), *[F.col(f"_t{j}").alias(f"c{j}") for j, _ in enumerate(latest)]).alias("_seen"),
     )
-    if n == 0:
-        entry = runs.select(*keys, "_run", "_seen", F.array().cast("array<double>").alias("_in"))
-    else:
-        entry = _entry_states(runs, keys, n)
+    entry = _entry_states(runs, keys, n, SCAN_LEVELS)
     joined = done.join(entry, [*keys, "_run"])
     outs = [
         (F.col(f"_y{i}") + F.pow(F.lit(s.a), k + 1.0) * F.col("_in")[i]).alias(s.out) if s.a else F.col(f"_y{i}").alias(s.out)
         for i, s in enumerate(scans)
     ]
-    outs += [F.coalesce(F.col(f"_l{j}"), F.col(f"_seen.c{j}")).alias(x.out) for j, x in enumerate(latest)]
+    outs += [F.coalesce(F.col(f"_l{j}"), F.col("_seen")[f"c{j}"]).alias(x.out) for j, x in enumerate(latest)]
     return joined.select(*df.columns, *outs)
 
 
-def _entry_states(runs: DataFrame, keys: Sequence[str], n: int) -> DataFrame:
-    """State before each run, from run factors ``_fac`` and zero-start ends ``_end``."""
+def _entry_states(items: DataFrame, keys: Sequence[str], n: int, levels: int) -> DataFrame:
+    """State before each item, from factors ``_fac``, zero-start ends ``_end`` and latest values ``_seen`` of items ``_run``.
+
+    An up-sweep composes SCAN_GROUP neighbouring items to one of the level above, whose own states come from the same
+    step; the down-sweep hands them back to the items. The last level takes one item for SCAN_RUN * SCAN_GROUP ** levels
+    rows of a series.
+    """
     one, zero = F.array_repeat(F.lit(1.0), n), F.array_repeat(F.lit(0.0), n)
-    times = lambda a, b: F.zip_with(a, b, lambda x, y: x * y)
-    plus = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
-    seen_type = runs.schema["_seen"].dataType.simpleString()
-    nothing = F.array().cast(f"array<struct<_run:bigint,pf:array<double>,pv:array<double>,_seen:{seen_type}>>")
+    times = lambda a, b: F.zip_with(a, b, lambda x, y: x * y)
+    plus = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
+    kind = items.schema["_seen"].dataType
+    later = lambda a, b: F.struct(*[F.coalesce(b[c], a[c]).alias(c) for c in kind.names])
+    unseen = F.lit(None).cast(kind.simpleString())
+    nothing = F.array().cast(f"array<struct<_run:bigint,pf:array<double>,pv:array<double>,ps:{kind.simpleString()}>>")
 
     def step(acc: Column, x: Column) -> Column:
-        item = F.struct(x["_run"].alias("_run"), acc["f"].alias("pf"), acc["v"].alias("pv"), x["_seen"].alias("_seen"))
+        item = F.struct(x["_run"].alias("_run"), acc["f"].alias("pf"), acc["v"].alias("pv"), acc["s"].alias("ps"))
         return F.struct(
-            times(acc["f"], x["_fac"]).alias("f"),
-            plus(times(x["_fac"], acc["v"]), x["_end"]).alias("v"),
-            F.concat(acc["out"], F.array(item)).alias("out"),
+            times(acc["f"], x["_fac"]).alias("f"), plus(times(x["_fac"], acc["v"]), x["_end"]).alias("v"),
+            later(acc["s"], x["_seen"]).alias("s"), F.array_append(acc["out"], item).alias("out"),
         )
 
-    packed = runs.groupBy(*keys, "_grp").agg(
-        F.sort_array(F.collect_list(F.struct("_run", "_fac", "_end", "_seen"))).alias("_items")
-    )
-    composed = packed.select(
-        *keys, "_grp",
-        F.aggregate("_items", F.struct(one.alias("f"), zero.alias("v"), nothing.alias("out")), step).alias("_acc"),
-    )
-    prior = Window.partitionBy(*keys).orderBy("_grp").rowsBetween(Window.unboundedPreceding, -1)
-    groups = composed.withColumn("_prior", F.collect_list(F.struct("_acc.f", "_acc.v")).over(prior))
-    return (
-        groups.select(
-            *keys,
-            F.aggregate("_prior", zero, lambda acc, x: plus(times(x["f"], acc), x["v"])).alias("_gin"),
-            F.explode("_acc.out").alias("_o"),
-        )
-        .select(
-            *keys, F.col("_o._run").alias("_run"), F.col("_o._seen").alias("_seen"),
-            plus(times(F.col("_o.pf"), F.col("_gin")), F.col("_o.pv")).alias("_in"),
-        )
-    )
+    group = F.floor(F.col("_run") / SCAN_GROUP).cast("long") if levels else F.lit(0).cast("long")
+    packed = items.groupBy(*keys, group.alias("_grp")).agg(F.sort_array(F.collect_list(F.struct("_run", "_fac", "_end", "_seen"))).alias("_items"))
+    start = F.struct(one.alias("f"), zero.alias("v"), unseen.alias("s"), nothing.alias("out"))
+    composed = packed.select(*keys, "_grp", F.aggregate("_items", start, step).alias("_acc"))
+    if not levels:
+        return composed.select(*keys, F.explode("_acc.out").alias("_o")).select(*keys, F.col("_o._run").alias("_run"), F.col("_o.pv").alias("_in"), F.col("_o.ps").alias("_seen"))
+    upper = composed.select(*keys, F.col("_grp").alias("_run"), F.col("_acc.f").alias("_fac"), F.col("_acc.v").alias("_end"), F.col("_acc.s").alias("_seen"))
+    above = _entry_states(upper, keys, n, levels - 1).select(*keys, F.col("_run").alias("_grp"), F.col("_in").alias("_gin"), F.col("_seen").alias("_gseen"))
+    below = composed.join(above, [*keys, "_grp"]).select(*keys, "_gin", "_gseen", F.explode("_acc.out").alias("_o"))
+    return below.select(*keys, F.col("_o._run").alias("_run"), plus(times(F.col("_o.pf"), F.col("_gin")), F.col("_o.pv")).alias("_in"),
+                        later(F.col("_gseen"), F.col("_o.ps")).alias("_seen"))
