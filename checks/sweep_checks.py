@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.registry import query, rounded
+from checks.source_checks import scratch
 from checks.sql import r, with_
 from checks.trade_checks import PLAIN
 from checks.trade_sql import breakout_sig, chain, equity_ctes, params_cte
@@ -12,7 +13,8 @@ from tidebar.operators import sweep as W
 from tidebar.operators.bars import trading_days
 from tidebar.operators.metrics import ScoreSettings
 from tidebar.plans import testviews as V
-from tidebar.plans.walkforward import run_walkforward
+from tidebar.plans.walkforward import Plan, advance, run_walkforward
+from tidebar.session import materialize
 
 SETS = [
     {"lookback": n, "min_range_points": 60, "stop_points": s, "take_points": t}
@@ -99,6 +101,17 @@ def _(spark, sf):
     return rounded(out, "train_score", "test_score", "test_net_profit", "test_max_drawdown")
 
 
+@query("w13_resumed_topk", walk_sql(f"""SELECT symbol, window_id, train_rank, param_id, {r('train_score')} AS train_score, {r('score')} AS test_score, {r('net_profit')} AS test_net_profit
+ FROM best JOIN sc USING (symbol, window_id, param_id)"""))
+def _(spark, sf):
+    """Stops after one batch of windows, then a second run takes up what is left."""
+    bars, folder = materialize(V.indexed_bars(spark, sf)), scratch(spark)
+    args = "breakout_range", SETS, PLAIN, TRAIN, TEST, W.SweepSettings(top_k=3), SCORE
+    advance(bars, Plan(*args), folder, batch_windows=4, batches=1)
+    out = run_walkforward(bars, *args, folder=folder, batch_windows=10).topk
+    return rounded(out.select("symbol", "window_id", "train_rank", "param_id", "train_score", "test_score", "test_net_profit"), "train_score", "test_score", "test_net_profit")
+
+
 CAPITAL = "cp AS (SELECT symbol, window_id, 100000.0 + coalesce(sum(net_profit) OVER (PARTITION BY symbol ORDER BY window_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS capital, * EXCLUDE (symbol, window_id) FROM best JOIN sc USING (symbol, window_id, param_id) WHERE train_rank = 1)"
 
 

@@ -11,6 +11,7 @@ from tidebar.operators import signals as S
 from tidebar.operators import sweep as W
 from tidebar.operators.bars import quality_report, trading_days
 from tidebar.operators.params import ExecutionSettings
+from tidebar.plans import walkforward as WF
 from tidebar.plans.walkforward import run_walkforward
 
 TRADES = "strategy string, trade_id long, entry_time timestamp_ntz, exit_time timestamp_ntz, direction string, entry_price double, exit_price double, pnl_points double, pnl_net double"
@@ -138,6 +139,47 @@ def test_walkforward_counts_windows_and_rejects_short_series(spark):
     assert wf.windows.count() == 5 and wf.topk.count() == 5
 
 
+def test_walkforward_resumes_after_a_stop(spark, tmp_path, monkeypatch):
+    rows = [(f"2025-01-{d:02d} 10:00", 100 + d, 103 + d, 98 + d, 101 + d * (-1) ** d) for d in range(2, 10)]
+    bars = bars_frame(spark, rows, timeframe="daily").unionByName(bars_frame(spark, rows[:6], timeframe="daily").withColumn("symbol", F.lit("B")))
+    S.register_strategy(S.Strategy("always", lambda b, s, k: S.Prepared(b, F.lit(True), F.lit(False))))
+    base = ExecutionSettings(entry_mode="close_slippage")
+    args = "always", [{"stop_points": 2, "take_points": 2}, {"stop_points": 4, "take_points": 3}], base, 3, 1
+    plan, folder = WF.Plan(*args), f"{tmp_path}/run"
+    assert WF.advance(bars, plan, folder, batch_windows=2, batches=1) == 4  # windows 0 and 1 of both series are done; 3 and 1 are open
+    real, seen = WF.evaluate_windows, []
+
+    def spied(bars, plan, slots=None):
+        seen.append(sorted(tuple(r) for r in slots.select("symbol", "window_id").collect()))
+        return real(bars, plan, slots)
+
+    monkeypatch.setattr(WF, "evaluate_windows", spied)
+    marker = WF.WindowStore.done
+
+    class Died(Exception):
+        pass
+
+    def half_way(self, parts, slots):
+        for name, part in parts.items():
+            part.withColumn("run", F.lit("lost")).write.parquet(f"{self.folder}/{name}/lost")
+        raise Died
+
+    with monkeypatch.context() as m:
+        m.setattr(WF.WindowStore, "commit", half_way)
+        with pytest.raises(Died):
+            WF.run_walkforward(bars, *args, folder=folder)
+    assert marker(WF.WindowStore(spark, folder, plan, bars.schema)).count() == 4
+    resumed = WF.run_walkforward(bars, *args, folder=folder, batch_windows=2)
+    assert seen == [[("B", 2), ("WIN", 2)], [("B", 2), ("WIN", 2), ("WIN", 3)], [("WIN", 4)]]
+    monkeypatch.undo()
+    whole = WF.run_walkforward(bars, *args)
+    for name in ("windows", "topk", "oos_trades"):
+        got, want = getattr(resumed, name), getattr(whole, name)
+        assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect())), name
+    other = WF.Plan("always", args[1][:1], base, 3, 1)
+    assert WF.WindowStore(spark, folder, other, bars.schema).done().count() == 0
+
+
 @pytest.mark.parametrize("name", sorted(W.SAMPLERS))
 def test_samplers_respect_dependent_bounds(spark, name):
     out = W.sample_parameters(spark.range(300).withColumnRenamed("id", "sample_no"), name, 1).toPandas()
