@@ -27,14 +27,19 @@ EVENTS = T.StructType([
 ])
 
 
-@query("r1_stream_bars", with_("bars") + "SELECT symbol, timeframe, datetime, open, high, low, close, volume FROM bars WHERE datetime <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)")
+@query("r1_stream_bars", with_("bars") + "SELECT symbol, timeframe, datetime, open, high, low, close, volume FROM bars")
 def _(spark, sf):
-    stream = TB.stream_ticks(spark, f"{sf}/events*.parquet", EVENTS).select(
+    as_ticks = lambda rows: rows.select(
         F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("datetime"), F.col("event_id").alias("seq"),
         F.col("value").alias("price"), F.lit(1.0).alias("volume"))
     root = scratch(spark)
+    closing = TB.closing_tick(as_ticks(V.table(spark, sf, "events")), "60m")
+    closing.limit(0).write.parquet(f"{root}/closing")
+    stream = as_ticks(TB.stream_ticks(spark, f"{sf}/events*.parquet", EVENTS)).unionByName(TB.stream_ticks(spark, f"{root}/closing", closing.schema))
     bars = TB.stream_bars(stream, "60m")
     TB.run_available(bars, f"{root}/bars", f"{root}/state")
+    closing.write.mode("append").parquet(f"{root}/closing")
+    TB.run_available(bars, f"{root}/bars", f"{root}/state")
     return spark.read.schema(bars.schema).parquet(f"{root}/bars")
 
 
@@ -127,9 +132,9 @@ def log_lines(spark, sf):
     head = F.concat(F.lit("[PROGRESS] "), F.when(i % 3 == 0, "5m").otherwise("60m"), F.lit("/"), "event_type", F.lit(" "))
     line = (
         F.when(i % 41 == 0, F.concat(F.lit("[WARN] 5m/"), "event_type", F.lit(": failed")))
-        .when(i % 17 == 0, F.concat(head, F.lit("done score="), two(v), F.lit(" net="), two(v * 2), F.lit(" pf="), two(v / 50)))
-        .when(i % 5 == 0, F.concat(head, F.lit("window 2/9 done oos_score="), two(v - 9), F.lit(" oos_net="), two(v + 9), F.lit(" oos_pf="), two(v / 25)))
-        .when(i % 2 == 0, F.concat(head, F.lit("sample 4/100 score="), two(v + 1), F.lit(" net="), two(v + 2), F.lit(" pf="), two(v / 10)))
+        .when(i % 17 == 0, F.concat(head, F.lit("done score="), two(v), F.lit(" net="), two(v * 2), F.lit(" pf="), two(v + 3)))
+        .when(i % 5 == 0, F.concat(head, F.lit("window 2/9 done oos_score="), two(v - 9), F.lit(" oos_net="), two(v + 9), F.lit(" oos_pf="), two(v + 4)))
+        .when(i % 2 == 0, F.concat(head, F.lit("sample 4/100 score="), two(v + 1), F.lit(" net="), two(v + 2), F.lit(" pf="), two(v + 5)))
         .otherwise(F.concat(F.lit("noise "), "props")))
     return V.table(spark, sf, "events").select(i.alias("seq"), line.alias("line"))
 
@@ -138,12 +143,11 @@ def log_lines(spark, sf):
  CASE WHEN event_id % 41 = 0 THEN 'w' WHEN event_id % 17 = 0 THEN 'd' WHEN event_id % 5 = 0 THEN 'o' WHEN event_id % 2 = 0 THEN 's' END AS k FROM events),
 f AS (SELECT *, CASE k WHEN 'w' THEN 'Erro' WHEN 'd' THEN 'Concluida' ELSE 'Em andamento' END AS status, CASE WHEN k = 'd' THEN printf('%.2f', v)::DOUBLE END AS score,
  CASE k WHEN 'd' THEN printf('%.2f', v * 2)::DOUBLE WHEN 'o' THEN printf('%.2f', v + 9)::DOUBLE WHEN 's' THEN printf('%.2f', v + 2)::DOUBLE END AS net, CASE WHEN k = 'o' THEN printf('%.2f', v - 9)::DOUBLE END AS ps,
- CASE WHEN k = 'o' THEN printf('%.2f', v + 9)::DOUBLE END AS pn, CASE WHEN k = 's' THEN printf('%.2f', v + 1)::DOUBLE END AS tsc FROM l WHERE k IS NOT NULL)
+ CASE WHEN k = 'o' THEN printf('%.2f', v + 9)::DOUBLE END AS pn, CASE WHEN k = 's' THEN printf('%.2f', v + 1)::DOUBLE END AS tsc, CASE k WHEN 'd' THEN printf('%.2f', v + 3)::DOUBLE WHEN 'o' THEN printf('%.2f', v + 4)::DOUBLE WHEN 's' THEN printf('%.2f', v + 5)::DOUBLE END AS pf FROM l WHERE k IS NOT NULL)
 SELECT timeframe, strategy, arg_max(status, seq) AS status, {r('arg_max(score, seq) FILTER (score IS NOT NULL)')} AS score, {r('arg_max(net, seq) FILTER (net IS NOT NULL)')} AS net_profit,
- {r('arg_max(ps, seq) FILTER (ps IS NOT NULL)')} AS partial_score, {r('arg_max(pn, seq) FILTER (pn IS NOT NULL)')} AS partial_net, {r('arg_max(tsc, seq) FILTER (tsc IS NOT NULL)')} AS train_score FROM f GROUP BY timeframe, strategy""")
+ {r('arg_max(ps, seq) FILTER (ps IS NOT NULL)')} AS partial_score, {r('arg_max(pn, seq) FILTER (pn IS NOT NULL)')} AS partial_net, {r('arg_max(tsc, seq) FILTER (tsc IS NOT NULL)')} AS train_score, {r('arg_max(pf, seq) FILTER (pf IS NOT NULL)')} AS profit_factor FROM f GROUP BY timeframe, strategy""")
 def _(spark, sf):
-    out = PG.progress_board(log_lines(spark, sf)).drop("profit_factor")
-    return rounded(out, "score", "net_profit", "partial_score", "partial_net", "train_score")
+    return rounded(PG.progress_board(log_lines(spark, sf)), *PG.FIELDS)
 
 
 PARITY = {**{k: v for k, v in PARAMS["trx_htsl"].items()}, "max_consecutive_losses_per_day": 2}

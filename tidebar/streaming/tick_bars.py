@@ -36,6 +36,16 @@ def stream_bars(ticks: DataFrame, timeframe: str, lateness: str = "10 minutes")
     )
 
 
+def closing_tick(ticks: DataFrame, timeframe: str, lateness: str = "10 minutes") -> DataFrame:
+    """One tick of no symbol that ends a stream of ``ticks``: it moves the watermark past every open bucket.
+
+    It lies later than the last tick by the lateness and two buckets, so its own bucket is the only one that stays open.
+    """
+    width = F.make_interval(secs=F.lit(2 * timeframe_seconds(timeframe_label(timeframe))))
+    last = ticks.agg((F.max("datetime") + F.expr(f"interval {lateness}") + width).alias("datetime")).where("datetime is not null")
+    return last.select(F.lit("").alias("symbol"), "datetime", F.lit(0).cast("long").alias("seq"), F.lit(0.0).alias("price"), F.lit(0.0).alias("volume"))
+
+
 def run_available(df: DataFrame, sink: str, checkpoint: str, mode: str = "append") -> None:
     """Process everything that is there and stop; the sink is a parquet folder."""
     df.writeStream.outputMode(mode).format("parquet").option("path", sink).option(
