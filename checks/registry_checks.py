@@ -136,6 +136,11 @@ def _(spark, sf):
     return U.validated_strategies(h.withColumn("net_profit", F.col("net_profit") - 290000), h.where("symbol = 'P'"), registry)
 
 
+@query("u13_known_strategies", with_("history", "topk") + "SELECT strategy FROM history WHERE strategy <> '' UNION SELECT strategy FROM topk WHERE strategy <> ''")
+def _(spark, sf):
+    return U.known_strategies(V.history(spark, sf).select("strategy"), V.topk(spark, sf).select("strategy"))
+
+
 @query("u14_parameter_candidates", with_("history") + f"SELECT canon AS params_json, run_tag, {r('score')} AS score FROM (SELECT *, row_number() OVER (PARTITION BY canon ORDER BY score DESC, net_profit DESC, run_tag) AS rn FROM history WHERE strategy = '2-HIGH' AND timeframe = '5m') WHERE rn = 1 ORDER BY score DESC, run_tag LIMIT 10")
 def _(spark, sf):
     return U.parameter_candidates(V.history(spark, sf), "2-HIGH", "5m").select("params_json", "run_tag", r6("score").alias("score"))
