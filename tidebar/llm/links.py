@@ -9,9 +9,10 @@ or already connected, and no link between components is lost.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidebar.session import materialize
@@ -71,29 +72,48 @@ def linked(items: DataFrame, postings: DataFrame, likely: Near, near: Near, veri
     return first.union(second)
 
 
-def linked_in_buckets(items: DataFrame, keys: Column, near: Near, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """As :func:`linked`, for many buckets of few members each: postings carry what ``near`` reads and are made anew where read.
+@contextmanager
+def parts_suffice(spark: SparkSession) -> Iterator[None]:
+    """Joins planned inside take rows that are partitioned by some of their keys as they are, without another shuffle."""
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
-    ``items``: id and fixed-width columns that ``near`` reads. ``keys``: the buckets of an item, an array. The hub of a
-    bucket is its smallest id. Members outside the component of the hub are compared with all members of other components.
+
+def linked_by_parts(items: DataFrame, starts: Column, seconds: Column, near: Near, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """As :func:`linked`, for buckets that are many and small. A bucket is a (part, second).
+
+    ``items``: id and fixed-width columns that ``near`` reads. ``starts``: the parts of an item, an array of structs with the
+    field part. ``seconds``: an array of what makes buckets of a part, from the columns of items and the fields of the struct.
+    Rows are shuffled once per part and spread into their buckets after it, where sorting and windows do the rest: an item
+    with 28 buckets in 7 parts moves 7 times. The hub of a bucket is its smallest id. Members outside the component of the
+    hub are compared with all members of other components.
     """
     at = lambda side: lambda name: F.col(f"{side}.{name}")
-    read = [c for c in items.columns if c != "id"]
-    ordered = [F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")]
-    postings = items.select(F.explode(keys).alias("bucket"), "id", *read)
-    hubs = postings.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("hub"), *[F.min_by(c, "id").alias(c) for c in read]).where("n > 1")
-    hubs = hubs.withColumnRenamed("hub", "id")
-    tested = materialize(postings.alias("x").join(hubs.alias("y"), "bucket").where((F.col("x.id") != F.col("y.id")) & near(at("x"), at("y"))).select(*ordered).distinct())
+    bucket = ("part", "second")
+    ordered = Window.partitionBy(*bucket).orderBy("id")
+
+    def spread(rows: DataFrame) -> DataFrame:
+        kept = rows.columns
+        return rows.select(F.explode(starts).alias("_start"), *kept).select("_start.*", *kept).repartition("part").select("part", F.explode(seconds).alias("second"), *kept)
+
+    hub = F.first(F.struct(*items.columns)).over(ordered)
+    met = spread(items).select(F.struct(*items.columns).alias("x"), hub.alias("y")).where(F.col("x.id") != F.col("y.id"))
+    tested = materialize(met.where(near(at("x"), at("y"))).select(F.col("y.id").alias("a"), F.col("x.id").alias("b")).distinct())
     first = materialize(verify(tested))
     groups = materialize(components(first))
 
-    placed = items.join(groups, "id", "left").select("id", *read, F.coalesce("component", "id").alias("component"))
-    placed = materialize(placed).select(F.explode(keys).alias("bucket"), "id", *read, "component")
-    central = placed.groupBy("bucket").agg(F.min_by("component", "id").alias("central"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket", "central")
-    open_rows = materialize(placed.join(central, "bucket"))
-    outside = open_rows.where("component <> central")
-    crossing = (outside.alias("x").join(open_rows.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.component") != F.col("y.component"))
-                & ((F.col("y.component") == F.col("y.central")) | (F.col("x.id") < F.col("y.id"))) & near(at("x"), at("y")))
-                .select(*ordered).distinct())
-    second = materialize(verify(materialize(crossing.join(tested, ["a", "b"], "left_anti"))))
-    return first.union(second)
+    placed = materialize(items.join(groups, "id", "left").select(*items.columns, F.coalesce("component", "id").alias("component")))
+    central = spread(placed).withColumn("central", F.first("component").over(ordered))
+    outside = F.col("component") != F.col("central")
+    some = central.withColumn("open", F.max(outside).over(Window.partitionBy(*bucket))).where("open")
+    crossing = (some.where(outside).alias("x").join(some.alias("y"), (F.col("x.part") == F.col("y.part")) & (F.col("x.second") == F.col("y.second"))
+                & (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.central")) | (F.col("x.id") < F.col("y.id")))
+                & near(at("x"), at("y"))).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct())
+    with parts_suffice(items.sparkSession):
+        found = materialize(crossing.join(tested, ["a", "b"], "left_anti"))
+    return first.union(materialize(verify(found)))
