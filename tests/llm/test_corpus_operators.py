@@ -8,7 +8,7 @@ import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
-from tidebar.llm import fuzzy_lines, html, likelihood, licenses, minhash, mixing, pieces, quality, sketches, trees, urls
+from tidebar.llm import fuzzy_lines, html, likelihood, licenses, links as linking, minhash, mixing, pieces, quality, sketches, trees, urls
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -135,8 +135,40 @@ def test_bounded_edit_distance_equals_brute_force(spark):
         at = r.randint(0, len(p))
         texts.append((p, p[:at] + "".join(r.choice("abé ") for _ in range(r.randint(0, 5))) + p[at + r.randint(0, 4):]))
     rows = [(p, q, k, edit_distance(p, q) <= k) for p, q in texts for k in (0, 1, 3, 9)]
-    got = spark.createDataFrame(rows, "p string, q string, k int, want boolean").select("want", fuzzy_lines.within(F.col("p"), F.col("q"), F.col("k")).alias("got")).collect()
+    pair = F.col("p"), F.col("q"), F.col("k")
+    got = spark.createDataFrame(rows, "p string, q string, k int, want boolean").select("want", fuzzy_lines.within(*pair).alias("got"), fuzzy_lines.shares_pieces(*pair).alias("may")).collect()
     assert all(x.want == x.got for x in got)
+    assert all(x.may for x in got if x.want) and not all(x.may for x in got)
+
+
+def majority(hashes):
+    """SimHash of 64-bit values, bit by bit."""
+    code = sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hashes) > len(hashes) // 2)
+    return code - (1 << 64) if code >> 63 else code
+
+
+def test_simhash_equals_a_count_of_every_bit(spark):
+    r = random.Random(11)
+    rows = [([r.getrandbits(64) - (1 << 63) for _ in range(n)],) for n in (1, 2, 3, 5, 126, 127, 128, 254, 255, 400, 3_000)] + [([-1] * 127,), ([-1] * 500,), ([0] * 200,)]
+    got = spark.createDataFrame(rows, "h array<long>").select("h", fuzzy_lines.simhash(F.col("h")).alias("code")).collect()
+    assert len(got) == len(rows) and all(x.code == majority([h & (1 << 64) - 1 for h in x.h]) for x in got)
+
+
+def test_links_by_parts_equal_all_pairs(spark):
+    """Components of items that share a bucket and are near equal those of all such pairs."""
+    r = random.Random(12)
+    items = [(i, r.randint(0, 60), r.randint(0, 3), r.randint(0, 3)) for i in range(300)]
+    df = spark.createDataFrame(items, "id long, v int, p int, s int")
+    near = lambda a, b: F.abs(a("v") - b("v")) <= 1
+    links = linking.linked_by_parts(df, F.array(F.struct(F.col("p").alias("part"))), F.array("s"), near, lambda d: d)
+    got = {x.id: x.component for x in linking.components(links).collect()}
+    root = {i: i for i, *_ in items}
+    while True:
+        new = {i: min(root[j] for j, w, q, t in items if (p, s) == (q, t) and abs(v - w) <= 1) for i, v, p, s in items}
+        if new == root:
+            break
+        root = new
+    assert {i: got.get(i, i) for i in root} == root
 
 
 def test_licenses(docs):
