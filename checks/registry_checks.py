@@ -9,6 +9,7 @@ from checks.sql import r, with_
 from tidebar.operators import matching as N
 from tidebar.operators import registry as U
 from tidebar.plans import testviews as V
+from tidebar.sources import parameters as PA
 
 TOL = 1800
 
@@ -146,6 +147,19 @@ def _(spark, sf):
     return U.parameter_candidates(V.history(spark, sf), "2-HIGH", "5m").select("params_json", "run_tag", r6("score").alias("score"))
 
 
+@query("u14_candidates_from_files", with_("history") + f"""SELECT canon AS params_json, run_tag::VARCHAR AS run_tag, {r('score')} AS avg_test_score, {r('net_profit')} AS avg_test_net_profit, rank_in_run AS windows FROM (
+ SELECT *, row_number() OVER (PARTITION BY canon ORDER BY score DESC, net_profit DESC, run_tag) AS rn FROM history WHERE strategy = '2-HIGH' AND timeframe = '5m' AND run_tag % 4 <> 0) WHERE rn = 1 ORDER BY score DESC, net_profit DESC, run_tag LIMIT 10""")
+def _(spark, sf):
+    # every run names a file of parameters, as snapshot or as latest; those of every fourth run are gone
+    h = V.history(spark, sf).withColumn("file", F.concat_ws("/", F.lit("outputs"), "symbol", "timeframe", F.concat(F.lit("params_"), "run_tag", F.lit(".json"))))
+    value = F.concat(F.lit('{"strategies": {"'), "strategy", F.lit('": {"best_params_from_tests": '), "params_json", F.lit("}}}"))
+    files = PA.strategy_params(h.where("run_tag % 4 <> 0").select("file", value.alias("value")), "2-HIGH")
+    snap = F.col("run_tag") % 3 == 0
+    runs = h.select(F.col("run_tag").cast("string").alias("run_tag"), "timeframe", F.col("strategy").alias("best_strategy"), F.col("score").alias("best_score"), F.col("net_profit").alias("best_net_profit"),
+                    F.col("rank_in_run").alias("windows"), F.when(snap, F.col("file")).otherwise("").alias("best_params_snapshot"), F.when(~snap, F.col("file")).alias("best_params_latest"))
+    return rounded(U.candidates_from_files(runs, files, "2-HIGH", "5m"), "avg_test_score", "avg_test_net_profit")
+
+
 @query("w10_best_parameters", with_("topk", extra="g AS (SELECT strategy, params_json, avg(test_score) AS s, count(*) AS n FROM topk GROUP BY ALL)") + f"SELECT strategy, params_json, {r('s')} AS avg_test_score, n AS windows FROM (SELECT *, row_number() OVER (PARTITION BY strategy ORDER BY s DESC, n DESC, params_json) AS rn FROM g) WHERE rn = 1")
 def _(spark, sf):
     return rounded(U.best_parameters(V.topk(spark, sf), ["strategy"]), "avg_test_score")

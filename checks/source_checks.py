@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 
-import pandas as pd
 from pyspark.sql import functions as F
 
 from checks.registry import query, r6, rounded
 from checks.sql import r, with_
+from tidebar.operators.registry import merge_banks
 from tidebar.plans import testviews as V
 from tidebar.session import shared_folder
 from tidebar.sources import delimited as D
@@ -22,6 +21,19 @@ def scratch(spark) -> str:
     return f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
 
 
+def name_files(spark, root: str, levels: int, name_of) -> None:
+    """Rename the part files ``levels`` folders below a root, as the writers cannot; ``name_of``: new path from the folders' names."""
+    paths = spark._jvm.org.apache.hadoop.fs
+    top = paths.Path(root)
+    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    for found in fs.globStatus(paths.Path(root + "/*" * levels + "/part-*")):
+        below = [p.split("=", 1)[-1] for p in found.getPath().toString().split("/")[-1 - levels:-1]]
+        target = paths.Path(f"{root}/{name_of(*below)}")
+        fs.mkdirs(target.getParent())
+        if not fs.rename(found.getPath(), target):
+            raise OSError(f"cannot rename {found.getPath()}")
+
+
 def decimal_comma(c, digits: int = 2):
     return F.translate(F.format_number(F.col(c), digits), ",.", ".,")
 
@@ -45,6 +57,24 @@ def _(spark, sf):
     return text.select("event_id", D.day_first(F.col("a")).alias("t1"), D.day_first(F.col("b")).alias("t2"), D.day_first(F.col("c")).alias("t3"))
 
 
+@query("s4_file_dates", """WITH x AS (SELECT event_id, event_id % 3 AS file, date_trunc('day', ts) AS t, day(ts) AS d FROM events)
+SELECT event_id, CASE WHEN file = 2 AND d <= 12 THEN make_timestamp(year(t), d, month(t), 0, 0, 0.0) WHEN file < 2 THEN t END AS datetime FROM x WHERE file <> 1 OR d > 12""")
+def _(spark, sf):
+    # one file is day-first, one month-first without a day that could be a month, one month-first with such days: they decide, the others are null
+    rows = V.table(spark, sf, "events").withColumn("file", (F.col("event_id") % 3).cast("string")).where("file <> '1' or day(ts) > 12")
+    text = rows.select("event_id", "file", F.when(F.col("file") == "0", F.date_format("ts", "dd/MM/yyyy")).otherwise(F.date_format("ts", "MM/dd/yyyy")).alias("text"))
+    styled = D.with_file_styles(text, [], stamp=F.col("text"))
+    return styled.select("event_id", D.file_stamp(F.col("text"), F.col("day_first")).alias("datetime"))
+
+
+@query("s4_book_dates", """SELECT event_id, CASE WHEN event_id % 3 = 2 AND day(ts) <= 12 THEN make_timestamp(year(ts), day(ts), month(ts), 0, 0, 0.0) ELSE date_trunc('day', ts) END AS datetime FROM events""")
+def _(spark, sf):
+    # by row: ISO, day-first with slashes, and with dashes month-first where that is a date
+    way = F.col("event_id") % 3
+    text = F.when(way == 0, F.date_format("ts", "yyyy/MM/dd")).when(way == 1, F.date_format("ts", "dd/MM/yyyy")).otherwise(F.date_format("ts", "dd-MM-yyyy"))
+    return V.table(spark, sf, "events").select("event_id", D.book_stamp(text).alias("datetime"))
+
+
 @query("s5_s6_s8_parse_numbers", f"SELECT event_id, {r('value + 1000')} AS both_style, {r('value')} AS comma_style, {r('event_id + 1000')} AS group_style, {r('(event_id + 1000) / 1000.0')} AS dot_style, {r('value')} AS money FROM events")
 def _(spark, sf):
     rows = V.table(spark, sf, "events").select(
@@ -58,22 +88,17 @@ def _(spark, sf):
                          num("d", "style_d").alias("dot_style"), num("e", "style_e").alias("money"))
 
 
-@query("s7_read_ticks", f"SELECT 'CLICK' AS symbol, date_trunc('second', ts) AS datetime, {r('value')} AS price, {r('event_id % 7 + 1')} AS volume FROM events WHERE event_type = 'click' AND ts >= TIMESTAMP '2024-01-03' AND date_trunc('second', ts) <= TIMESTAMP '2024-01-09 12:00:00'")
+@query("s7_read_ticks", f"SELECT upper(event_type) AS symbol, date_trunc('second', ts) AS datetime, {r('value')} AS price, {r('event_id % 7 + 1')} AS volume FROM events WHERE ts >= TIMESTAMP '2024-01-03' AND date_trunc('second', ts) <= TIMESTAMP '2024-01-09 12:00:00'")
 def _(spark, sf):
     root = scratch(spark)
-    os.makedirs(root, exist_ok=True)
-
-    def write_day(pdf: pd.DataFrame) -> pd.DataFrame:
-        name = f"{pdf['sym'].iloc[0]}_F_0_Trade_{pdf['day'].iloc[0]}.csv"
-        pdf.drop(columns=["sym", "day"]).to_csv(f"{root}/{name}", sep=";", index=False)
-        return pd.DataFrame({"name": [name]})
-
     events = V.table(spark, sf, "events").select(
         F.upper("event_type").alias("sym"), F.date_format("ts", "dd-MM-yyyy").alias("day"), F.upper("event_type").alias("Ativo"),
         F.date_format("ts", "dd/MM/yyyy").alias("Data"), F.date_format("ts", "HH:mm:ss").alias("Hora"), F.lit("XP").alias("Comprador"),
         F.format_string("%.3f", "value").alias("Preco"), (F.col("event_id") % 7 + 1).cast("string").alias("Quantidade"), F.lit("BTG").alias("Vendedor"), F.lit("Comprador").alias("Tipo"))
-    events.groupBy("sym", "day").applyInPandas(write_day, "name string").write.format("noop").mode("overwrite").save()
-    out = MK.read_ticks(spark, root, ["click"], "2024-01-03", "2024-01-09 12:00:00")
+    events.repartition("sym", "day").write.partitionBy("sym", "day").option("header", True).option("sep", ";").csv(f"{root}/by_day")
+    name_files(spark, f"{root}/by_day", 2, lambda sym, day: f"../ticks/{sym}_F_0_Trade_{day}.csv")
+    symbols = [row[0] for row in V.table(spark, sf, "events").select("event_type").distinct().collect()]  # the symbols asked for
+    out = MK.read_ticks(spark, f"{root}/ticks", symbols, "2024-01-03", "2024-01-09 12:00:00")
     return out.select("symbol", "datetime", r6("price").alias("price"), r6("volume").alias("volume"))
 
 
@@ -131,6 +156,22 @@ def _(spark, sf):
     return back.select("strategy", "trade_id", r6("pnl_net").alias("pnl_net"), "params")
 
 
+@query("s11_write_csv", with_("trades") + f"SELECT strategy, trade_id, {r('pnl_net')} AS pnl_net, '{{\"a\":\"1\",\"k\":\"' || json_extract_string(props, '$.k') || '\"}}' AS params FROM trades")
+def _(spark, sf):
+    root = scratch(spark)
+    rows = V.trades(spark, sf).select("strategy", "trade_id", "pnl_net", F.from_json(F.regexp_replace("props", r"\}$", ', "a": 1}'), "map<string,string>").alias("params"))
+    sinks.write_table(sinks.with_params_text(rows), root, ["strategy"], "csv")
+    back = spark.read.option("header", True).schema("trade_id long, pnl_net double, params string, strategy string").csv(root)
+    return back.select("strategy", "trade_id", r6("pnl_net").alias("pnl_net"), "params")
+
+
+@query("s11_write_summary", with_("trades") + f"SELECT strategy, count(*) AS trade_count, {r('sum(pnl_net)')} AS net_profit FROM trades GROUP BY ALL")
+def _(spark, sf):
+    root = scratch(spark)
+    sinks.write_summary(V.trades(spark, sf).groupBy("strategy").agg(F.count("*").alias("trade_count"), F.sum("pnl_net").alias("net_profit")), root)
+    return spark.read.schema("strategy string, trade_count long, net_profit double").json(root).select("strategy", "trade_count", r6("net_profit").alias("net_profit"))
+
+
 @query("s12_read_bank", f"SELECT '{{\"k\":' || json_extract_string(props, '$.k') || '}}' AS params_json, {r('CASE WHEN event_id % 6 = 0 THEN 0 ELSE value END')} AS test_score FROM events WHERE event_id % 5 <> 0 AND event_id % 7 <> 0")
 def _(spark, sf):
     root = scratch(spark)
@@ -142,28 +183,46 @@ def _(spark, sf):
     return PA.read_bank(spark, [root]).select("params_json", r6("test_score").alias("test_score"))
 
 
-@query("s13_scan_artifacts", with_("history") + f"SELECT CASE WHEN symbol = 'F' THEN 'outputs_a' ELSE 'outputs_b' END AS source_root, symbol, '5m' AS timeframe, run_tag::VARCHAR AS run_tag, strategy AS best_strategy, {r('net_profit')} AS best_net_profit, CASE WHEN symbol = 'F' THEN {r('score')} END AS best_score, created_at FROM history WHERE timeframe = '5m'")
+@query("s12_bank_file_order", "SELECT '{\"k\":' || (o_custkey % 40)::VARCHAR || '}' AS params_json, min(o_orderkey) AS train_score FROM orders WHERE o_orderkey % 3 = 0 GROUP BY ALL")
+def _(spark, sf):
+    # equal test scores: the first line of the file that holds a set decides
+    root = scratch(spark)
+    rows = V.table(spark, sf, "orders").where("o_orderkey % 3 = 0").select("o_orderkey", F.concat(F.lit('{"test_score": 1, "train_score": '), F.col("o_orderkey").cast("string"),
+        F.lit(', "params": {"k": '), (F.col("o_custkey") % 40).cast("string"), F.lit("}}")).alias("value"))
+    rows.orderBy("o_orderkey").select("value").write.text(root)  # part files in order of their names
+    return merge_banks([PA.read_bank(spark, [root])]).select("params_json", F.col("train_score").cast("long").alias("train_score"))
+
+
+@query("s13_scan_artifacts", with_("history") + f"SELECT CASE WHEN symbol = 'F' THEN 'outputs_a' ELSE 'outputs_b' END AS source_root, symbol, timeframe, run_tag::VARCHAR AS run_tag, strategy AS best_strategy, {r('net_profit')} AS best_net_profit, CASE WHEN symbol <> 'P' THEN {r('score')} END AS best_score, created_at FROM history")
 def _(spark, sf):
+    # three column orders, two of them below one root
     root = scratch(spark)
-    os.makedirs(root, exist_ok=True)
-    h = V.history(spark, sf).where("timeframe = '5m'")
-
-    def write_history(pdf: pd.DataFrame) -> pd.DataFrame:
-        symbol = pdf["symbol"].iloc[0]
-        folder = f"{root}/{'outputs_a' if symbol == 'F' else 'outputs_b'}/{symbol}/5m"
-        os.makedirs(folder, exist_ok=True)
-        keep = pdf.drop(columns=["symbol"] + ([] if symbol == "F" else ["best_score"]))
-        keep.to_csv(f"{folder}/best_history_5m.csv", index=False)
-        return pd.DataFrame({"name": [folder]})
-
-    rows = h.select("symbol", "run_tag", F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss").alias("created_at_utc"), F.col("strategy").alias("best_strategy"),
-                    F.col("net_profit").alias("best_net_profit"), F.col("score").alias("best_score"))
-    rows.groupBy("symbol").applyInPandas(write_history, "name string").write.format("noop").mode("overwrite").save()
+    rows = V.history(spark, sf).select("symbol", "timeframe", (F.col("run_tag") % 4).alias("part"), "run_tag", F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss").alias("created_at_utc"),
+                                       F.col("strategy").alias("best_strategy"), F.col("net_profit").alias("best_net_profit"), F.col("score").alias("best_score"))
+    folders = ["symbol", "timeframe", "part"]
+    orders = {"F": ("outputs_a", ["run_tag", "created_at_utc", "best_strategy", "best_net_profit", "best_score"]),
+              "O": ("outputs_b", ["best_score", "best_net_profit", "best_strategy", "run_tag", "created_at_utc"]),
+              "P": ("outputs_b", ["best_strategy", "run_tag", "created_at_utc", "best_net_profit"])}
+    for symbol, (top, columns) in orders.items():
+        part = rows.where(F.col("symbol") == symbol).select(*folders, *columns)
+        part.repartition(*folders).write.partitionBy(*folders).option("header", True).csv(f"{root}/raw_{symbol}")
+        name_files(spark, f"{root}/raw_{symbol}", 3, lambda s, t, p, top=top: f"../{top}/{s}/{t}/run{p}/best_history_{t}.csv")
     out = PA.scan_history(spark, [f"{root}/outputs_a", f"{root}/outputs_b"])
     return out.select("source_root", "symbol", "timeframe", "run_tag", "best_strategy", r6("best_net_profit").alias("best_net_profit"), r6("best_score").alias("best_score"),
                       F.col("created_at_utc").cast("timestamp_ntz").alias("created_at"))
 
 
+@query("u12_latest_summaries", with_("history") + f"SELECT symbol, timeframe, strategy, {r('score')} AS score, {r('net_profit')} AS net_profit, {r('trade_count')} AS trade_count FROM history WHERE run_tag % 4 <> 3")
+def _(spark, sf):
+    # files with a suffix after the timeframe are older runs and stay out
+    root = scratch(spark)
+    rows = V.history(spark, sf).select("symbol", "timeframe", (F.col("run_tag") % 4).alias("part"), "strategy", "score", "net_profit", "trade_count")
+    rows.repartition("symbol", "timeframe", "part").write.partitionBy("symbol", "timeframe", "part").option("header", True).csv(f"{root}/raw")
+    name_files(spark, f"{root}/raw", 3, lambda s, t, p: f"../outputs/{s}/{t}/run{p}/summary_{t}{'_old' if p == '3' else ''}.csv")
+    out = PA.scan_latest_summaries(spark, [f"{root}/outputs"])
+    return rounded(out.select("symbol", "timeframe", "strategy", "score", "net_profit", "trade_count"), "score", "net_profit", "trade_count")
+
+
 @query("s14_params_table", f"""WITH b AS (SELECT event_id::VARCHAR AS file, CASE WHEN event_id % 2 = 0 THEN 'good' ELSE 'first' END AS strategy, value, props FROM events)
 SELECT file, strategy, 'k' AS parameter, {r("CAST(json_extract_string(props, '$.k') AS DOUBLE)")} AS number, NULL::BOOLEAN AS flag FROM b
 UNION ALL SELECT file, strategy, 'stop', {r('value')}, NULL FROM b UNION ALL SELECT file, strategy, 'use_adx', NULL, value > 50 FROM b""")

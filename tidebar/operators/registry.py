@@ -38,12 +38,14 @@ def bank_rows(topk: DataFrame) -> DataFrame:
 def merge_banks(banks: Sequence[DataFrame]) -> DataFrame:
     """Best score per parameter set over several banks, the earlier bank and row on ties.
 
-    Each bank has ``params_json``, ``test_score`` and ``row_no``.
+    Each bank has ``params_json``, ``test_score`` and ``row_no``, and ``file`` if its rows come from several.
     """
     tagged = [b.withColumn("bank_no", F.lit(i)) for i, b in enumerate(banks)]
     rows = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), tagged)
     rows = rows.withColumns({"params_json": canonical_params("params_json"), "test_score": F.coalesce("test_score", F.lit(0.0))})
-    best = best_per_key(rows.where("params_json is not null"), ["params_json"], [F.col("test_score"), -F.col("bank_no"), -F.col("row_no")])
+    place = ["bank_no", *(["file"] if "file" in rows.columns else []), "row_no"]
+    first = F.min_by(F.struct(*[c for c in rows.columns if c != "params_json"]), F.struct(-F.col("test_score"), *place))
+    best = rows.where("params_json is not null").groupBy("params_json").agg(first.alias("_first")).select("params_json", "_first.*")
     return best.orderBy(F.col("test_score").desc(), "params_json")
 
 
@@ -150,6 +152,25 @@ def parameter_candidates(history: DataFrame, strategy: str, timeframe: str, limi
     return best.orderBy(F.col("score").desc(), F.col("net_profit").desc(), "run_tag").limit(max(1, limit))
 
 
+def candidates_from_files(history: DataFrame, files: DataFrame, strategy: str, timeframe: str, limit: int = 10) -> DataFrame:
+    """Distinct parameter sets that the files of a strategy's best runs hold, best run first (top-n report).
+
+    ``history`` names a file in ``best_params_snapshot``, else in ``best_params_latest``; ``files`` has (file, params_json), one
+    row per file. Runs whose file is absent or holds no parameters are left out. Scores without a value come last and become 0; the smaller run tag wins ties.
+    """
+    named = F.coalesce(F.nullif(F.trim("best_params_snapshot"), F.lit("")), F.nullif(F.trim("best_params_latest"), F.lit("")))
+    rows = history.where((F.col("best_strategy") == strategy) & (F.col("timeframe") == timeframe)).withColumn("file", named)
+    held = rows.drop("params_json").join(files.select("file", "params_json"), "file")
+    columns = ("best_score", "best_net_profit", "windows", "run_tag")
+    order = [c for name in columns[:2] for c in (F.col(name).isNull(), -F.col(name))] + [F.col("run_tag")]
+    best = held.groupBy("params_json").agg(F.min_by(F.struct(*columns), F.struct(*order)).alias("_best")).select("params_json", "_best.*")
+    ranked = best.orderBy(*order, "params_json").limit(max(1, limit))
+    zero = lambda c, t: F.coalesce(F.col(c).cast(t), F.lit(0).cast(t))
+    ranked = best.orderBy(F.col("best_score").desc_nulls_last(), F.col("best_net_profit").desc_nulls_last(), F.col("run_tag").try_cast("long")).limit(max(1, limit))
+    return ranked.select("params_json", "run_tag", zero("best_score", "double").alias("avg_test_score"),
+                         zero("best_net_profit", "double").alias("avg_test_net_profit"), zero("windows", "long").alias("windows"))
+
+
 def top_parameters(topk: DataFrame, group: Sequence[str], limit: int | None = None) -> DataFrame:
     """Mean test score and net of each parameter set over its windows; ``rank`` within the group."""
     group = list(group)

@@ -27,13 +27,14 @@ CP1252_AT = "€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œ
 CONTROLS_AT = "".join(chr(c) for c in range(0x80, 0xA0) if c not in (0x81, 0x8D, 0x8F, 0x90, 0x9D))
 
 
-def read_lines(spark: SparkSession, paths: Sequence[str], keep: Callable[[Column], Column] | None = None) -> DataFrame:
+def read_lines(spark: SparkSession, paths: Sequence[str], keep: Callable[[Column], Column] | None = None, **options: str) -> DataFrame:
     """(file, name, line, line_key): lines in UTF-8 (byte order mark removed), otherwise in code page 1252.
 
     ``line_key`` grows along the lines of a file: the block of the file in units of 64 KiB, then the position inside
-    the scan, whose rows keep their order. ``keep`` is a condition on the file name, applied before lines are read.
+    the scan, whose rows keep their order. ``keep`` is a condition on the file name, applied before lines are read;
+    ``options`` go to the reader.
     """
-    raw = spark.read.text(list(paths)).select(
+    raw = spark.read.options(**options).text(list(paths)).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_name").alias("name"),
         F.col("_metadata.file_block_start").alias("_start"), F.col("value")
     )
@@ -165,16 +166,29 @@ def _two_part(column: Column, day: int, month: int) -> Column:
 
 
 def day_first(column: Column) -> Column:
-    """Day-first date, else month-first where the day-first reading is impossible, or ISO."""
-    return F.coalesce(iso_stamp(column), _two_part(column, 1, 2), _two_part(column, 2, 1))
+    """ISO or day-first date; null where neither reading is possible."""
+    return F.coalesce(iso_stamp(column), _two_part(column, 1, 2))
+
+
+def month_first(column: Column) -> Column:
+    """ISO or month-first date; null where neither reading is possible."""
+    return F.coalesce(iso_stamp(column), _two_part(column, 2, 1))
+
+
+def file_stamp(column: Column, some_day_first: Column) -> Column:
+    """Date of a file that is day-first, unless none of its dates can be read so; then all of them are month-first."""
+    return F.when(some_day_first, day_first(column)).otherwise(month_first(column))
 
 
 def book_stamp(column: Column) -> Column:
-    """Per-row routing of trade books: ISO-like, then day-first, then month-first."""
-    return day_first(column)
+    """Date of a trade book, row by row: ISO, day-first where slashes part it; all else month-first, then day-first."""
+    slashed = F.when(F.trim(column).rlike(r"^\d{1,2}/\d{1,2}/\d{2,4}"), _two_part(column, 1, 2))
+    return F.coalesce(iso_stamp(column), slashed, _two_part(column, 2, 1), _two_part(column, 1, 2))
 
 
-def with_file_styles(rows: DataFrame, columns: Sequence[str], thousands: bool = True) -> DataFrame:
-    """Attach ``style_<column>``, decided once per file by a map-side combined aggregation."""
-    styles = rows.groupBy("file").agg(*[number_style(F.col(c), thousands).alias(f"style_{c}") for c in columns])
-    return rows.join(styles, "file")
+def with_file_styles(rows: DataFrame, columns: Sequence[str], thousands: bool = True, stamp: Column | None = None) -> DataFrame:
+    """Attach ``style_<column>`` and, for a date column, ``day_first``, decided once per file by a map-side combined aggregation."""
+    styles = [number_style(F.col(c), thousands).alias(f"style_{c}") for c in columns]
+    if stamp is not None:
+        styles.append(F.bool_or(day_first(stamp).isNotNull()).alias("day_first"))
+    return rows.join(rows.groupBy("file").agg(*styles), "file")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidebar.functions.scans import Run, running, time_block
 from tidebar.operators.bars import clean_bars, timeframe_label
 from tidebar.sources.delimited import (
-    Layout, book_stamp, day_first, fold_text, parse_number, read_columns, read_lines, strip_money, with_file_styles,
+    Layout, book_stamp, file_stamp, fold_text, parse_number, read_columns, read_lines, strip_money, with_file_styles,
 )
 
 # Accepted header names per column.
@@ -75,11 +75,11 @@ def parse_bars(spark: SparkSession, lines: DataFrame) -> DataFrame:
         F.concat_ws(" ", "date", F.when(F.col("has_time"), F.col("time")).otherwise(F.lit("00:00:00")))
     )
     prices = ("open", "high", "low", "close", "volume")
-    styled = with_file_styles(rows, prices)
+    styled = with_file_styles(rows, prices, stamp=stamp)
     folders = F.split(F.col("file"), "/")
     folder = lambda i: F.regexp_replace(F.element_at(folders, F.lit(i)), "^[a-z]+=", "")
     return styled.select(
-        folder(-3).alias("symbol"), folder(-2).alias("timeframe"), day_first(stamp).alias("datetime"),
+        folder(-3).alias("symbol"), folder(-2).alias("timeframe"), file_stamp(stamp, F.col("day_first")).alias("datetime"),
         *[parse_number(F.col(c), F.col(f"style_{c}")).alias(c) for c in prices], "file", "line_key",
     )
 
@@ -120,9 +120,10 @@ def read_ticks(
         return out & (day <= end_bound(end).cast("date")) if end else out
 
     rows = read_columns(spark, read_lines(spark, paths, wanted), TICK_LAYOUT)
-    styled = with_file_styles(rows, ("price", "volume"), thousands=False)
+    stamp = F.concat_ws(" ", "date", "time")
+    styled = with_file_styles(rows, ("price", "volume"), thousands=False, stamp=stamp)
     ticks = styled.select(
-        symbol.alias("symbol"), day_first(F.concat_ws(" ", "date", "time")).alias("datetime"), F.col("line_key").alias("seq"),
+        symbol.alias("symbol"), file_stamp(stamp, F.col("day_first")).alias("datetime"), F.col("line_key").alias("seq"),
         parse_number(F.col("price"), F.col("style_price")).alias("price"),
         F.coalesce(parse_number(F.col("volume"), F.col("style_volume")), F.lit(0.0)).alias("volume"),
     )

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import re
 from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidebar.sources.delimited import read_lines, split_fields
 
 
 def object_text(column: Column, path: str) -> Column:
@@ -17,17 +18,21 @@ def object_text(column: Column, path: str) -> Column:
 
 
 def read_bank(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """Bank lines (JSONL): broken lines and lines without a params object are skipped, bad scores become 0."""
-    return parse_bank(spark.read.text(list(paths)).select("value"))
+    """Bank lines (JSONL): broken lines and lines without a params object are skipped, bad scores become 0.
+
+    (file, row_no) is the order of the lines: files by name, then as they stand in the file.
+    """
+    return parse_bank(read_lines(spark, paths).select("file", F.col("line").alias("value"), F.col("line_key").alias("row_no")))
 
 
 def parse_bank(lines: DataFrame) -> DataFrame:
+    """Bank rows of (file, value, row_no)."""
     payload = F.try_parse_json("value")
     score = lambda key: F.coalesce(F.get_json_object("value", f"$.{key}").try_cast("double"), F.lit(0.0))
     rows = lines.where(payload.isNotNull()).select(
         F.get_json_object("value", "$.timestamp").alias("timestamp"), score("test_score").alias("test_score"),
         score("train_score").alias("train_score"), object_text(F.col("value"), "$.params").alias("params_json"),
-        F.xxhash64("value").alias("row_no"),
+        "file", "row_no",
     )
     return rows.where("params_json is not null")
 
@@ -67,6 +72,13 @@ def params_table(files: DataFrame, strategy: str | None = None, keep_text: bool
     return rows if keep_text else rows.where(F.col("number").isNotNull() | F.col("flag").isNotNull())
 
 
+def strategy_params(files: DataFrame, strategy: str) -> DataFrame:
+    """(file, params_json): the parameters that files (file, value) hold for one strategy, keys sorted; files without any have no row."""
+    held = F.try_element_at(F.from_json(F.get_json_object("value", "$.strategies"), "map<string,string>"), F.lit(strategy))
+    params = files.select("file", object_text(held, "$.best_params_from_tests").alias("params_json"))
+    return params.where("params_json is not null and params_json <> '{}'")
+
+
 def read_params_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """(file, value) of JSON parameter files; each file is one small document."""
     raw = spark.read.option("wholetext", True).text(list(paths))
@@ -85,36 +97,36 @@ SUMMARY_COLUMNS = {
 }
 
 
-def _with_origin(df: DataFrame, root: str) -> DataFrame:
-    """Source root, and symbol and timeframe from the folders between the root and the file."""
-    tail = F.regexp_replace(F.col("_metadata.file_path"), "^[a-z]+:/*", "/")
-    below = F.split(F.substring_index(tail, root.rstrip("/").rsplit("/", 1)[-1] + "/", -1), "/")
-    deep = F.size(below) >= 3
-    folder = lambda i: F.when(deep, F.regexp_replace(F.get(below, F.lit(i)), "^[a-z]+=", "")).otherwise("")
-    return df.select(
-        "*", F.lit(root.rstrip("/").rsplit("/", 1)[-1]).alias("source_root"), F.col("_metadata.file_path").alias("artifact"),
-        folder(0).alias("_symbol"), folder(1).alias("_timeframe"),
-    )
+def below_roots(file: Column, roots: Sequence[str]) -> Column:
+    """(source_root, below): name of the root a file stands under and its path from there; of nested roots the inner one."""
+    plain = lambda path: re.sub("^[a-z]+:/*", "/", path.rstrip("/")) + "/"
+    tail = F.regexp_replace(file, "^[a-z]+:/*", "/")
+    found = F.lit(None)
+    for root in sorted(map(plain, roots), key=len):
+        here = F.struct(F.lit(root.rstrip("/").rsplit("/", 1)[-1]).alias("source_root"), F.substr(tail, F.locate(root, tail) + F.lit(len(root))).alias("below"))
+        found = F.when(F.contains(tail, F.lit(root)), here).otherwise(found)
+    return found
 
 
-def _typed(df: DataFrame, wanted: dict[str, str]) -> DataFrame:
-    have = set(df.columns)
-    cols = [(F.col(c).try_cast(t) if c in have else F.lit(None).cast(t)).alias(c) for c, t in wanted.items()]
-    return df.select(*cols, "source_root", "artifact", "_symbol", "_timeframe")
+def scan_artifacts(spark: SparkSession, roots: Sequence[str], pattern: str, wanted: dict[str, str], required: Sequence[str] = ()) -> DataFrame:
+    """Rows of matching CSV artifacts below several roots, with provenance; absent columns and blank fields are null.
 
-
-def scan_artifacts(spark: SparkSession, roots: Sequence[str], pattern: str, wanted: dict[str, str]) -> DataFrame:
-    """Union of matching CSV artifacts below several roots, with provenance; absent columns are null.
-
-    Column sets may differ between roots; within a root Spark reads one header.
+    Every file has its own header, in any order of columns; files without a ``required`` column are left out. ``symbol``
+    and ``timeframe`` come from the two folders below the root where the file does not have them, and ``artifact`` is its
+    path. All roots are one scan, and headers, one row per file, are joined once.
     """
-    parts = []
-    for root in roots:
-        reader = spark.read.option("header", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
-        parts.append(_typed(_with_origin(reader.csv(root), root), wanted))
-    rows = reduce(lambda a, b: a.unionByName(b), parts)
-    pick = lambda c: F.coalesce(F.nullif(F.col(c), F.lit("")), F.col(f"_{c}")) if c in wanted else F.col(f"_{c}")
-    return rows.withColumns({c: pick(c) for c in ("symbol", "timeframe")}).drop("_symbol", "_timeframe")
+    lines = read_lines(spark, roots, recursiveFileLookup="true", pathGlobFilter=pattern)
+    heads = lines.where(F.col("line_key") < F.lit(1 << 33)).groupBy("file").agg(F.min("line_key").alias("_at"), F.min_by("line", "line_key").alias("_head"))
+    heads = heads.select("file", "_at", split_fields(F.col("_head"), F.lit(",")).alias("_head"), below_roots(F.col("file"), roots).alias("_place"))
+    for name in required:
+        heads = heads.where(F.array_contains("_head", name))
+    fields = lines.join(heads, "file").where("line_key <> _at").withColumn("_f", split_fields(F.col("line"), F.lit(",")))
+    field = lambda c: F.nullif(F.trim(F.get("_f", (F.array_position("_head", F.lit(c)) - 1).cast("int"))), F.lit(""))
+    folders = F.split("_place.below", "/")
+    folder = lambda i: F.when(F.size(folders) >= 3, F.regexp_replace(F.get(folders, F.lit(i)), "^[a-z]+=", "")).otherwise("")
+    places = {c: F.coalesce(field(c), folder(i)) if c in wanted else folder(i) for i, c in enumerate(("symbol", "timeframe"))}
+    typed = [field(c).try_cast(t).alias(c) for c, t in wanted.items() if c not in places]
+    return fields.select(*typed, F.col("_place.source_root").alias("source_root"), F.col("file").alias("artifact"), *[v.alias(c) for c, v in places.items()])
 
 
 def scan_history(spark: SparkSession, roots: Sequence[str]) -> DataFrame:
@@ -123,6 +135,10 @@ def scan_history(spark: SparkSession, roots: Sequence[str]) -> DataFrame:
 
 
 def scan_latest_summaries(spark: SparkSession, roots: Sequence[str]) -> DataFrame:
-    """Latest summaries only: ``summary_<timeframe>.csv`` without a run suffix."""
-    rows = scan_artifacts(spark, roots, "summary_*.csv", SUMMARY_COLUMNS)
-    return rows.where(F.element_at(F.split("artifact", "/"), -1).rlike(r"^summary_[^_]+\.csv$"))
+    """Latest summaries only: ``summary_<timeframe>.csv`` without a run suffix, of files that name strategies.
+
+    The name of the file gives the timeframe where no folders do.
+    """
+    rows = scan_artifacts(spark, roots, "summary_*.csv", SUMMARY_COLUMNS, ["strategy"])
+    named = F.regexp_extract("artifact", r"/summary_([^_/]+)\.csv$", 1)
+    return rows.where(named != "").withColumn("timeframe", F.coalesce(F.nullif("timeframe", F.lit("")), named))
