@@ -171,13 +171,26 @@ DAY_SETS = [{"lookback": 3, "min_range_points": 20, "stop_points": 30, "take_poi
 DAYS = """ib AS (SELECT b.* , CAST(datetime AS DATE) AS day, row_number() OVER (PARTITION BY symbol, CAST(datetime AS DATE) ORDER BY datetime) - 1 AS bar_idx FROM bars b)"""
 
 
-@query("t18_validate_days", with_("bars", extra=DAYS + ",\n" + breakout_sig(DAY_SETS, "ib", "symbol, day") + ",\n" + params_cte(DAY_SETS, PLAIN) + ",\n" + chain(PLAIN, "ib", "symbol, day") + equity_ctes(PLAIN, "ib", "symbol, day") + """,
+MADE_DAYS = """tkd AS (SELECT symbol, CAST(datetime AS DATE) AS day, make_timestamp(CAST(ceil(epoch_us(datetime)/3600000000.0) AS BIGINT)*3600000000) AS datetime, price, volume,
+ row_number() OVER (PARTITION BY symbol ORDER BY datetime, seq) AS seq FROM ticks),
+kpt AS (SELECT *, CAST(datetime AS DATE) AS day FROM bars WHERE day(datetime) % 3 <> 0),
+alb AS (SELECT symbol, timeframe, datetime, open, high, low, close, volume, day FROM kpt UNION ALL
+ SELECT symbol, '60m', datetime, arg_min(price, seq), max(price), min(price), arg_max(price, seq), sum(volume), day FROM tkd t WHERE NOT EXISTS (SELECT 1 FROM kpt k WHERE k.symbol = t.symbol AND k.day = t.day) GROUP BY symbol, day, datetime),
+ib AS (SELECT *, row_number() OVER (PARTITION BY symbol, day ORDER BY datetime) - 1 AS bar_idx FROM alb)"""
+
+
+def days_sql(days: str) -> str:
+    """Every (symbol, day) of ``days`` (relation ib) as a run of its own."""
+    return (with_("bars", extra=days + ",\n" + breakout_sig(DAY_SETS, "ib", "symbol, day") + ",\n" + params_cte(DAY_SETS, PLAIN) + ",\n" + chain(PLAIN, "ib", "symbol, day") + equity_ctes(PLAIN, "ib", "symbol, day") + """,
 m AS (SELECT symbol, day, max(d) AS dd FROM (SELECT symbol, day, max(equity) OVER (PARTITION BY symbol, day ORDER BY bar_idx) - equity AS d FROM eq) GROUP BY ALL),
 q AS (SELECT symbol, day, count(*) AS n, sum(pnl_net) AS net, avg((pnl_net > 0)::INT) AS wr FROM tr GROUP BY ALL),
 ls AS (SELECT DISTINCT symbol, CAST(datetime AS DATE) + 1 AS day FROM ticks), tc AS (SELECT symbol, CAST(datetime AS DATE) AS day, count(*) AS ticks FROM ticks GROUP BY ALL)""", recursive=True)
        + f"""SELECT symbol, day::VARCHAR AS day, CASE WHEN ticks IS NULL THEN 'sem_tick' WHEN dd IS NULL THEN 'sem_candle' ELSE 'ok' END AS status, coalesce(ticks, 0) AS ticks,
  CASE WHEN ticks IS NULL THEN 0 ELSE coalesce(n, 0) END::DOUBLE AS trade_count, {r('CASE WHEN ticks IS NULL THEN 0 ELSE coalesce(net, 0) END')} AS net_profit, {r('CASE WHEN ticks IS NULL THEN 0 ELSE coalesce(wr, 0) END')} AS win_rate,
  {r('CASE WHEN ticks IS NULL THEN 0 ELSE coalesce(dd, 0) END')} AS max_drawdown FROM ls LEFT JOIN tc USING (symbol, day) LEFT JOIN m USING (symbol, day) LEFT JOIN q USING (symbol, day)""")
+
+
+@query("t18_validate_days", days_sql(DAYS))
 def _(spark, sf):
     ticks = V.ticks(spark, sf)
     listed = ticks.select("symbol", F.date_add(F.col("datetime").cast("date"), 1).alias("day"))
@@ -191,3 +204,12 @@ def _(spark, sf):
     listed = ticks.select("symbol", F.col("datetime").cast("date").alias("day"))
     days = PT.validate_days(ticks, V.bars(spark, sf), listed, "breakout_range", DAY_SETS[0], PLAIN, by_tick=True)
     return rounded(PT.validation_totals(days), "net_profit", "mean_day", "positive_days_pct")
+
+
+@query("t18_days_without_candles", days_sql(MADE_DAYS))
+def _(spark, sf):
+    # the bars of a third of the days are gone; the ticks of a day make them
+    ticks, bars = V.ticks(spark, sf), V.bars(spark, sf).where("day(datetime) % 3 <> 0")
+    listed = ticks.select("symbol", F.date_add(F.col("datetime").cast("date"), 1).alias("day"))
+    out = PT.validate_days(ticks, bars, listed, "breakout_range", DAY_SETS[0], PLAIN, by_tick=False, timeframe="60m")
+    return rounded(out.select("symbol", "day", "status", "ticks", "trade_count", "net_profit", "win_rate", "max_drawdown"), "net_profit", "win_rate", "max_drawdown")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from checks.registry import query, rounded
@@ -30,6 +32,35 @@ def _(spark, sf):
     return rounded(W.sample_parameters(ids, "ema_pullback", 7), "atr_min", "adx_min")
 
 
+# What the draws of each strategy must hold, dependent bounds included.
+TARGET = "take_points >= stop_points + {} AND take_points <= greatest(stop_points * {}, stop_points + {})"
+BOUNDS = {
+    "ema_pullback": "ema_fast BETWEEN 10 AND 40 AND ema_slow BETWEEN greatest(ema_fast + 40, 80) AND 300 AND stop_points BETWEEN 120 AND 800 AND atr_period BETWEEN 8 AND 30 AND "
+                    "atr_min IN (0, 40, 60, 80, 100, 120, 150) AND adx_period BETWEEN 8 AND 30 AND adx_min IN (15, 20, 25, 30, 35) AND use_adx IS NOT NULL AND " + TARGET.format(40, 2.6, 40),
+    "breakout_range": "lookback BETWEEN 8 AND 80 AND min_range_points BETWEEN 80 AND 1600 AND stop_points BETWEEN 120 AND 900 AND " + TARGET.format(50, 2.6, 50),
+    "scalp_break_even": "ema_fast BETWEEN 5 AND 15 AND ema_slow BETWEEN greatest(ema_fast + 8, 18) AND 60 AND min_range_points BETWEEN 20 AND 250 AND stop_points BETWEEN 35 AND 140 AND "
+                        "break_even_trigger_points BETWEEN greatest(10, floor(stop_points * 0.5)) AND stop_points AND " + TARGET.format(120, 6.2, 120),
+    "trx_htsl": "ema_period BETWEEN 16 AND 28 AND hilo_period BETWEEN 8 AND 14 AND adx_period BETWEEN 12 AND 18 AND adx_smoothing BETWEEN 12 AND 18 AND adx_min BETWEEN 18 AND 30 AND "
+                "stop_points BETWEEN 240 AND 360 AND take_points BETWEEN 520 AND 759 AND break_even_trigger_points BETWEEN 170 AND 230 AND break_even_lock_points BETWEEN 5 AND 20 AND "
+                "hour_start BETWEEN 9 AND 10 AND hour_end BETWEEN greatest(hour_start, 11) AND 12",
+    "trx_melhor_20_02": "ema_period BETWEEN 19 AND 25 AND hilo_period BETWEEN 8 AND 11 AND adx_period BETWEEN 12 AND 15 AND adx_smoothing BETWEEN 12 AND 15 AND adx_min BETWEEN 19 AND 24 AND "
+                        "stop_points BETWEEN 300 AND 380 AND break_even_trigger_points <= stop_points AND break_even_trigger_points BETWEEN 170 AND 230 AND break_even_lock_points BETWEEN 10 AND 20 AND "
+                        "max_consecutive_losses_per_day BETWEEN 10 AND 20 AND daily_loss_limit BETWEEN 300 AND 600 AND daily_profit_target BETWEEN 420 AND 780 AND "
+                        "max_bar_range_points BETWEEN 280 AND 620 AND max_ema_distance_points BETWEEN 140 AND 360 AND " + TARGET.format(230, 2.05, 230),
+    "ganhador_80": "ema_fast BETWEEN 4 AND 10 AND ema_slow BETWEEN greatest(ema_fast + 6, 14) AND 30 AND range_min_points BETWEEN 10 AND 120 AND stop_points BETWEEN 40 AND 140 AND "
+                   "break_even_trigger_points <= stop_points AND break_even_trigger_points BETWEEN 40 AND 120 AND break_even_lock_points BETWEEN 2 AND 8 AND "
+                   "entry_start_time BETWEEN '09:02' AND '09:44' AND entry_end_time BETWEEN '11:00' AND '12:54' AND " + TARGET.format(80, 4.1, 80),
+}
+
+
+@query("w1_sampler_bounds", f"SELECT strategy, count(*) AS sets, count(*) AS within_bounds FROM events, (SELECT unnest({list(BOUNDS)}) AS strategy) GROUP BY strategy")
+def _(spark, sf):
+    ids = V.table(spark, sf, "events").select(F.col("event_id").alias("sample_no"))
+    counted = [W.sample_parameters(ids, name, 7).agg(F.count("*").alias("sets"), F.count_if(F.expr(rule)).alias("within_bounds")).select(F.lit(name).alias("strategy"), "*")
+               for name, rule in BOUNDS.items()]
+    return reduce(lambda a, b: a.unionByName(b), counted)
+
+
 @query("w2_prepare_candidates", f"""SELECT event_id AS sample_no, CAST(least(value, 60.0) AS DOUBLE) AS stop_points, CAST(round_even(least(CAST(event_id % 100 AS DOUBLE), least(value, 60.0)), 0) AS INTEGER) AS break_even_trigger_points,
  CAST(least(greatest(event_id % 40 - 5, 0), 23) AS INTEGER) AS hour_start, 20 AS hour_end FROM events""")
 def _(spark, sf):

@@ -59,8 +59,8 @@ def bucket_end(ts: Column, label: str) -> Column:
     return F.timestamp_micros(edge + F.lit(shift)).cast("timestamp_ntz")
 
 
-def ticks_to_bars(ticks: DataFrame, timeframe: str) -> DataFrame:
-    """Aggregate ticks to bars labelled by their right-closed bucket end; empty buckets give no bar.
+def ticks_to_bars(ticks: DataFrame, timeframe: str, by: tuple[str, ...] = ("symbol",)) -> DataFrame:
+    """Aggregate the ticks of each ``by`` to bars labelled by their right-closed bucket end; empty buckets give no bar.
 
     First and last price are min_by/max_by over one decimal key built from (time, seq): fixed-width
     aggregation buffers keep the plan a map-side combined hash aggregate.
@@ -72,14 +72,14 @@ def ticks_to_bars(ticks: DataFrame, timeframe: str) -> DataFrame:
         + F.col("seq").cast("decimal(19,0)")  # between -2**63 and 2**63, less than half a step
     ).cast("decimal(38,0)")
     keyed = valid.select(
-        "symbol",
+        *by,
         bucket_end(F.col("datetime"), label).alias("datetime"),
         "price",
         F.coalesce("volume", F.lit(0.0)).alias("volume"),
         position.alias("_pos"),
     )
     return (
-        keyed.groupBy("symbol", "datetime")
+        keyed.groupBy(*by, "datetime")
         .agg(
             F.min_by("price", "_pos").alias("open"),
             F.max("price").alias("high"),
@@ -89,7 +89,7 @@ def ticks_to_bars(ticks: DataFrame, timeframe: str) -> DataFrame:
         )
         # explode keeps the label a real column: a literal key would be folded out of later window keys
         .withColumn("timeframe", F.explode(F.array(F.lit(label))))
-        .select("symbol", "timeframe", "datetime", "open", "high", "low", "close", "volume")
+        .select(*by, "timeframe", "datetime", "open", "high", "low", "close", "volume")
     )
 
 
@@ -252,9 +252,10 @@ def trading_days(bars: DataFrame, series: tuple[str, ...] = SERIES) -> DataFrame
 
 
 def tick_day_coverage(ticks: DataFrame, bars: DataFrame, listed_days: DataFrame) -> DataFrame:
-    """Status of each listed (symbol, day): ok, sem_tick (no ticks) or sem_candle (no bars)."""
+    """Status of each listed (symbol, day): ok, sem_tick (no ticks) or sem_candle (no bars). Bars may carry their ``day``."""
     tick_counts = ticks.groupBy("symbol", F.col("datetime").cast("date").alias("day")).agg(F.count(F.lit(1)).alias("ticks"))
-    bar_counts = bars.groupBy("symbol", F.col("datetime").cast("date").alias("day")).agg(F.count(F.lit(1)).alias("bars"))
+    bar_day = F.col("day") if "day" in bars.columns else F.col("datetime").cast("date")
+    bar_counts = bars.groupBy("symbol", bar_day.alias("day")).agg(F.count(F.lit(1)).alias("bars"))
     joined = (
         listed_days.select("symbol", "day").distinct()
         .join(tick_counts, ["symbol", "day"], "left")

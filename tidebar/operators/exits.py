@@ -1,9 +1,9 @@
 """First exit of every candidate on its own (inventory T4-T7, T12).
 
 A naive join pairs a candidate with every later bar up to its exit. Here a series is stored as rows of 128
-path points with their extremes, and rows of 128 such rows; a candidate looks into its own row, then into
-the extremes for the first row that can end it, then into that row. Every step is an equi-join that returns
-one row per candidate, whatever the holding time.
+path points with their extremes, rows of 128 such rows and so on. A candidate climbs: it looks ahead in its own row of
+each level for the first part that can end it, and then descends into that part. Every step is an equi-join on
+(keys, block) that returns one row per candidate, whatever the holding time.
 """
 
 from __future__ import annotations
@@ -75,33 +75,31 @@ def tick_path(indexed: DataFrame, owned_ticks: DataFrame, keys: Sequence[str]) -
     return numbered.select(*keys, "pos", *EXTREMES, *PAYLOAD)
 
 
-def _rollup(rows: DataFrame, keys: Sequence[str], block: str, item: Sequence[str]) -> DataFrame:
-    """Rows of up to FANOUT items in position order, with the extremes over them."""
-    return rows.groupBy(*keys, block).agg(
-        F.sort_array(F.collect_list(F.struct(*item))).alias("items"),
+def _rollup(rows: DataFrame, keys: Sequence[str], payload: Sequence[str] = ()) -> DataFrame:
+    """Rows of up to FANOUT items in order of ``pos``, with the extremes over them; ``block`` counts the rows of a series."""
+    return rows.withColumn("block", F.floor(F.col("pos") / FANOUT).cast("long")).groupBy(*keys, "block").agg(
+        F.sort_array(F.collect_list(F.struct("pos", *EXTREMES, *payload))).alias("items"),
         F.max("hi").alias("hi"), F.min("lo").alias("lo"), F.max("mxc").alias("mxc"), F.min("mnc").alias("mnc"),
         F.min("mns").alias("mns"), F.max("mxs").alias("mxs"),
     )
 
 
 class PathIndex:
-    """Two-level index over a path: leaf rows of points, middle rows of leaf extremes, top list per series.
+    """Index over a path: rows of points, then rows of the extremes of FANOUT rows below, up to one row per series.
 
-    The leaf rows are written once (checkpoint); all levels and lookups read them.
+    The rows of points are written once (checkpoint); all levels and lookups read them. There are as many levels as the
+    longest series needs, and every level is looked up in the same way.
     """
 
     def __init__(self, path: DataFrame, keys: Sequence[str], payload: Sequence[str] = PAYLOAD):
         self.keys = list(keys)
-        leaf_rows = path.withColumn("b1", F.floor(F.col("pos") / FANOUT).cast("long"))
-        leaves = materialize(_rollup(leaf_rows, self.keys, "b1", ("pos", *EXTREMES, *payload)))
-        self.leaves = leaves.select(*self.keys, "b1", "items")
-        mids = _rollup(
-            leaves.withColumn("b2", F.floor(F.col("b1") / FANOUT).cast("long")), self.keys, "b2", ("b1", *EXTREMES)
-        )
-        self.mids = mids.select(*self.keys, "b2", F.col("items").alias("mids"))
-        # With at most FANOUT leaf rows per series one middle row covers the series and the top is not needed.
-        self.deep = not leaves.where(F.col("b1") >= FANOUT).isEmpty()
-        self.tops = mids.groupBy(*self.keys).agg(F.sort_array(F.collect_list(F.struct("b2", *EXTREMES))).alias("tops"))
+        self.leaves = materialize(_rollup(path, self.keys, payload))
+        self.levels = [self.leaves]
+        last = self.leaves.agg(F.max("block")).first()[0] or 0
+        while last > 0:
+            below = self.levels[-1].select(*self.keys, F.col("block").alias("pos"), *EXTREMES)
+            self.levels.append(_rollup(below, self.keys))
+            last //= FANOUT
 
     def points(self) -> DataFrame:
         return self.leaves.select(*self.keys, F.explode("items").alias("p"))
@@ -109,7 +107,14 @@ class PathIndex:
     def finals(self) -> DataFrame:
         """Last point of each series."""
         ends = F.element_at("items", -1)
-        return self.leaves.groupBy(*self.keys).agg(F.max_by(ends, F.col("b1")).alias("_final"))
+        return self.leaves.groupBy(*self.keys).agg(F.max_by(ends, F.col("block")).alias("_final"))
+
+    def _look(self, queries: DataFrame, level: int, block: Column, matches: Callable[[Column], Column], out: str) -> DataFrame:
+        """Add ``out``: the first item for which ``matches`` holds in row ``block`` of a level; a null block asks for nothing."""
+        rows = self.levels[level].select(*self.keys, F.col("block").alias("_block"), F.col("items").alias("_items"))
+        placed = queries.withColumn("_block", F.coalesce(block, -1 - F.col("sig_idx")))
+        found = F.get(F.filter("_items", lambda p: is_true(matches(p))), F.lit(0))
+        return placed.join(rows, [*self.keys, "_block"], "left").withColumn(out, found).drop("_block", "_items")
 
     def first(self, queries: DataFrame, start: str, matches: Callable[[Column], Column], out: str) -> DataFrame:
         """Add ``out``: the first path point at or after ``start`` for which ``matches(point)`` holds.
@@ -118,34 +123,19 @@ class PathIndex:
         ``start`` asks for nothing. Queries must carry ``sig_idx``; rows that are already answered get a
         spread-out dummy join key instead of one shared null.
         """
-        names = queries.columns
-        spread = -1 - F.col("sig_idx")
-        hit = lambda items, cond: F.get(F.filter(items, cond), F.lit(0))
-        home = F.floor(F.col(start) / FANOUT).cast("long")
-        q = queries.withColumn("b1", F.coalesce(home, spread))
-        q = q.join(self.leaves, [*self.keys, "b1"], "left").withColumn(
-            "_h1", hit(F.col("items"), lambda p: (p["pos"] >= F.col(start)) & is_true(matches(p)))
-        ).drop("items")
-        q = q.withColumn(
-            "b2", F.when(F.col(start).isNotNull() & F.col("_h1").isNull(), F.floor(home / FANOUT).cast("long")).otherwise(spread)
-        )
-        q = q.join(self.mids, [*self.keys, "b2"], "left").withColumn(
-            "_m1", hit(F.col("mids"), lambda m: (m["b1"] > home) & is_true(matches(m)))["b1"]
-        ).drop("mids")
-        if not self.deep:
-            q = q.drop("b1", "b2").withColumn("b1", F.coalesce("_m1", spread)).join(self.leaves, [*self.keys, "b1"], "left")
-            found = F.coalesce("_h1", hit(F.col("items"), lambda p: is_true(matches(p))))
-            return q.select(*names, found.alias(out))
-        searching = (F.col("b2") >= 0) & F.col("_m1").isNull()
-        q = q.join(self.tops, self.keys, "left").withColumn(
-            "_t1", F.when(searching, hit(F.col("tops"), lambda t: (t["b2"] > F.col("b2")) & is_true(matches(t)))["b2"])
-        ).drop("tops", "b2")
-        q = q.withColumn("b2", F.coalesce("_t1", spread)).join(self.mids, [*self.keys, "b2"], "left").withColumn(
-            "_m2", hit(F.col("mids"), lambda m: is_true(matches(m)))["b1"]
-        ).drop("mids", "b2", "b1")
-        q = q.withColumn("b1", F.coalesce("_m1", "_m2", spread)).join(self.leaves, [*self.keys, "b1"], "left")
-        found = F.coalesce("_h1", hit(F.col("items"), lambda p: is_true(matches(p))))
-        return q.select(*names, found.alias(out))
+        at = lambda level: F.floor(F.col(start) / FANOUT**level).cast("long")
+        q, wanted = queries, F.col(start).isNotNull()
+        for level in range(len(self.levels)):
+            ahead = lambda p, first=at(level) + (1 if level else 0): (p["pos"] >= first) & matches(p)
+            q = self._look(q, level, F.when(wanted, at(level + 1)), ahead, f"_up{level}")
+            wanted = wanted & F.col(f"_up{level}").isNull()
+        below = F.lit(None).cast("long")
+        for level in range(len(self.levels) - 2, -1, -1):
+            below = F.coalesce(F.col(f"_up{level + 1}.pos"), below)
+            q = self._look(q, level, below, matches, f"_down{level}")
+            below = F.col(f"_down{level}.pos")
+        found = F.coalesce("_up0", "_down0") if len(self.levels) > 1 else F.col("_up0")
+        return q.select(*queries.columns, found.alias(out))
 
 
 def first_exit(

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidebar.operators import exits as X
-from tidebar.operators.bars import SERIES, assign_ticks, tick_day_coverage
+from tidebar.operators.bars import SERIES, assign_ticks, tick_day_coverage, ticks_to_bars
 from tidebar.operators.metrics import ScoreSettings, performance
 from tidebar.operators.params import ExecutionSettings, params_frame
 from tidebar.operators.reports import operations_table, performance_summary
@@ -63,16 +63,21 @@ def validate_days(
     base: ExecutionSettings,
     by_tick: bool = True,
     score: ScoreSettings = ScoreSettings(),
+    timeframe: str | None = None,
 ) -> DataFrame:
     """Each (symbol, day) as a run of its own: status, ticks and metrics.
 
     The day joins the series key, so indicators, positions and capital start afresh every morning and all
-    days of all symbols run in one plan.
+    days of all symbols run in one plan. Given a ``timeframe``, a day without bars takes those its own ticks make.
     """
     day = F.col("datetime").cast("date")
     keys = [*SERIES, "day"]
+    bars = bars.withColumn("day", day)
+    if timeframe:
+        made = ticks_to_bars(ticks.withColumn("day", day), timeframe, ("symbol", "day"))
+        bars = bars.unionByName(made.join(bars.select("symbol", "day").distinct(), ["symbol", "day"], "left_anti"), allowMissingColumns=True)
     w = Window.partitionBy(*keys).orderBy("datetime")
-    sliced = materialize(bars.withColumn("day", day).withColumn("bar_idx", (F.row_number().over(w) - 1).cast("long")))
+    sliced = materialize(bars.withColumn("bar_idx", (F.row_number().over(w) - 1).cast("long")))
     path = None
     if by_tick:
         owned = assign_ticks(ticks.withColumn("day", day), sliced, by=("symbol", "day"), label=("timeframe",))
@@ -82,7 +87,7 @@ def validate_days(
     ids = params_frame(bars.sparkSession, [params]).select("param_id")
     equity = equity_curve(trades, sliced, ids, base, keys)
     metrics = performance(trades, equity, group, base.initial_capital, score)
-    status = tick_day_coverage(ticks, bars, listed_days)
+    status = tick_day_coverage(ticks, sliced, listed_days)
     zero = lambda c: F.when(F.col("status") == "ok", F.coalesce(F.col(c), F.lit(0.0))).otherwise(F.lit(0.0)).alias(c)
     return status.join(metrics, ["symbol", "day"], "left").select(
         "symbol", "day", "status", "ticks", *[zero(c) for c in ("trade_count", "net_profit", "win_rate", "max_drawdown", "score", "profit_factor")]
