@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Numbers and fields of the progress lines, whose grammar and status words parse_progress reads.
 NUMBER = r"([-+]?\d+(?:\.\d+)?)"
 FIELDS = ("score", "net_profit", "profit_factor", "partial_score", "partial_net", "train_score")
 
