@@ -183,3 +183,87 @@ def test_stream_of_unordered_files_equals_batch(spark, tmp_path):
     got = spark.read.schema(RK.BREACH_SCHEMA).parquet(f"{tmp_path}/out").withColumn("value", F.round("value", 6)).collect()
     assert want and {tuple(r) for r in got} == want and len(got) == len(want)
     assert "quiet" not in {r.account for r in got}
+
+
+class CountedState:
+    """State of one key in memory; counts the calls, each of which is a round trip from the Python worker."""
+
+    def __init__(self):
+        self.calls, self.timers, self.maps, self.value = 0, set(), {}, None
+
+    def getValueState(self, name, schema):
+        return CountedValue(self)
+
+    def getMapState(self, name, key, value):
+        return CountedMap(self, self.maps.setdefault(name, {}))
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+
+class CountedValue:
+    def __init__(self, state):
+        self.state = state
+
+    def exists(self):
+        return self.state.value is not None
+
+    def get(self):
+        return self.state.value
+
+    def update(self, value):
+        self.state.value = value
+
+
+class CountedMap:
+    def __init__(self, state, rows):
+        self.state, self.rows = state, rows
+
+    def _call(self, result=None):
+        self.state.calls += 1
+        return result
+
+    def containsKey(self, key):
+        return self._call(key in self.rows)
+
+    def getValue(self, key):
+        return self._call(self.rows[key])
+
+    def updateValue(self, key, value):
+        self._call(self.rows.__setitem__(key, value))
+
+    def removeKey(self, key):
+        self._call(self.rows.pop(key, None))
+
+    def clear(self):
+        self._call(self.rows.clear())
+
+
+class Expired:
+    def __init__(self, at):
+        self.at = at
+
+    def getExpiryTimeInMs(self):
+        return self.at
+
+
+def test_state_calls_do_not_grow_with_the_events(spark):
+    slot = RK.slot_ms(spark, "40 days")
+    assert slot == 40 * 86_400_000 // RK.SLOTS and RK.slot_ms(spark, "10 minutes") == RK.SLOT_MS
+    limits, calls = RK.RiskLimits(daily_loss_limit=1e9, max_drawdown_pct=50), []
+    for n in (2_000, 20_000):
+        monitor, state = RK.BreachMonitor(limits, 1000.0, slot), CountedState()
+        monitor.init(state)
+        rng = np.random.default_rng(1)
+        at = np.sort(rng.integers(0, 10 * 86_400, n))
+        frame = pd.DataFrame({"ts": pd.to_datetime(at, unit="s"), "seq": np.arange(n), "kind": "close", "equity": 1000.0, "pnl_net": None})
+        frame.loc[n // 2:, "equity"] = 400.0
+        mixed = frame.sample(frac=1, random_state=2)
+        chunks = [mixed.iloc[i:i + 500] for i in range(0, n, 500)]
+        assert list(monitor.handleInputRows(("a",), iter(chunks), None)) == []
+        hits = [h for t in sorted(state.timers) for h in monitor.handleExpiredTimer(("a",), None, Expired(t))]
+        assert [(h["seq"][0], h["code"][0], h["value"][0]) for h in hits] == [(n // 2, "MAX_DRAWDOWN_PCT", 60.0)]
+        assert not any(state.maps.values()) and state.value[4]
+        calls.append(state.calls)
+    assert calls[1] <= 1.5 * calls[0] < 500, calls

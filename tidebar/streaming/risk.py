@@ -7,10 +7,10 @@ and loss streak. The first breach halts the account for good.
 
 from __future__ import annotations
 
-import json
 from dataclasses import dataclass
 from typing import Any, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,7 +31,10 @@ class RiskLimits:
 
 BREACH_SCHEMA = "account string, ts timestamp, seq long, code string, value double"
 _BOOK = "day string, peak double, day_pnl double, streak long, halted boolean"
-SLOT_MS = 60_000          # events of an account are held and released by the minute
+SLOT_MS = 60_000          # events of an account are held and released by slots of a minute or more
+SLOTS = 32                # slots within the lateness: a slot adds that part of it to the wait
+HOLD_ROWS = 1 << 17       # events of an account that are packed into state at a time
+EVENT = np.dtype([("ts", "<i8"), ("seq", "<i8"), ("close", "?"), ("equity", "<f8"), ("pnl", "<f8")])
 CLOSING = "closing"       # kind of the event that ends a stream
 
 
@@ -64,62 +67,101 @@ class RiskBook:
         return None
 
 
+def packed(frame: pd.DataFrame) -> np.ndarray:
+    """Events as records of fixed width; no P&L counts as 0."""
+    out = np.empty(len(frame), EVENT)
+    out["ts"], out["seq"] = frame["ts"].astype("datetime64[us]").astype("int64"), frame["seq"]
+    out["close"], out["equity"], out["pnl"] = frame["kind"] == "close", frame["equity"], frame["pnl_net"].astype("float64").fillna(0.0)
+    return out
+
+
 class BreachMonitor(StatefulProcessor):
-    """Holds events of an account by the minute and releases a minute once the watermark has passed it.
+    """Holds events of an account by slots of time and releases a slot once the watermark has passed it.
 
-    State per account: one small book, and the minutes that are still open. An account that has halted holds nothing.
+    State per account: one small book, and the packed events of the slots that are still open. A packet is written once
+    and read once, however many arrive for a slot. An account that has halted holds nothing.
     """
 
-    def __init__(self, limits: RiskLimits, capital: float):
-        self.limits, self.capital = limits, float(capital)
+    def __init__(self, limits: RiskLimits, capital: float, slot: int = SLOT_MS):
+        self.limits, self.capital, self.slot = limits, float(capital), int(slot)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.book = handle.getValueState("book", _BOOK)
-        self.held = handle.getMapState("held", "slot long", "events string")
+        self.packets = handle.getMapState("packets", "slot long", "n long")
+        self.held = handle.getMapState("held", "slot long, n long", "events binary")
+
+    def hold(self, frames: list[pd.DataFrame]) -> None:
+        events = packed(pd.concat(frames, ignore_index=True))
+        slots = events["ts"] // (1000 * self.slot)
+        order = np.argsort(slots, kind="stable")
+        found, starts = np.unique(slots[order], return_index=True)
+        for slot, part in zip(found.tolist(), np.split(events[order], starts[1:])):
+            n = self.packets.getValue((slot,))[0] if self.packets.containsKey((slot,)) else 0
+            self.held.updateValue((slot, n), (part.tobytes(),))
+            self.packets.updateValue((slot,), (n + 1,))
+            if n == 0:
+                self.handle.registerTimer((slot + 1) * self.slot)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         halted = self.book.exists() and self.book.get()[4]
+        frames, size = [], 0
         for frame in rows:
             frame = frame[frame["kind"] != CLOSING]
             if halted or frame.empty:
                 continue
-            micros = frame["ts"].astype("datetime64[us]").astype("int64")
-            for slot, part in frame.assign(micros=micros).groupby(micros // (1000 * SLOT_MS)):
-                known = json.loads(self.held.getValue((int(slot),))[0]) if self.held.containsKey((int(slot),)) else []
-                new = [[int(t), int(n), k, float(e), None if pd.isna(p) else float(p)] for t, n, k, e, p in zip(part["micros"], part["seq"], part["kind"], part["equity"], part["pnl_net"])]
-                self.held.updateValue((int(slot),), (json.dumps(known + new),))
-                self.handle.registerTimer((int(slot) + 1) * SLOT_MS)
+            frames.append(frame)
+            size += len(frame)
+            if size >= HOLD_ROWS:
+                self.hold(frames)
+                frames, size = [], 0
+        if frames:
+            self.hold(frames)
         yield from ()
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        slot = (expiredTimerInfo.getExpiryTimeInMs() // SLOT_MS - 1,)
-        events = json.loads(self.held.getValue(slot)[0]) if self.held.containsKey(slot) else []
-        self.held.removeKey(slot)
+        slot = expiredTimerInfo.getExpiryTimeInMs() // self.slot - 1
+        if not self.packets.containsKey((slot,)):
+            return
+        packets = []
+        for n in range(self.packets.getValue((slot,))[0]):
+            packets.append(np.frombuffer(bytes(self.held.getValue((slot, n))[0]), EVENT))
+            self.held.removeKey((slot, n))
+        self.packets.removeKey((slot,))
+        events = np.concatenate(packets)
+        events = events[np.lexsort((events["seq"], events["ts"]))]
+        days = np.datetime_as_string(events["ts"].astype("datetime64[us]"), "D").tolist()
         book = RiskBook(*self.book.get()) if self.book.exists() else RiskBook("", self.capital)
-        for micros, seq, kind, equity, pnl in sorted(events, key=lambda e: e[:2]) if not book.halted else ():
-            at = pd.Timestamp(micros, unit="us")
-            hit = book.breach(self.limits, str(at)[:10], kind, equity, pnl)
+        for day, (micros, seq, close, equity, pnl) in zip(days, events.tolist()):
+            hit = book.breach(self.limits, day, "close" if close else "mark", equity, pnl)
             if hit:
                 book.halted = True
                 self.held.clear()
-                yield pd.DataFrame([(key[0], at, seq, *hit)], columns=["account", "ts", "seq", "code", "value"])
+                self.packets.clear()
+                yield pd.DataFrame([(key[0], pd.Timestamp(micros, unit="us"), seq, *hit)], columns=["account", "ts", "seq", "code", "value"])
                 break
         self.book.update((book.day, book.peak, book.day_pnl, book.streak, book.halted))
 
 
+def slot_ms(spark: SparkSession, lateness: str) -> int:
+    """Milliseconds of a slot: a part of the lateness, a minute at least."""
+    wait = spark.range(1).select(F.unix_millis(F.timestamp_seconds(F.lit(0)) + F.expr(f"interval {lateness}"))).first()[0]
+    return max(SLOT_MS, wait // SLOTS)
+
+
 def monitor_stream(events: DataFrame, limits: RiskLimits, capital: float, lateness: str = "10 minutes") -> DataFrame:
     """First breach per account of an event stream whose events are at most ``lateness`` out of order.
 
     Events are judged in order of (ts, seq) per account, whatever the files or micro-batches they came in: they wait in
-    keyed state until the watermark passes their minute. Rows of one batch reach the processor in chunks, never as a
-    whole account. What is later than the watermark is dropped by Spark. An event of kind ``closing``
+    keyed state until the watermark passes their slot, which is a minute or a 32nd of the lateness (:func:`slot_ms`). Rows
+    of one batch reach the processor in chunks, never as a whole account. What is later than the watermark is dropped by Spark. An event of kind ``closing``
     (:func:`closing_event`) moves the watermark past all others and so releases what is left.
     Needs the RocksDB state store (:func:`use_rocksdb`).
     """
     named = events.where("account is not null and ts is not null").select("account", "ts", "seq", "kind", "equity", "pnl_net")
+    monitor = BreachMonitor(limits, capital, slot_ms(events.sparkSession, lateness))
     return named.withWatermark("ts", lateness).groupBy("account").transformWithStateInPandas(
-        BreachMonitor(limits, capital), outputStructType=BREACH_SCHEMA, outputMode="Append", timeMode="EventTime")
+        monitor, outputStructType=BREACH_SCHEMA, outputMode="Append", timeMode="EventTime")
 
 
 def use_rocksdb(spark: SparkSession) -> None:
@@ -128,8 +170,9 @@ def use_rocksdb(spark: SparkSession) -> None:
 
 
 def closing_event(events: DataFrame, lateness: str) -> DataFrame:
-    """One event that ends a stream of ``events``: later than the last one by more than ``lateness`` and a minute."""
-    last = events.agg((F.max("ts") + F.expr(f"interval {lateness}") + F.expr(f"interval {2 * SLOT_MS} milliseconds")).alias("ts"))
+    """One event that ends a stream of ``events``: later than the last one by more than ``lateness`` and a slot."""
+    slot = slot_ms(events.sparkSession, lateness)
+    last = events.agg((F.max("ts") + F.expr(f"interval {lateness}") + F.expr(f"interval {2 * slot} milliseconds")).alias("ts"))
     return last.where("ts is not null").select(F.lit("").alias("account"), "ts", F.lit(0).cast("long").alias("seq"), F.lit(CLOSING).alias("kind"), F.lit(0.0).alias("equity"), F.lit(None).cast("double").alias("pnl_net"))
 
 
