@@ -1,5 +1,6 @@
 import json
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -111,6 +112,13 @@ def test_brl_and_duration_text(spark):
     assert row["m"] == "-R$ 1.234,50" and row["h"] == "1h02min03s" and row["n"] == "1min05s" and row["s"] == "5s"
 
 
+def test_running_total_of_zero_has_no_sign(spark):
+    pnls = [-17.73, -24.89, -0.09, -28.51, -18.25, -10.53]
+    assert 100.0 + np.cumsum(pnls)[-1] < 0  # what plain float sums leave
+    rows = R.operations_table(trades(spark, pnls), ["strategy"], 100.0, 2, ("exit_time", "trade_id")).orderBy("trade_id").collect()
+    assert (rows[-1]["total"], rows[-1]["total_num"]) == ("R$ 0,00", 0.0) and str(rows[-1]["total_num"]) == "0.0"
+
+
 def test_quality_counts_missing_bar(spark):
     times = ["2025-01-02 09:00", "2025-01-02 09:05", "2025-01-02 09:15", "2025-01-03 09:00", "2025-01-03 09:05"]
     row = quality_report(bars_frame(spark, [(t, 10, 11, 9, 10) for t in times])).first()

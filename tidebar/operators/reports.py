@@ -210,10 +210,10 @@ def duration_text(seconds: Column) -> Column:
 def operations_table(
     trades: DataFrame, group: Sequence[str], capital: float, contracts: int, order: Sequence[str] = ("exit_time",)
 ) -> DataFrame:
-    """Broker-style list of operations with running total."""
+    """Broker-style list of operations with running total; the total is rounded where only the noise of float sums is left."""
     totals = running(trades, group, order, time_block(F.col(order[0])), [Run("_sum", "sum", F.col("pnl_net"))])
     long, pnl = F.col("direction") == "long", F.col("pnl_net").cast("double")
-    total = F.lit(float(capital)) + F.col("_sum")
+    total = F.round(F.lit(float(capital)) + F.col("_sum"), 6) + F.lit(0.0)
     stamp = lambda c: F.date_format(F.col(c), "dd/MM/yyyy HH:mm:ss")
     fixed = lambda c, digits: F.format_string(f"%.{digits}f", c)
     return totals.select(
