@@ -107,6 +107,16 @@ def test_upsert_and_consolidation(spark):
     assert merged.loc["a", "net_profit"] == 999 and len(merged) == 2
 
 
+@pytest.mark.parametrize("kind", ["string", "long"])
+def test_equal_histories_fall_to_the_lowest_run_tag(spark, kind):
+    rows = hist(spark, [("7", "a", "2025-01-02", 1, 7), ("3", "a", "2025-01-02", 1, 3), ("5", "a", "2025-01-02", 1, 5), ("1", "a", "2025-01-01", 1, 1), ("2", "a", "2025-01-02", 2, 2)])
+    other = hist(spark, [("0", "a", "2025-01-02", 1, 0), ("9", "b", "2000-01-01", 4, 9)]).withColumn("created_at", F.expr("nullif(created_at, timestamp'2000-01-01')"))
+    for order in ("run_tag", "-net_profit"):  # whatever the order of arrival
+        parts = [h.withColumn("run_tag", F.col("run_tag").cast(kind)).coalesce(1).sortWithinPartitions(F.expr(order)) for h in (rows, other)]
+        out = U.consolidate(parts, ["timeframe", "strategy"], "rank_in_run").collect()
+        assert {(r.strategy, str(r.run_tag), r.net_profit) for r in out} == {("a", "3", 3.0), ("b", "9", 9.0)}
+
+
 def test_bank_reader_and_merge(spark, tmp_path):
     write(tmp_path / "b1.jsonl", '{"test_score": 10.0, "params": {"b": 2, "a": 1}}\nbroken\n{"test_score": "x", "params": {"c": 1}}\n{"test_score": 1, "params": [1]}\n')
     write(tmp_path / "b2.jsonl", '{"test_score": 12.0, "params": {"a": 1, "b": 2}}\n{"test_score": 5, "params": {"d": 1}}\n')

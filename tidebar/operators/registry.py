@@ -75,11 +75,14 @@ def upsert(history: DataFrame, fresh: DataFrame, keys: Sequence[str]) -> DataFra
 
 
 def consolidate(histories: Sequence[DataFrame], keys: Sequence[str], rank_column: str | None = None) -> DataFrame:
-    """Union of several histories, newest row per key (then lowest rank, then earliest source)."""
+    """Union of several histories, newest row per key (then lowest rank, then earliest source, then lowest ``run_tag``)."""
     tagged = [h.withColumn("source_no", F.lit(i)) for i, h in enumerate(histories)]
     rows = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), tagged)
-    order = [F.col("created_at")] + ([-F.col(rank_column)] if rank_column else []) + [-F.col("source_no")]
-    return best_per_key(rows, keys, order)
+    newest = F.unix_micros(F.col("created_at").try_cast("timestamp"))
+    places = [-newest, *[F.col(c) for c in ([rank_column] if rank_column else []) + ["source_no"] + (["run_tag"] if "run_tag" in rows.columns else [])]]
+    columns = [c for c in rows.columns if c not in keys]
+    first = F.min_by(F.struct(*columns), F.struct(*[f(p) for p in places for f in (F.isnull, lambda p: p)]))
+    return rows.groupBy(*keys).agg(first.alias("_first")).select(*keys, "_first.*")
 
 
 def merge_counts(sources: DataFrame) -> DataFrame:
