@@ -93,8 +93,8 @@ def ticks_to_bars(ticks: DataFrame, timeframe: str, by: tuple[str, ...] = ("symb
     )
 
 
-def clean_bars(raw: DataFrame, arrival: list[str]) -> DataFrame:
-    """Drop unusable rows and keep the latest arrival of each timestamp.
+def clean_bars(raw: DataFrame, arrival: list[str], zero_prices: bool = False) -> DataFrame:
+    """Drop unusable rows and keep the latest arrival of each timestamp. Prices must be positive, or 0 with ``zero_prices``.
 
     ``arrival`` names the columns that order duplicates (file, row). The de-duplication is a hash
     aggregate on the full bar key, so a hot symbol spreads over its timestamps.
@@ -102,7 +102,7 @@ def clean_bars(raw: DataFrame, arrival: list[str]) -> DataFrame:
     prices = ["open", "high", "low", "close"]
     finite = F.lit(True)
     for c in prices:
-        finite = finite & F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(F.col(c)) != F.lit(float("inf"))) & (F.col(c) > 0)
+        finite = finite & F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(F.col(c)) != F.lit(float("inf"))) & ((F.col(c) >= 0) if zero_prices else (F.col(c) > 0))
     usable = raw.where(F.col("datetime").isNotNull() & finite & (F.col("high") >= F.col("low")))
     latest = usable.groupBy(*SERIES, "datetime").agg(
         F.max_by(F.struct(*prices, "volume"), F.struct(*arrival)).alias("_row")

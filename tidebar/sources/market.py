@@ -85,16 +85,20 @@ def parse_bars(spark: SparkSession, lines: DataFrame) -> DataFrame:
 
 
 def read_bars(
-    spark: SparkSession, root: str, symbols: Sequence[str] | None, timeframe: str, start: str | None = None, end: str | None = None
+    spark: SparkSession, root: str, symbols: Sequence[str] | None, timeframe: str, start: str | None = None, end: str | None = None,
+    zero_prices: bool = False,
 ) -> DataFrame:
-    """Clean bars of ``<root>/<symbol>/<timeframe>/*.csv`` between two inclusive bounds. A load without any row is an error."""
+    """Clean bars of ``<root>/<symbol>/<timeframe>/*.csv`` between two inclusive bounds. A load without any row is an error.
+
+    A price of 0 makes a row unusable, unless ``zero_prices`` says that it is one.
+    """
     label = timeframe_label(timeframe)
     chosen = "{" + ",".join(f"{s},symbol={s}" for s in symbols) + "}" if symbols else "*"
     folder = "{" + f"{label},timeframe={label}" + "}"
     raw = parse_bars(spark, read_lines(spark, [f"{root}/{chosen}/{folder}/*.csv"]))
     inside = in_range(F.col("datetime"), start, end)
     require_rows(raw.where(inside & F.col("datetime").isNotNull()).select("datetime"), f"{symbols or 'all symbols'} {label} from {start} to {end}")
-    return clean_bars(raw, ["file", "line_key"]).where(inside)
+    return clean_bars(raw, ["file", "line_key"], zero_prices).where(inside)
 
 
 def require_rows(df: DataFrame, what: str) -> DataFrame:
