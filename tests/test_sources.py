@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tidebar.operators import registry as U
 from tidebar.sources import delimited as D
 from tidebar.sources import parameters as PA
-from tidebar.sources.market import read_bars, read_tradebook
+from tidebar.sources.market import read_bars, read_ticks, read_tradebook
 
 
 def put(path, text):
@@ -87,3 +87,22 @@ def test_candidates_come_from_the_files_of_the_runs(spark):
     out = U.candidates_from_files(runs, PA.strategy_params(files, "s"), "s", "5m").collect()
     assert [tuple(r) for r in out] == [('{"a":1,"b":2}', "r2", 2.0, 1.0, 5), ('{"a":3}', "r6", 0.0, 0.0, 0)]
     assert U.candidates_from_files(runs, PA.strategy_params(files, "s"), "s", "5m", 1).count() == 1
+
+
+def test_prices_of_zero_are_kept_on_demand(spark, tmp_path):
+    put(tmp_path / "bars" / "A" / "60m" / "a.csv", "Data;Hora;Abertura;Máxima;Mínima;Fechamento\n05/02/2025;10:00;1,5;2;0;1\n05/02/2025;11:00;1;2;1;2\n05/02/2025;12:00;1;2;-1;2\n")
+    put(tmp_path / "ticks" / "A_F_0_Trade_05-02-2025.csv", "Ativo;Data;Hora;Preco;Quantidade\nA;05/02/2025;10:00:00;0.000;1\nA;05/02/2025;10:00:01;1.500;2\nA;05/02/2025;10:00:02;-1.000;2\n")
+    for zero, hours, prices in ((False, [11], [1.5]), (True, [10, 11], [0.0, 1.5])):
+        bars = read_bars(spark, str(tmp_path / "bars"), ["A"], "60m", "2025-02-05", "2025-02-05", zero_prices=zero)
+        assert sorted(r.datetime.hour for r in bars.collect()) == hours
+        ticks = read_ticks(spark, str(tmp_path / "ticks"), ["a"], "2025-02-05", "2025-02-05", zero_prices=zero)
+        assert sorted(r.price for r in ticks.collect()) == prices
+
+
+def test_number_check_writes_one_decimal_dot_at_any_size(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    rows = [(i, dt.datetime(2025, 1, 2), 1, "view", 1.25, "{}") for i in (0, 998_999, 999_000, 6_000_000, 10_000_000_000)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(str(tmp_path / "events.parquet"))
+    out = entry.queries()["s5_s6_s8_parse_numbers"](spark, str(tmp_path)).collect()
+    assert {r.event_id: (r.group_style, r.dot_style, r.comma_style) for r in out} == {i: (i + 1000.0, (i + 1000) / 1000, 1.25) for i, *_ in rows}

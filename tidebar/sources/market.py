@@ -109,9 +109,12 @@ def require_rows(df: DataFrame, what: str) -> DataFrame:
 
 
 def read_ticks(
-    spark: SparkSession, root: str, symbols: Sequence[str], start: str | None = None, end: str | None = None
+    spark: SparkSession, root: str, symbols: Sequence[str], start: str | None = None, end: str | None = None, zero_prices: bool = False
 ) -> DataFrame:
-    """Ticks of ``<SYMBOL>..._DD-MM-YYYY.csv`` files; files of other days are dropped before parsing."""
+    """Ticks of ``<SYMBOL>..._DD-MM-YYYY.csv`` files; files of other days are dropped before parsing.
+
+    Ticks at a price of 0 are dropped, unless ``zero_prices`` says that it is one.
+    """
     paths = [f"{root}/{s.strip().upper()}*.csv" for s in symbols]
     upper = F.upper("name")
     symbol = F.coalesce(*[F.when(upper.startswith(s.strip().upper()), F.lit(s.strip().upper())) for s in sorted(symbols, key=len, reverse=True)])
@@ -131,7 +134,8 @@ def read_ticks(
         parse_number(F.col("price"), F.col("style_price")).alias("price"),
         F.coalesce(parse_number(F.col("volume"), F.col("style_volume")), F.lit(0.0)).alias("volume"),
     )
-    return ticks.where(F.col("datetime").isNotNull() & (F.col("price") > 0) & in_range(F.col("datetime"), start, end))
+    priced = (F.col("price") >= 0) if zero_prices else (F.col("price") > 0)
+    return ticks.where(F.col("datetime").isNotNull() & priced & in_range(F.col("datetime"), start, end))
 
 
 def tick_days(spark: SparkSession, root: str, symbol: str) -> DataFrame:
