@@ -37,19 +37,18 @@ def parse_bank(lines: DataFrame) -> DataFrame:
     return rows.where("params_json is not null")
 
 
-def typed_parameters(params: Column) -> Column:
-    """Array of (parameter, text, number, flag) from a map<string,string>.
+def typed_parameters(rows: DataFrame, params: str) -> DataFrame:
+    """Rows with a map<string,string> column ``params``, as one row per (parameter, text, number, flag) of it.
 
     'true'/'false' fill ``flag``; numeric text fills ``number``; other text has both null.
     """
-    def item(e: Column) -> Column:
-        word = F.lower(F.trim(e["value"]))
-        return F.struct(
-            e["key"].alias("parameter"), e["value"].alias("text"), word.try_cast("double").alias("number"),
-            F.when(word.isin("true", "false"), word == "true").alias("flag"),
-        )
-
-    return F.transform(F.map_entries(params), item)
+    others = [c for c in rows.columns if c != params]
+    # outer: for an inner one Spark puts a filter on the map's size below, which would parse every text twice
+    each = rows.select(*others, F.explode_outer(params).alias("parameter", "text")).where("parameter is not null")
+    word = F.lower(F.trim("text"))
+    return each.select(
+        *others, "parameter", "text", word.try_cast("double").alias("number"), F.when(word.isin("true", "false"), word == "true").alias("flag"),
+    )
 
 
 def params_table(files: DataFrame, strategy: str | None = None, keep_text: bool = False) -> DataFrame:
@@ -57,18 +56,17 @@ def params_table(files: DataFrame, strategy: str | None = None, keep_text: bool
 
     The strategy is the requested one, else the file's best, else its first. Files without a
     ``strategies`` object hold the parameters directly or under ``best_params_from_tests``.
+    Every step parses a text once: what later steps use more than once is a column of an earlier one.
     """
-    tree = F.from_json(F.get_json_object("value", "$.strategies"), "map<string,string>")
     named = F.lit(strategy).cast("string") if strategy else F.nullif(F.get_json_object("value", "$.best_strategy"), F.lit(""))
-    pick = F.coalesce(named, F.get(F.map_keys(tree), F.lit(0)))
-    nested = F.get_json_object(F.try_element_at(tree, pick), "$.best_params_from_tests")
     flat_name = F.coalesce(F.lit(strategy).cast("string"), F.get_json_object("value", "$.strategy"))
     flat = F.coalesce(F.get_json_object("value", "$.best_params_from_tests"), F.col("value"))
-    chosen = files.select(
-        "file", F.when(tree.isNotNull(), pick).otherwise(flat_name).alias("strategy"),
-        F.from_json(F.when(tree.isNotNull(), nested).otherwise(flat), "map<string,string>").alias("params"),
-    )
-    rows = chosen.where("params is not null").select("file", "strategy", F.inline(typed_parameters(F.col("params"))))
+    grown = F.col("tree").isNotNull()
+    trees = files.select("file", "value", F.from_json(F.get_json_object("value", "$.strategies"), "map<string,string>").alias("tree"))
+    picked = trees.select("file", "value", "tree", F.when(grown, F.coalesce(named, F.get(F.map_keys("tree"), F.lit(0)))).otherwise(flat_name).alias("strategy"))
+    nested = F.get_json_object(F.try_element_at("tree", F.col("strategy")), "$.best_params_from_tests")
+    chosen = picked.select("file", "strategy", F.from_json(F.when(grown, nested).otherwise(flat), "map<string,string>").alias("params"))
+    rows = typed_parameters(chosen, "params")
     return rows if keep_text else rows.where(F.col("number").isNotNull() | F.col("flag").isNotNull())
 
 
