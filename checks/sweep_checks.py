@@ -181,7 +181,7 @@ def _(spark, sf):
 
     ids = V.table(spark, sf, "events").select(F.col("event_id").alias("sample_no"))
     bank = bank_rows(V.topk(spark, sf)).withColumnRenamed("train_rank", "row_no")
-    seeds = bank_top(bank, 5).select(F.col("row_no").alias("sample_no"), "params_json")
+    seeds = materialize(bank_top(bank, 5).select(F.col("row_no").alias("sample_no"), "params_json"))  # once for all cycles
     cycles = [
         W.distinct_candidates(seeds, W.params_text(W.sample_parameters(ids, "breakout_range", 42 + c * 1000))).withColumn("cycle", F.lit(c))
         for c in range(3)

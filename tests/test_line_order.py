@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from tidebar.functions.scans import Run, running
 from tidebar.operators import sweep as W
 from tidebar.operators.bars import downsample, ticks_to_bars
+from tidebar.operators.registry import canonical_params
 from tidebar.sources.market import read_bars, read_ticks
 from tidebar.sources.parameters import params_table
 
@@ -56,3 +57,29 @@ def test_empty_best_strategy_takes_the_first(spark):
 def test_sampling_returns_as_many_sets_as_asked(spark):
     sets = W.search_sets(spark, "breakout_range", W.SweepSettings(n_samples=60))
     assert len(sets) == 60
+
+
+def test_parameter_files_are_parsed_once(spark):
+    text = '{"best_strategy": "s2", "strategies": {"s1": {"best_params_from_tests": {"a": 1}}, "s2": {"best_params_from_tests": {"b": 2.5, "c": true, "d": "x", "e": null}}}}'
+    rows = [("f", text), ("flat", '{"strategy": "t", "k": "7"}'), ("none", '{"strategies": {"s1": {}}}'), ("broken", "x"), ("null", None)]
+    out = params_table(spark.createDataFrame(rows, "file string, value string"), keep_text=True)
+    assert sorted((r.file, r.strategy, r.parameter, r.text, r.number, r.flag) for r in out.where("parameter <> 'e'").collect()) == [
+        ("f", "s2", "b", "2.5", 2.5, None), ("f", "s2", "c", "true", None, True), ("f", "s2", "d", "x", None, None), ("flat", "t", "k", "7", 7.0, None), ("flat", "t", "strategy", "t", None, None)]
+    plan = params_table(spark.range(9).selectExpr("string(id) file", "string(id) value"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == 2 and plan.count("$.strategies") == 1, plan
+
+
+def test_candidates_take_seeds_first_without_sorting_texts(spark):
+    seeds = spark.createDataFrame([(7, '{"b": 2, "a": 1.0}'), (5, '{"a":1,"b":2}')], "sample_no long, params_json string")
+    samples = spark.createDataFrame([(1, '{"a":1,"b":2}'), (4, '{"c":3}'), (3, '{"c": 3}'), (9, "broken")], "sample_no long, params_json string")
+    out = W.distinct_candidates(seeds, samples)
+    assert sorted((r.params_json, r.origin, r.sample_no) for r in out.collect()) == [('{"a":1,"b":2}', 0, 5), ('{"c":3}', 1, 3)]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "HashAggregate" in plan, plan
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("parseJson") == 2  # one for each of the two inputs
+
+
+def test_canonical_parameters_are_objects_only(spark):
+    texts = {' \t\n{"b": 2, "a": 1.0} ': '{"a":1,"b":2}', "{}": "{}", "[1]": None, '"{x"': None, "{broken": None, "": None, "1": None, None: None}
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert {r.t: r.c for r in rows.select("t", canonical_params("t").alias("c")).collect()} == texts

@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 def canonical_params(column: Column | str) -> Column:
     """JSON object text with sorted keys and no extra blanks; null unless the text is an object."""
-    value = F.try_parse_json(F.col(column) if isinstance(column, str) else column)
-    return F.when(F.schema_of_variant(value).startswith("OBJECT"), F.to_json(value))
+    text = F.col(column) if isinstance(column, str) else column
+    # a JSON text that begins with a brace is an object; asking the parsed value for its type would parse twice
+    return F.when(F.ltrim(text, F.lit(" \t\r\n")).startswith("{"), F.to_json(F.try_parse_json(text)))
 
 
 def best_per_key(df: DataFrame, keys: Sequence[str], rank: Sequence[Column], columns: Sequence[str] | None = None) -> DataFrame:
@@ -45,7 +46,9 @@ def merge_banks(banks: Sequence[DataFrame]) -> DataFrame:
     rows = rows.withColumns({"params_json": canonical_params("params_json"), "test_score": F.coalesce("test_score", F.lit(0.0))})
     place = ["bank_no", *(["file"] if "file" in rows.columns else []), "row_no"]
     first = F.min_by(F.struct(*[c for c in rows.columns if c != "params_json"]), F.struct(-F.col("test_score"), *place))
-    best = rows.where("params_json is not null").groupBy("params_json").agg(first.alias("_first")).select("params_json", "_first.*")
+    # null texts leave after the aggregation: a filter on the parsed text below it would parse every text once more
+    best = rows.groupBy("params_json").agg(first.alias("_first"), F.max(F.col("params_json").isNotNull()).alias("_is"))
+    best = best.where("_is").select("params_json", "_first.*")
     return best.orderBy(F.col("test_score").desc(), "params_json")
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidebar.operators.bars import SERIES
 from tidebar.operators.metrics import ScoreSettings, apply_hard_limits, equity_stats, robust_score, trade_stats
 from tidebar.operators.params import ExecutionSettings, params_frame
-from tidebar.operators.registry import best_per_key, canonical_params
+from tidebar.operators.registry import canonical_params
 from tidebar.operators.signals import Strategy
 from tidebar.operators.trades import equity_curve, run_trades
 from tidebar.session import settled
@@ -185,16 +185,20 @@ def prepare_candidates(samples: DataFrame, settings: SweepSettings, random_hours
 
 
 def params_text(samples: DataFrame) -> DataFrame:
-    """(sample_no, params_json) with sorted keys."""
+    """(sample_no, params_json) with sorted keys; :func:`distinct_candidates` brings the values into their canonical form."""
     names = sorted(c for c in samples.columns if c != "sample_no")
-    return samples.select("sample_no", canonical_params(F.to_json(F.struct(*names))).alias("params_json"))
+    return samples.select("sample_no", F.to_json(F.struct(*names)).alias("params_json"))
 
 
 def distinct_candidates(seeds: DataFrame, samples: DataFrame, n: int | None = None) -> DataFrame:
     """Seeds first, then samples, each parameter text once; at most ``n`` samples beyond the seeds."""
     tag = lambda df, o: df.select(F.lit(o).alias("origin"), "sample_no", canonical_params("params_json").alias("params_json"))
-    rows = tag(seeds, 0).unionByName(tag(samples, 1)).where("params_json is not null")
-    unique = best_per_key(rows, ["params_json"], [-F.col("origin"), -F.col("sample_no")])
+    rows = tag(seeds, 0).unionByName(tag(samples, 1))
+    # minima of plain numbers are hash aggregates; the best row as a struct would sort all rows by their text.
+    # Null texts leave after it: a filter on the parsed text below would parse every text once more.
+    lowest = lambda origin: F.min(F.when(F.col("origin") == origin, F.col("sample_no")))
+    found = rows.groupBy("params_json").agg(F.min("origin").alias("origin"), lowest(0).alias("_seed"), lowest(1).alias("_draw"), F.max(F.col("params_json").isNotNull()).alias("_is"))
+    unique = found.where("_is").select("params_json", "origin", F.when(F.col("origin") == 0, F.col("_seed")).otherwise(F.col("_draw")).alias("sample_no"))
     if n is None:
         return unique
     fresh = unique.where("origin = 1").orderBy("sample_no").limit(n)
