@@ -362,3 +362,21 @@ def test_no_page_breaks_the_parser():
 def test_pages_that_repeat_and_no_pages(spark):
     pages = spark.createDataFrame([(1, "u", "<p>a</p>", "t")] * 3 + [(None, None, None, None)], "page_id long, url string, html string, text string")
     assert sorted(r.text for r in html.extracted(pages).collect()) == ["", "a", "a", "a"] and html.extracted(pages.limit(0)).count() == 0
+
+
+def test_hashed_pieces_equal_a_lookup_in_texts(spark):
+    """The filter reads numbers made once per line and finds what looking up the pieces in the text does."""
+    r = random.Random(32)
+    rows = []
+    for _ in range(120):
+        p = "".join(r.choice("abcdé ") for _ in range(r.randint(0, 90)))
+        q = list(p)
+        for _ in range(r.randint(0, 14)):
+            q.insert(r.randint(0, len(q)), r.choice("xyzß"))
+        rows.append((p, "".join(q), len(p) // 10))
+    n = fuzzy_lines.PIECE
+    want = [len({x for x in (p[i:i + n] for i in range(0, len(p) - n + 1, n)) if x not in q}) <= k for p, q, k in rows]
+    frame = spark.createDataFrame(rows, "p string, q string, k int").select("k", fuzzy_lines.pieces_of(F.col("p")).alias("g"), fuzzy_lines.grams_of(F.col("q")).alias("h"))
+    assert dict(frame.dtypes)["g"] == "array<int>"
+    got = [x[0] for x in frame.select(fuzzy_lines.few_missing(F.col("g"), F.col("h"), F.col("k"))).collect()]
+    assert got == want and len(set(want)) == 2
