@@ -364,6 +364,21 @@ def test_pages_that_repeat_and_no_pages(spark):
     assert sorted(r.text for r in html.extracted(pages).collect()) == ["", "a", "a", "a"] and html.extracted(pages.limit(0)).count() == 0
 
 
+def test_repeated_words_found_by_fours_equal_brute_force(spark):
+    r = random.Random(31)
+    texts = [[r.choice("abc") for _ in range(n)] for n in (0, 1, 2, 7, 8, 9, 12, 30, 80)]
+    four, long = [f"f{i}" for i in range(4)], [f"l{i}" for i in range(11)]
+    texts += [four + ["x"] + four + ["y"] * 3 + ["z"], long + ["x"] + long, [f"w{i}" for i in range(40)]]  # fours that come again, windows that do, none
+    rows = []
+    for t in texts:
+        windows = [tuple(t[i:i + likelihood.WINDOW]) for i in range(len(t) - likelihood.WINDOW + 1)]
+        seen = collections.Counter(windows)
+        rows.append((t, len({i + k for i, w in enumerate(windows) if seen[w] > 1 for k in range(likelihood.WINDOW)})))
+    hashes = F.transform("t", lambda w: F.xxhash64(w))
+    got = spark.createDataFrame(rows, "t array<string>, want int").select("want", likelihood.repeated_words(hashes, likelihood.joined(hashes, 1)).alias("got")).collect()
+    assert [x.got for x in got] == [x.want for x in got] and {0} < {x.want for x in got}
+
+
 def test_hashed_pieces_equal_a_lookup_in_texts(spark):
     """The filter reads numbers made once per line and finds what looking up the pieces in the text does."""
     r = random.Random(32)

@@ -18,10 +18,20 @@ THRESHOLD = -0.2
 WINDOW = 8
 
 
-def grams(hashes: Column) -> Column:
-    """Buckets of the words and word pairs of an array of word hashes."""
-    pairs = F.when(F.size(hashes) > 1, F.transform(F.sequence(F.lit(1), F.size(hashes) - 1), lambda i: F.xxhash64(F.slice(hashes, i, 2)))).otherwise(F.array().cast("array<bigint>"))
-    return F.transform(F.concat(hashes, pairs), lambda h: F.pmod(h, F.lit(BUCKETS)).cast("int"))
+def joined(hashes: Column, apart: int) -> Column:
+    """Hash of each element with the one ``apart`` places on; empty where there are no more than ``apart``."""
+    n = F.greatest(F.size(hashes) - apart, F.lit(0))
+    return F.zip_with(F.slice(hashes, F.lit(1), n), F.slice(hashes, F.lit(apart + 1), n), lambda x, y: F.xxhash64(x, y))
+
+
+def bucket(gram: Column) -> Column:
+    """Bucket of a word or a word pair, given by its hash."""
+    return F.pmod(gram, F.lit(BUCKETS)).cast("int")
+
+
+def bytes_of(text: Column, characters: str) -> Column:
+    """Number of bytes that ASCII ``characters`` take in a text."""
+    return sum((F.octet_length(text) - F.octet_length(F.replace(text, F.lit(c), F.lit(""))) for c in characters), F.lit(0))
 
 
 def bucket_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> DataFrame:
@@ -30,7 +40,7 @@ def bucket_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -
     ``trusted``: distinct doc_id of trusted documents. Counts cover every document and every trusted one; only the texts
     that may be trusted move to the join.
     """
-    count = lambda rows, name: rows.select(F.explode(let(word_hashes(words_of(text_of())), grams)).alias("bucket")).groupBy("bucket").agg(F.count("*").alias(name))
+    count = lambda rows, name: rows.select(F.explode(let(word_hashes(words_of(text_of())), lambda h: F.concat(h, joined(h, 1)))).alias("gram")).groupBy(bucket(F.col("gram")).alias("bucket")).agg(F.count("*").alias(name))
     chosen = thinned(docs, F.col("doc_id"), trusted.select(F.col("doc_id").alias("key"))).join(trusted, "doc_id", "left_semi")
     counted = count(docs, "n").join(count(chosen, "t"), "bucket", "left")
     spark = docs.sparkSession
@@ -41,20 +51,23 @@ def bucket_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -
     return materialize(one.select(F.transform("rows", ratio).alias("ratios")))
 
 
-def repeated_words(hashes: Column, window: int = WINDOW) -> Column:
-    """Number of words inside windows that occur twice or more in the text."""
-    starts = F.sequence(F.lit(1), F.size(hashes) - (window - 1))
+def repeated_words(hashes: Column, pairs: Column) -> Column:
+    """Number of words inside windows of WINDOW words that occur twice or more in the text.
 
+    ``pairs``: hashes of adjacent words. Those of four words are made of them, those of windows of these. A text in which no
+    four words come again has no window that does.
+    """
     def covered(windows: Column) -> Column:
         placed = F.array_sort(F.transform(windows, lambda x, i: F.struct(x.alias("w"), i.alias("i"))))
         again = let(placed, lambda p: F.array_sort(F.transform(
             F.filter(F.transform(p, lambda s, k: F.when(F.coalesce(s["w"] == F.get(p, k - 1)["w"], F.lit(False)) | F.coalesce(s["w"] == F.get(p, k + 1)["w"], F.lit(False)), s["i"])), lambda i: i.isNotNull()), lambda i: i)))
         return let(again, lambda a: F.aggregate(
-            F.transform(a, lambda i, k: F.least(F.coalesce(F.get(a, k + 1) - i, F.lit(window)), F.lit(window))), F.lit(0), lambda s, x: s + x))
+            F.transform(a, lambda i, k: F.least(F.coalesce(F.get(a, k + 1) - i, F.lit(WINDOW)), F.lit(WINDOW))), F.lit(0), lambda s, x: s + x))
 
-    repeats = let(F.transform(starts, lambda i: F.xxhash64(F.slice(hashes, i, window))),
-                  lambda w: F.when(F.size(F.array_distinct(w)) == F.size(w), F.lit(0)).otherwise(covered(w)))
-    return F.when(F.size(hashes) > window, repeats).otherwise(F.lit(0)).cast("long")
+    once = lambda w: F.size(F.array_distinct(w)) == F.size(w)
+    windows = lambda fours: let(joined(fours, 4), lambda w: F.when(once(w), F.lit(0)).otherwise(covered(w)))
+    repeats = let(joined(pairs, 2), lambda fours: F.when(once(fours), F.lit(0)).otherwise(windows(fours)))
+    return F.when(F.size(hashes) > WINDOW, repeats).otherwise(F.lit(0)).cast("long")
 
 
 def judged(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -69,10 +82,11 @@ def judged(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) ->
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike("[^ \\t-\\r]"))
     wide = docs.select("doc_id", text_of().alias("_text")).select(
         "doc_id", word_hashes(words_of(text)).alias("_h"),
-        F.length(F.translate(text, " \t\n\x0b\f\r", "")).cast("long").alias("word_chars"),
-        (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
+        (F.length(text) - bytes_of(text, " \t\n\x0b\f\r")).cast("long").alias("word_chars"),
+        bytes_of(text, "#*$%&|<>").cast("long").alias("n_symbols"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"))
-    total = let(grams(F.col("_h")), lambda g: F.aggregate(g, F.lit(0.0), lambda s, b: s + F.element_at(F.col("_r"), b + 1)) / F.greatest(F.size(g), F.lit(1)))
-    out = wide.withColumn("_r", ratios).select("doc_id", F.size("_h").cast("long").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", repeated_words(F.col("_h")).alias("n_repeat_words"), total.alias("score"))
+    wide = wide.withColumn("_p", joined(F.col("_h"), 1)).withColumn("_r", ratios)
+    total = F.aggregate(F.concat("_h", "_p"), F.lit(0.0), lambda s, g: s + F.element_at(F.col("_r"), bucket(g) + 1)) / F.greatest(F.size("_h") + F.size("_p"), F.lit(1))
+    out = wide.select("doc_id", F.size("_h").cast("long").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", repeated_words(F.col("_h"), F.col("_p")).alias("n_repeat_words"), total.alias("score"))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     return out.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
