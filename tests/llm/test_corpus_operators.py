@@ -395,3 +395,40 @@ def test_hashed_pieces_equal_a_lookup_in_texts(spark):
     assert dict(frame.dtypes)["g"] == "array<int>"
     got = [x[0] for x in frame.select(fuzzy_lines.few_missing(F.col("g"), F.col("h"), F.col("k"))).collect()]
     assert got == want and len(set(want)) == 2
+
+
+def test_lines_with_letters_changed_all_over_meet(spark):
+    r, lines = random.Random(41), []
+    for i in range(40):
+        line = " ".join(words(15 + i, 1_500 + i))
+        q = list(line)
+        for at in r.sample([k for k, c in enumerate(q) if c != " "], len(q) // 20):
+            q[at] = r.choice("klmnop")
+        lines += [line, "".join(q)]
+    kept = kept_lines(spark, lines)  # the runs may miss a pair, but link none that is not near
+    assert first_lines(lines) == list(range(0, 80, 2)) and set(kept) >= set(range(0, 80, 2)) and len(kept) <= 40 + 12
+
+
+def test_codes_by_rows_equal_those_inside_a_row(spark):
+    r = random.Random(42)
+    texts = [" ".join(words(n, n)) for n in (5, 6, 14, 40, 300)] + ["只有几个汉字的一行文字没有空格", "0123456789 0123456789"] + ["ab " * r.randint(5, 60) + "cd" for _ in range(5)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "line_hash long, line string").withColumn("size", F.length("line"))
+    line = F.col("line")
+    worded, grammed = fuzzy_lines.kinds(F.col("size"), F.size(fuzzy_lines.words_in(line)))
+    wanted = rows.select("line_hash", F.when(worded, fuzzy_lines.simhash(F.transform(fuzzy_lines.words_in(line), lambda w: F.xxhash64(w)))), F.when(grammed, fuzzy_lines.simhash(F.transform(fuzzy_lines.trigrams(line), lambda w: F.xxhash64(w))))).collect()
+    got = {x.id: (x.word_code, x.gram_code) for x in fuzzy_lines.with_codes(rows).collect()}
+    assert got == {x[0]: (x[1], x[2]) for x in wanted} and {None} < {c for pair in got.values() for c in pair}
+
+
+def test_lines_of_a_key_and_like_length_share_a_bucket(spark):
+    r = random.Random(43)
+    rows = [(i, r.randint(10, 300), [r.randint(0, 5)]) for i in range(120)] * 2
+    met = collections.defaultdict(set)
+    for x in fuzzy_lines.meetings(spark.createDataFrame(rows, "line_hash long, size int, keys array<long>")).collect():
+        met[x.bucket].add(x.id)
+    size, key = {i: n for i, n, _ in rows}, {i: k[0] for i, _, k in rows}
+    place = {i: b for b, ids in met.items() for i in ids}
+    for i in size:
+        near = {j for j in size if j != i and key[i] == key[j] and abs(size[i] - size[j]) <= max(size[i], size[j]) // 10}
+        assert (i in place) == bool(near) and all(place[j] == place[i] for j in near)
+    assert all(len(ids) > 1 and len({key[i] for i in ids}) == 1 for ids in met.values()) and len(met) > 6
