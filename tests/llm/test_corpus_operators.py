@@ -171,6 +171,58 @@ def test_links_by_parts_equal_all_pairs(spark):
     assert {i: got.get(i, i) for i in root} == root
 
 
+def test_links_equal_all_pairs_and_buckets_get_narrow_rows(spark, monkeypatch):
+    """Components equal those of all pairs that pass; the wide column is read for pairs that passed the cheap test only, once each."""
+    r = random.Random(14)
+    items = {i: (r.randint(0, 60), [r.randint(0, 3) for _ in range(3)], sorted(r.sample(range(12), 3))) for i in range(200)}
+    df = spark.createDataFrame([(i, v, v, w, k) for i, (v, w, k) in items.items()], "id long, rank int, v int, wide array<int>, keys array<long>")
+    seen, write = [], linking.materialize
+
+    def spy(frame):
+        seen.append((set(frame.columns), write(frame)))
+        return seen[-1][1]
+
+    monkeypatch.setattr(linking, "materialize", spy)
+    cheap = lambda a, b: F.abs(a("v") - b("v")) <= 2
+    same = lambda a, b: F.get(a("wide"), F.lit(0)) == F.get(b("wide"), F.lit(0))
+    postings = df.select(F.explode("keys").alias("bucket"), "id")
+    links = linking.linked(df, postings, ["v"], cheap, same, same, lambda d: d)
+    got = {x.id: x.component for x in linking.components(links).collect()}
+    near = [(i, j) for i in items for j in items if i < j and set(items[i][2]) & set(items[j][2]) and abs(items[i][0] - items[j][0]) <= 2 and items[i][1][0] == items[j][1][0]]
+    root = {i: i for i in items}
+    for _ in items:
+        for i, j in near:
+            root[i] = root[j] = min(root[i], root[j])
+    assert got == {i: root[i] for pair in near for i in pair} and len(set(got.values())) > 3
+    assert not any("wide" in columns for columns, _ in seen)
+    pairs = [f for columns, f in seen if columns == {"a", "b"}]
+    assert all(f.count() == f.distinct().count() for f in pairs)
+
+
+def test_lowest_bits_never_count_below_equal_coordinates():
+    r = random.Random(15)
+    for _ in range(200):
+        a = minhash.signature(minhash.shingle_set(" ".join(words(30, r.randint(0, 10**6)))))
+        b = a.copy()
+        b[r.sample(range(len(b)), r.randint(0, 40))] += r.choice((1, 2, 4, 7, 1 << 20))
+        (x, y), (p, q) = minhash.lowest_bits(a), minhash.lowest_bits(b)
+        agree = minhash.CHECKED - ((x ^ p | y ^ q) & (1 << 64) - 1).bit_count()
+        assert agree >= (a == b).sum() and minhash.lowest_bits(a) == [x, y]
+
+
+def test_sets_differ_in_as_many_shingles_as_odd_bits():
+    r = random.Random(16)
+    counts = []
+    for n in (1, 5, 60, 300, 3_000):
+        base = words(n, n)
+        for changed in (0, 1, n // 20, n // 5):
+            other = [w if i >= changed else f"new{i}" for i, w in enumerate(base)]
+            a, b = minhash.shingle_set(" ".join(base)), minhash.shingle_set(" ".join(other))
+            apart = sum(((x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(minhash.parity_bits(a), minhash.parity_bits(b), strict=True))
+            counts.append((apart, len(set(a.tolist()) ^ set(b.tolist()))))
+    assert all(x <= y for x, y in counts) and any(x == y > 5 for x, y in counts)
+
+
 def test_licenses(docs):
     got = {r.doc_id: r for r in licenses.scan(docs).collect()}
     r = got[-4]

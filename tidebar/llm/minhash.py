@@ -27,6 +27,8 @@ COORDINATES = 24
 LOSS = 1.3e-6             # chance at most that a pair at the threshold has fewer collisions than are asked for, by either count
 CHECKED = 64              # coordinates looked up in candidates, the posted ones included
 SKETCH = 256              # sets up to this size are carried whole, as 32-bit hashes
+PARITY = 8                # longs of the bits that are told apart by how many shingles fall on them, even or odd
+BITS = ["low0", "low1", *[f"odd{i}" for i in range(PARITY)]]
 WORD_CACHE = 400_000
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -67,21 +69,33 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return np.array([((shingles * a + b) >> np.uint64(32)).min() for a, b in _ODD], np.uint32).view(np.int32)
 
 
+def lowest_bits(sig: np.ndarray) -> list[int]:
+    """The lowest bit of every coordinate as one long, and the second as another. Coordinates that are equal agree in both."""
+    return [int(np.packbits(sig >> j & 1, bitorder="little").view("<i8")[0]) for j in range(2)]
+
+
+def parity_bits(shingles: np.ndarray) -> list[int]:
+    """Whether the number of shingles at each of 64 * PARITY places is odd. Two sets differ in as many shingles at least as in bits."""
+    odd = np.bincount((shingles >> np.uint64(64 - (64 * PARITY).bit_length() + 1)).astype(np.int64), minlength=64 * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8").tolist()
+
+
 def _signed(docs: DataFrame) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, digests, signatures, sketches = [], [], [], []
+            sizes, digests, signatures, sketches, bits = [], [], [], [], []
             for text in batch.column(1):
                 s = shingle_set(text.as_py())
                 sizes.append(len(s))
                 raw = xxhash.xxh3_128_digest(s.tobytes())
                 digests.append(raw.hex() if len(s) else None)
                 signatures.append(signature(s) if len(s) else None)
+                bits.append([*lowest_bits(signatures[-1]), *parity_bits(s)] if len(s) else [None] * len(BITS))
                 sketches.append((s >> np.uint64(32)).astype(np.uint32).view(np.int32) if 0 < len(s) <= SKETCH else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.string()), pa.array(signatures, pa.list_(pa.int32())), pa.array(sketches, pa.list_(pa.int32()))],
-                                             ["doc_id", "n_shingles", "digest", "signature", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.string()), pa.array(signatures, pa.list_(pa.int32())), pa.array(sketches, pa.list_(pa.int32())),
+                                              *[pa.array([b[j] for b in bits], pa.int64()) for j in range(len(BITS))]], ["doc_id", "n_shingles", "digest", "signature", "sketch", *BITS])
 
-    return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, n_shingles long, digest string, signature array<int>, sketch array<int>")
+    return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, n_shingles long, digest string, signature array<int>, sketch array<int>, " + ", ".join(f"{b} long" for b in BITS))
 
 
 def _full_sets(docs: DataFrame) -> DataFrame:
@@ -114,7 +128,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> tuple[DataFrame, Data
     min_matches, min_checked = fewest(COORDINATES, percent), fewest(CHECKED, percent)
     signed = materialize(_signed(docs))
     classes = signed.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("id"))
-    reps = materialize(signed.withColumnRenamed("doc_id", "id").join(classes, ["digest", "id"]).dropDuplicates(["id"]).select("id", "n_shingles", "signature", "sketch"))
+    reps = materialize(signed.withColumnRenamed("doc_id", "id").join(classes, ["digest", "id"]).dropDuplicates(["id"]).select("id", "n_shingles", "signature", "sketch", *BITS))
     pairs = reps.select("id", F.posexplode(F.slice("signature", 1, COORDINATES)).alias("coordinate", "value")).select("id", F.xxhash64("coordinate", "value").alias("bucket"))
     common = materialize(pairs.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"))
     listed = pairs.join(common, "bucket").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", "bucket"))).alias("lists"))  # 24 entries at most
@@ -125,10 +139,16 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> tuple[DataFrame, Data
     postings = items.select(F.explode("keys").alias("bucket"), "id")
     postings = postings.join(postings.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "bucket").select("bucket", "id")
 
-    def likely(a, b):
+    def cheap(a, b):
+        """Sizes, a count in the lowest bits that is never below that of equal coordinates, and one of odd bits that is never above that of different shingles."""
         small, large = F.least(a("n_shingles"), b("n_shingles")), F.greatest(a("n_shingles"), b("n_shingles"))
+        differ = F.bit_count(a("low0").bitwiseXOR(b("low0")).bitwiseOR(a("low1").bitwiseXOR(b("low1"))))
+        apart = sum((F.bit_count(a(f"odd{i}").bitwiseXOR(b(f"odd{i}"))) for i in range(1, PARITY)), F.bit_count(a("odd0").bitwiseXOR(b("odd0"))))
+        return (small * 100 >= large * percent) & (differ <= CHECKED - min_checked) & (apart * (100 + percent) <= (small + large) * (100 - percent))
+
+    def likely(a, b):
         matches = F.aggregate(F.zip_with(a("signature"), b("signature"), lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-        return (small * 100 >= large * percent) & (matches >= min_checked)
+        return matches >= min_checked
 
     def near(a, b):
         both = F.size(F.array_intersect(a("sketch"), b("sketch")))
@@ -144,7 +164,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> tuple[DataFrame, Data
         return (found.alias("p").join(sets.alias("x"), F.col("p.a") == F.col("x.id")).join(sets.alias("y"), F.col("p.b") == F.col("y.id"))
                 .where(both * 100 >= (F.col("x.n") + F.col("y.n") - both) * percent).select("p.a", "p.b"))
 
-    links = linked(items, postings, likely, near, verify)
+    links = linked(items, postings, ["n_shingles", *BITS], cheap, likely, near, verify)
     groups = components(links)
     member = signed.join(classes, "digest", "left").select("doc_id", "n_shingles", F.coalesce("id", "doc_id").alias("id"))
     placed = member.join(groups, "id", "left").select("doc_id", "n_shingles", F.coalesce("component", "id").alias("component_id"))
