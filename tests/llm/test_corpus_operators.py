@@ -141,6 +141,63 @@ def test_bounded_edit_distance_equals_brute_force(spark):
     assert all(x.may for x in got if x.want) and not all(x.may for x in got)
 
 
+def test_word_by_word_never_accepts_more_than_the_distance(spark):
+    r = random.Random(17)
+    rows = []
+    for i in range(120):
+        p = words(r.randint(1, 12), i)
+        q = [w if r.random() < 0.8 else "".join(r.choice("abcdefghij") for _ in range(r.randint(1, 7))) for w in p] + ["x"] * (i % 10 == 0)
+        rows += [(" ".join(p), " ".join(q), k, edit_distance(" ".join(p), " ".join(q)) <= k) for k in (0, 2, 6, 15)]
+    pair = F.col("p"), F.col("q"), F.col("k")
+    got = spark.createDataFrame(rows, "p string, q string, k int, want boolean").select("want", fuzzy_lines.word_by_word(*pair).alias("sure"), fuzzy_lines.within(*pair).alias("got")).collect()
+    assert all(x.want == x.got for x in got) and all(x.want for x in got if x.sure) and any(x.sure for x in got)
+
+
+def test_long_texts_within_a_bound_equal_brute_force(spark):
+    r = random.Random(18)
+    rows = []
+    for k in (3, 9, 20, 66, 90):
+        p = [r.choice("abcé ") for _ in range(400)]
+        for edits in (k - 2, k, k + 1, 2 * k):
+            q = p[:]
+            for at in r.sample(range(len(q)), edits):
+                q[at] = r.choice("xyz")
+            rows.append(("".join(p), "".join(q), k, edit_distance(p, q) <= k))
+    got = spark.createDataFrame(rows, "p string, q string, k int, want boolean").select("want", fuzzy_lines.within(F.col("p"), F.col("q"), F.col("k")).alias("got")).collect()
+    assert all(x.want == x.got for x in got) and len({x.want for x in got}) == 2
+
+
+def test_smallest_hashes_equal_a_full_sort(spark):
+    r = random.Random(19)
+    rows = [[r.getrandbits(64) - (1 << 63) for _ in range(n)] for n in (0, 1, 7, 8, 40, 64, 65, 300, 4_000)]
+    rows += [[r.getrandbits(62) for _ in range(500)], [5] * 900 + [7], [-(1 << 63) + i % 3 for i in range(700)] + [9] * 30]
+    frame = spark.createDataFrame([(i, h, h if i % 2 else None) for i, h in enumerate(rows)], "i int, h array<bigint>, g array<bigint>")
+    got = {x.i: (x.h, x.g) for x in fuzzy_lines.with_smallest(frame, ["h", "g"]).collect()}
+    want = {i: sorted(set(h))[:fuzzy_lines.KEYS] for i, h in enumerate(rows)}
+    assert got == {i: (h, h if i % 2 else None) for i, h in want.items()}
+
+
+def test_many_near_copies_are_linked_with_few_pairs_across(spark, monkeypatch):
+    """Copies of one line that are near to some others only meet hubs drawn per bucket, so that few are left to be compared with all."""
+    r, lines = random.Random(20), []
+    base = words(40, 2_000)
+    for _ in range(150):
+        w = base[:]
+        for at in r.sample(range(40), 2):
+            w[at] = "".join(r.choice("abcdefghij") for _ in range(len(w[at])))
+        lines.append(" ".join(w))
+    tested, similar = [], fuzzy_lines.similar
+
+    def spy(pairs, texts):
+        tested.append(pairs.count())
+        return similar(pairs, texts)
+
+    monkeypatch.setattr(fuzzy_lines, "similar", spy)
+    kept = kept_lines(spark, lines)
+    assert set(first_lines(lines)) <= set(kept) and len(kept) < 10
+    assert len(tested) == 3 and tested[2] < 150 * 149 // 20
+
+
 def majority(hashes):
     """SimHash of 64-bit values, bit by bit."""
     code = sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hashes) > len(hashes) // 2)
