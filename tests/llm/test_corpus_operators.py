@@ -198,6 +198,20 @@ def test_many_near_copies_are_linked_with_few_pairs_across(spark, monkeypatch):
     assert len(tested) == 2 and tested[1] < 150 * 149 // 20
 
 
+def test_letters_allow_every_pair_within_the_distance(spark):
+    r = random.Random(21)
+    rows = [("e" * 300, "e" * 330, True), ("eeeeeeeeeeaaaaaaaaaa", "eeeeeeeeeetttaaaaaaaaaa", False)]
+    for i in range(150):
+        p = " ".join(words(r.randint(3, 30), i))
+        q = [c for c in p if r.random() > 0.05] + list("eat" * r.randint(0, 3))
+        rows.append((p, "".join(q), edit_distance(p, q) <= max(len(p), len(q)) // 10))
+    frame = spark.createDataFrame(rows, "p string, q string, near boolean")
+    told = lambda c: F.struct(F.length(c).alias("size"), *fuzzy_lines.counts_of(F.col(c)))
+    side = lambda s: lambda name: F.col(f"{s}.{name}")
+    got = frame.select("near", told("p").alias("x"), told("q").alias("y")).select("near", fuzzy_lines.same_letters(side("x"), side("y")).alias("may")).collect()
+    assert all(x.may for x in got if x.near) and not got[1].may and len({x.near for x in got}) == 2
+
+
 def majority(hashes):
     """SimHash of 64-bit values, bit by bit."""
     code = sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hashes) > len(hashes) // 2)
